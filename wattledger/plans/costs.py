@@ -150,7 +150,7 @@ def _brand_lines(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH {BRANDS_SQL}, a AS (SELECT year, brand, CAST(SUM(x) AS DOUBLE) AS php FROM l GROUP BY 1, 2),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY year ORDER BY php DESC, brand) AS INTEGER) AS rank, SUM(php) OVER (PARTITION BY year) AS total FROM a)
-SELECT year, brand, php, rank, {ORDINAL_SQL} AS rank_label, ROUND(CASE WHEN total > 0 THEN php / total * 100.0 ELSE 0.0 END, 6) AS share_pct FROM k"""
+SELECT CAST(year AS INTEGER) AS year, brand, php, rank, {ORDINAL_SQL} AS rank_label, ROUND(CASE WHEN total > 0 THEN php / total * 100.0 ELSE 0.0 END, 6) AS share_pct FROM k"""
 )
 def brand_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """The ranking operator on the larger fact: brands by revenue within a year."""
