@@ -86,7 +86,8 @@ def mail_color(percent: Column) -> Column:
 
 def progress_pct(cost: Column, budget: Column) -> Column:
     """Budget progress, at most 100; null without a budget."""
-    return F.least(usage_ratio(cost, budget) * F.lit(100.0), F.lit(100.0))
+    percent = usage_ratio(cost, budget) * F.lit(100.0)
+    return F.when(percent > 100, F.lit(100.0)).otherwise(percent)
 
 
 def over_or_remaining(cost: Column, budget: Column) -> Column:

@@ -272,7 +272,7 @@ an AS (SELECT device_id, appliance, p, CAST(SUM(next) AS DOUBLE) * CAST(13.47 AS
 tp AS (SELECT *, row_number() OVER (PARTITION BY device_id, p ORDER BY php DESC, list_position(['view', 'click', 'purchase', 'signup', 'error'], appliance)) AS rn FROM an)
 SELECT d.device_id, d.base_day, prev_kwh, next_kwh, prev_kwh AS actual_kwh, ROUND(prev_cost, 4) AS prev_cost, ROUND(next_cost, 4) AS next_cost,
   tp.appliance AS top_appliance, CASE WHEN next_cost < budget THEN 'OK' ELSE 'At-Risk' END AS budget_status, 'Next 24 Hours' AS period_text,
-  ROUND(least({RATIO_SQL} * 100.0, 100.0), 4) AS progress_pct, {OVER_SQL} AS budget_text,
+  ROUND(CASE WHEN {RATIO_SQL} > 1 THEN 100.0 ELSE {RATIO_SQL} * 100.0 END, 4) AS progress_pct, {OVER_SQL} AS budget_text,
   concat('₱', format('{{:,}}', CAST(floor(next_cost + 0.5) AS BIGINT))) AS forecast_text
 FROM d JOIN b ON b.device_id = d.device_id
 JOIN tp ON tp.device_id = d.device_id AND rn = 1 AND strftime(make_timestamp(tp.p * 86400000000), '%Y-%m-%d') = d.base_day"""
