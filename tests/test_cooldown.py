@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from wattledger.operators.alerts import alert_cooldown
 
@@ -78,3 +79,11 @@ def test_text_keys(spark):
     df = frame(spark, rows)
     df = df.withColumn("household", df.household.cast("string"))
     assert marked(df, piece_rows=50) == fold(rows)
+
+
+@pytest.mark.parametrize("piece_rows", [10**9, 50])
+def test_alerts_without_household(spark, piece_rows):
+    rows = sample(6, 0.01)
+    df = frame(spark, rows)
+    df = df.withColumn("household", F.when(df.household != 1, df.household))
+    assert marked(df, piece_rows=piece_rows, piece_seconds=86400) == fold(rows)

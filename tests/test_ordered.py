@@ -48,6 +48,17 @@ def test_previous_and_running_sum(skewed, piece_rows):
     assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(map(tuple, want.select(*columns).collect()), key=str)
 
 
+def test_rows_without_key_or_time(skewed):
+    df = skewed.withColumn("device_id", F.when(F.col("device_id") != 1, F.col("device_id"))).withColumn(
+        "ts", F.when(F.col("event_id") % 13 != 0, F.col("ts"))
+    )
+    pieces = cut_large_keys(df, ["device_id"], "ts", 40)
+    got = with_previous(pieces, ["ts", "event_id"], {"p": "event_id"}).rows
+    want = df.withColumn("p", F.lag("event_id").over(Window.partitionBy("device_id").orderBy("ts", "event_id")))
+    assert pieces.rows.filter(F.col("device_id").isNull()).select(PIECE).distinct().count() > 8
+    assert sorted(map(tuple, got.select("event_id", "p").collect()), key=str) == sorted(map(tuple, want.select("event_id", "p").collect()), key=str)
+
+
 def test_pieces_stay_near_the_limit(skewed):
     pieces = cut_large_keys(skewed, ["device_id"], "ts", 40).rows
     sizes = [r["count"] for r in pieces.filter(F.col(PIECE) != WHOLE_KEY).groupBy("device_id", PIECE).count().collect()]

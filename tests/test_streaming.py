@@ -8,6 +8,7 @@ from wattledger.operators.normalise import interval_energy
 from wattledger.plans.tables import alert_events, counter_readings, events, readings
 from wattledger.sources.sinks import write_alert_outbox, write_outbox_batch
 from wattledger.streaming.alerts import stream_alert_cooldown
+from wattledger.streaming.carry import cooldown_step, interval_energy_step, run_carried
 from wattledger.streaming.energy import stream_hourly, stream_interval_energy
 from wattledger.streaming.run import run_available, stream_events
 
@@ -41,6 +42,22 @@ def test_hourly_windows(spark, small, parts):
     same(got, batch.filter(F.col("slot_ts") + F.expr("INTERVAL 70 MINUTES") <= F.lit(last)))
 
 
+@pytest.mark.parametrize("piece_rows", [10**9, 20])
+def test_carried_interval_energy(spark, small, parts, piece_rows):
+    rows = source(spark, parts).select("event_id", F.col("user_id").alias("device_id"), "ts", F.col("value").alias("kwh_total"), F.lit(40.0).alias("power_w"))
+    got = run_carried(rows, interval_energy_step(86400, piece_rows=piece_rows), "carried")
+    batch = interval_energy(counter_readings(spark, small).withColumn("power_w", F.lit(40.0)), tie=["event_id"], max_gap_seconds=86400)
+    same(got.select("event_id", "device_id", "interval_seconds", "kwh_interval_kwh", "energy_final_kwh"), batch)
+
+
+@pytest.mark.parametrize("piece_rows", [10**9, 5])
+def test_carried_cooldown(spark, small, parts, piece_rows):
+    kind = F.when(F.col("value") >= 80, "critical").when(F.col("value") >= 40, "warning")
+    rows = source(spark, parts).select("event_id", F.col("user_id").alias("household"), "ts", kind.alias("alert_type"))
+    got = run_carried(rows, cooldown_step(piece_rows=piece_rows), "carried")
+    same(got.select("event_id", "household", "alert_type", "is_sent"), alert_cooldown(alert_events(spark, small), tie=["event_id"]))
+
+
 def test_interval_energy_keeps_state_between_batches(spark, small, parts):
     rows = source(spark, parts).select("event_id", F.col("user_id").alias("device_id"), "ts", F.col("value").alias("kwh_total"), F.lit(40.0).alias("power_w"))
     got = run_available(stream_interval_energy(rows, max_gap_seconds=86400), "interval", state_partitions=2)

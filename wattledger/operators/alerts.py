@@ -19,6 +19,7 @@ from wattledger.operators.ordered import (
     PIECE_ROWS,
     WHOLE_KEY,
     cut_large_keys,
+    left_join_null_safe,
     with_previous,
 )
 from wattledger.schemas import THRESHOLD_REQUEST
@@ -56,7 +57,8 @@ def alert_cooldown(
     pieces = cut_large_keys(alerts, [key], ts, piece_rows, piece_seconds)
     rows = pieces.rows
     if pieces.cut:
-        rows = rows.join(_piece_starts(rows, key, alert_type, tie, cooldown), [key, PIECE], "left")
+        starts = _piece_starts(rows, key, alert_type, tie, cooldown)
+        rows = left_join_null_safe(rows, starts, [key, PIECE])
     else:
         rows = rows.withColumns(
             {"_start_type": F.lit(None).cast("string"), "_start_us": F.lit(None).cast("bigint")}
@@ -77,7 +79,10 @@ def _marker(key: str, alert_type: str, cooldown: int):
             if batch.num_rows == 0:
                 continue
             column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
-            keys, piece, kind, us = column(key), column(PIECE), column(alert_type), column("_us")
+            piece, kind, us = column(PIECE), column(alert_type), column("_us")
+            # Codes instead of values, so that a null key equals itself.
+            keys = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            first_key, last_key = batch.column(key)[0].as_py(), batch.column(key)[-1].as_py()
             sent = np.zeros(len(us), dtype=bool)
 
             new_piece = np.ones(len(us), dtype=bool)
@@ -95,7 +100,7 @@ def _marker(key: str, alert_type: str, cooldown: int):
             for i, row in enumerate(starts):
                 if new_piece[row] and start_types[i] == kind[row]:
                     inherited[i] = start_times[i]
-            if before and (keys[0], piece[0]) == before[:2]:
+            if before and (first_key, piece[0]) == before[:2]:
                 inherited[0] = before[3] if before[2] == kind[0] else np.iinfo(np.int64).min
 
             # Put the runs one after another on one line, far enough apart for a single search.
@@ -114,7 +119,7 @@ def _marker(key: str, alert_type: str, cooldown: int):
 
             last = np.flatnonzero(sent[starts[-1]:])
             last_sent = us[starts[-1] + last[-1]] if len(last) else inherited[-1]
-            before = (keys[-1], piece[-1], kind[-1], last_sent)
+            before = (last_key, piece[-1], kind[-1], last_sent)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(sent)], names=[*batch.schema.names, "is_sent"]
             )

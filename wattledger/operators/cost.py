@@ -253,22 +253,53 @@ def comparison_long(df: DataFrame, keys: list[str]) -> DataFrame:
 # --- summary rows --------------------------------------------------------------------------------
 
 
+def top_of(amounts: dict[str, Column]) -> Column:
+    """Name of the largest amount; ties go to the earlier name, and a missing amount is zero."""
+    known = {name: F.coalesce(amount, F.lit(0.0)) for name, amount in amounts.items()}
+    largest = F.greatest(*known.values()) if len(known) > 1 else next(iter(known.values()))
+    return F.coalesce(*[F.when(amount == largest, F.lit(name)) for name, amount in known.items()])
+
+
 def kpi_totals(
     df: DataFrame, keys: list[str], hours: int, tariff: float,
     priority: Sequence[str] = tuple(TOP_PRIORITY), appliance: str = "appliance",
-    ts: str = "ts", kwh: str = "kwh",
+    ts: str = "ts", kwh: str = "kwh", constants: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Period totals, costs and the top appliance of the coming period, one row per key and period."""
+    """Period totals, costs and the top appliance of the coming period, one row per key and period.
+
+    The top is chosen among the names in ``priority``, which also breaks ties. ``constants`` adds
+    appliances whose use in a period is fixed. Only sums are aggregated, so every step is a hash
+    aggregate with partial sums before its shuffle.
+    """
+    constants = constants or {}
     sums = df.groupBy(*keys, appliance, period_index(F.col(ts), hours).alias("period")).agg(
         F.sum(kwh).alias("_kwh")
     )
-    paired = prev_next(sums, [*keys, appliance])
-    php = F.col("next_kwh") * F.lit(float(tariff))
-    # Sums of sums: decimals keep the cents exact until the last cast.
-    exact = lambda c: F.sum(F.col(c).cast("decimal(28,2)")).cast("double")
-    totals = paired.groupBy(*keys, "period").agg(
-        exact("prev_kwh").alias("prev_kwh"),
-        exact("next_kwh").alias("next_kwh"),
-        top_appliance(F.col(appliance), php, priority).alias("top_appliance"),
+    zero = F.lit(0).cast(sums.schema["_kwh"].dataType)
+    roles = F.array(
+        F.struct(F.col("period").alias("p"), zero.alias("prev"), F.col("_kwh").alias("next")),
+        F.struct((F.col("period") + 1).alias("p"), F.col("_kwh").alias("prev"), zero.alias("next")),
+    )
+    part = lambda i: f"_top{i}"
+    totals = (
+        sums.select(*keys, appliance, F.explode(roles).alias("_r"))
+        .groupBy(*keys, F.col("_r.p").alias("period"))
+        .agg(
+            total_or_zero(F.col("_r.prev")).alias("prev_kwh"),
+            total_or_zero(F.col("_r.next")).alias("next_kwh"),
+            *[
+                F.sum(F.when(F.col(appliance) == name, F.col("_r.next"))).cast("double").alias(part(i))
+                for i, name in enumerate(priority)
+            ],
+        )
+    )
+    for fixed in constants.values():
+        totals = totals.withColumn("next_kwh", F.col("next_kwh") + fixed)
+    php = {
+        name: constants.get(name, F.col(part(i))) * F.lit(float(tariff)) for i, name in enumerate(priority)
+    }
+    return (
+        with_costs(totals, tariff)
+        .withColumns({"top_appliance": top_of(php), "actual_kwh": F.col("prev_kwh")})
+        .drop(*[part(i) for i in range(len(priority))])
     )
-    return with_costs(totals, tariff).withColumn("actual_kwh", F.col("prev_kwh"))

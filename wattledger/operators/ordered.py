@@ -50,30 +50,36 @@ def cut_large_keys(
     width = bucket_seconds * 1_000_000
     us = F.unix_micros(ts)
     large = sizes.filter(F.col("_n") > limit).select(*keys, F.lit(True).alias("_large"))
+    marked = left_join_null_safe(
+        df.withColumn("_bucket", F.floor(us / F.lit(width))), F.broadcast(large), keys
+    )
     buckets = (
-        df.join(F.broadcast(large), keys, "left_semi")
-        .groupBy(*keys, F.floor(us / F.lit(width)).alias("_bucket"))
+        marked.filter("_large")
+        .groupBy(*keys, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > limit)
         .select(*keys, "_bucket", F.ceil(F.col("_n") / F.lit(limit)).alias("_parts"))
     )
     part_width = F.greatest(F.floor(F.lit(width) / F.coalesce("_parts", F.lit(1))), F.lit(1))
     start = F.col("_bucket") * F.lit(width)
+    # Rows without a time sort first, so their piece does too.
+    piece = F.coalesce(start + F.floor((us - start) / part_width) * part_width, F.lit(WHOLE_KEY + 1))
     rows = (
-        df.withColumn("_bucket", F.floor(us / F.lit(width)))
-        .join(F.broadcast(large), keys, "left")
-        .join(F.broadcast(buckets), [*keys, "_bucket"], "left")
-        .withColumn(
-            PIECE,
-            F.when(
-                F.col("_large"), start + F.floor((us - start) / part_width) * part_width
-            ).otherwise(F.lit(WHOLE_KEY)),
-        )
+        left_join_null_safe(marked, F.broadcast(buckets), [*keys, "_bucket"])
+        .withColumn(PIECE, F.when(F.col("_large"), piece).otherwise(F.lit(WHOLE_KEY)))
         .drop("_bucket", "_large", "_parts")
     )
     return Pieces(rows, keys, True)
 
 
+def left_join_null_safe(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which a null key finds its equal, as it does in grouping and windows."""
+    renamed = {k: f"_right_{k}" for k in keys}
+    other = other.withColumnsRenamed(renamed)
+    on = [F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()]
+    return df.join(other, on, "left").drop(*renamed.values())
+
+
 def _order(columns: list[str]) -> list[Column]:
     return [F.col(c).asc() for c in columns]
 
@@ -94,7 +100,7 @@ def with_previous(pieces: Pieces, order_by: list[str], columns: dict[str, str])
             .select(*keys, PIECE, F.lag("_last").over(by_key)["_v"].alias("_handed"))
         )
         rows = (
-            rows.join(handover, [*keys, PIECE], "left")
+            left_join_null_safe(rows, handover, [*keys, PIECE])
             .withColumn("_prev", F.coalesce("_prev", "_handed"))
             .drop("_handed")
         )
@@ -123,7 +129,7 @@ def with_running_sum(pieces: Pieces, order_by: list[str], column: str, name: str
             .select(*keys, PIECE, F.sum("_s").over(before).alias("_offset"))
         )
         rows = (
-            rows.join(offsets, [*keys, PIECE], "left")
+            left_join_null_safe(rows, offsets, [*keys, PIECE])
             .withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0)))
             .drop("_offset")
         )

@@ -31,7 +31,6 @@ from wattledger.operators.cost import (
     rollup_totals,
     scenario_costs as what_if,
     scenario_grid as grid_of,
-    top_appliance,
     totals_with_grand_total,
     valid_scenario,
     with_costs,
@@ -137,14 +136,18 @@ BRANDS_SQL = """l AS (SELECT p_brand AS brand, year(l_shipdate) AS year, CAST(l_
 
 
 def _brand_lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").select("l_partkey", "l_shipdate", "l_quantity", "l_extendedprice")
-    parts = table(spark, folder, "part").select("p_partkey", "p_brand")
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("p_brand").alias("brand"),
-        F.year("l_shipdate").alias("year"),
-        F.col("l_quantity").cast("decimal(18,2)").alias("quantity"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
+    """Yearly sums per part with the part's brand: lines are summed before they are shuffled for the
+    join, so that a part with very many lines brings one row per year."""
+    sums = (
+        table(spark, folder, "lineitem")
+        .groupBy("l_partkey", F.year("l_shipdate").alias("year"))
+        .agg(
+            F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("quantity"),
+            F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("price"),
+        )
     )
+    parts = table(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("brand"))
+    return sums.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("brand", "year", "quantity", "price")
 
 
 @query(
@@ -266,16 +269,17 @@ OVER_SQL = """CASE WHEN budget = 0 THEN NULL WHEN next_cost > budget THEN concat
 
 @query(
     f"""WITH {DAYS_SQL}, {BUDGETS_SQL},
-ak AS (SELECT device_id, appliance, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS p, SUM(kwh) AS k FROM r GROUP BY 1, 2, 3),
-au AS (SELECT device_id, appliance, p, k AS next FROM ak UNION ALL SELECT device_id, appliance, p + 1, 0 FROM ak),
-an AS (SELECT device_id, appliance, p, CAST(SUM(next) AS DOUBLE) * CAST(13.47 AS DOUBLE) AS php FROM au GROUP BY 1, 2, 3),
-tp AS (SELECT *, row_number() OVER (PARTITION BY device_id, p ORDER BY php DESC, list_position(['view', 'click', 'purchase', 'signup', 'error'], appliance)) AS rn FROM an)
+ak AS (SELECT device_id, appliance, strftime(ts, '%Y-%m-%d') AS base_day, SUM(kwh) AS k FROM r GROUP BY 1, 2, 3),
+an AS (SELECT d.device_id, d.base_day, q.appliance, COALESCE(CAST(k AS DOUBLE), 0.0) * CAST(13.47 AS DOUBLE) AS php
+  FROM d CROSS JOIN (SELECT unnest(['view', 'click', 'purchase', 'signup', 'error']) AS appliance) q
+  LEFT JOIN ak ON ak.device_id = d.device_id AND ak.base_day = d.base_day AND ak.appliance = q.appliance),
+tp AS (SELECT *, row_number() OVER (PARTITION BY device_id, base_day ORDER BY php DESC, list_position(['view', 'click', 'purchase', 'signup', 'error'], appliance)) AS rn FROM an)
 SELECT d.device_id, d.base_day, prev_kwh, next_kwh, prev_kwh AS actual_kwh, ROUND(prev_cost, 4) AS prev_cost, ROUND(next_cost, 4) AS next_cost,
   tp.appliance AS top_appliance, CASE WHEN next_cost < budget THEN 'OK' ELSE 'At-Risk' END AS budget_status, 'Next 24 Hours' AS period_text,
   ROUND(CASE WHEN {RATIO_SQL} > 1 THEN 100.0 ELSE {RATIO_SQL} * 100.0 END, 4) AS progress_pct, {OVER_SQL} AS budget_text,
   concat('₱', format('{{:,}}', CAST(floor(next_cost + 0.5) AS BIGINT))) AS forecast_text
 FROM d JOIN b ON b.device_id = d.device_id
-JOIN tp ON tp.device_id = d.device_id AND rn = 1 AND strftime(make_timestamp(tp.p * 86400000000), '%Y-%m-%d') = d.base_day"""
+JOIN tp ON tp.device_id = d.device_id AND rn = 1 AND tp.base_day = d.base_day"""
 )
 def kpi_summary(spark: SparkSession, folder: str) -> DataFrame:
     rows = kpi_totals(readings(spark, folder), ["device_id"], 24, TARIFF, KINDS).join(budgets(spark, folder), "device_id")
@@ -327,30 +331,20 @@ def budget_rules(spark: SparkSession, folder: str) -> DataFrame:
 s AS (SELECT device_id, appliance, CAST(floor(epoch(ts) / 14400) AS BIGINT) AS p, SUM(kwh) AS k FROM r
   WHERE appliance IN ('view', 'click', 'purchase') GROUP BY 1, 2, 3),
 u AS (SELECT device_id, appliance, p, 0 AS prev, k AS next FROM s UNION ALL SELECT device_id, appliance, p + 1, k, 0 FROM s),
-a AS (SELECT device_id, appliance, p, CAST(SUM(prev) AS DOUBLE) AS prev_kwh, CAST(SUM(next) AS DOUBLE) AS next_kwh FROM u GROUP BY 1, 2, 3
-  UNION ALL SELECT DISTINCT device_id, 'signup', p, 0.0, CAST(0.6 AS DOUBLE) FROM u),
-f AS (SELECT device_id, p, CAST(SUM(CAST(prev_kwh AS DECIMAL(18,2))) AS DOUBLE) AS prev_kwh, CAST(SUM(CAST(next_kwh AS DECIMAL(18,2))) AS DOUBLE) AS next_kwh FROM a GROUP BY 1, 2),
-t AS (SELECT *, row_number() OVER (PARTITION BY device_id, p ORDER BY next_kwh DESC, list_position(['view', 'click', 'signup'], appliance)) AS rn
-  FROM a WHERE appliance <> 'purchase'),
-o AS (SELECT device_id, p, appliance FROM t WHERE rn = 1)
-SELECT f.device_id, strftime(make_timestamp(f.p * 14400000000), {ISO}) AS base, prev_kwh, next_kwh, ROUND(next_kwh * CAST(13.47 AS DOUBLE), 4) AS next_cost,
-  o.appliance AS top_appliance, CASE WHEN next_kwh * CAST(13.47 AS DOUBLE) < 300 THEN 'OK' ELSE 'At-Risk' END AS budget_status, 'Next 4 Hours' AS period_text
-FROM f JOIN o ON o.device_id = f.device_id AND o.p = f.p"""
+f AS (SELECT device_id, p, CAST(SUM(prev) AS DOUBLE) AS prev_kwh, CAST(SUM(next) AS DOUBLE) + CAST(0.6 AS DOUBLE) AS next_kwh,
+    COALESCE(CAST(SUM(next) FILTER (WHERE appliance = 'view') AS DOUBLE), 0.0) AS cool,
+    COALESCE(CAST(SUM(next) FILTER (WHERE appliance = 'click') AS DOUBLE), 0.0) AS cold FROM u GROUP BY 1, 2)
+SELECT device_id, strftime(make_timestamp(p * 14400000000), {ISO}) AS base, prev_kwh, next_kwh, ROUND(next_kwh * CAST(13.47 AS DOUBLE), 4) AS next_cost,
+  CASE WHEN cool >= cold AND cool >= CAST(0.6 AS DOUBLE) THEN 'view' WHEN cold >= CAST(0.6 AS DOUBLE) THEN 'click' ELSE 'signup' END AS top_appliance,
+  CASE WHEN next_kwh * CAST(13.47 AS DOUBLE) < 300 THEN 'OK' ELSE 'At-Risk' END AS budget_status, 'Next 4 Hours' AS period_text
+FROM f"""
 )
 def landing_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Four-hour summary of four appliances. The fan ('signup') is a constant 0.15 kWh per hour, and the
     washing machine ('purchase') counts in the totals but not for the top appliance."""
+    fan = F.lit(4 * 0.15)
     measured = readings(spark, folder).filter(F.col("appliance").isin("view", "click", "purchase"))
-    paired = period_totals(measured, ["device_id", "appliance"], 4)
-    exact = lambda c: F.sum(F.col(c).cast("decimal(18,2)"))
-    candidate = F.when(F.col("appliance") != "purchase", F.struct(F.col("next_kwh"), F.when(F.col("appliance") == "view", 3).otherwise(2).alias("o"), F.col("appliance").alias("name")))
-    fan = F.struct(F.lit(0.6).alias("next_kwh"), F.lit(1).alias("o"), F.lit("signup").alias("name"))
-    rows = paired.groupBy("device_id", "period").agg(
-        exact("prev_kwh").cast("double").alias("prev_kwh"),
-        (exact("next_kwh") + F.lit(0.6).cast("decimal(18,2)")).cast("double").alias("next_kwh"),
-        F.max(candidate).alias("_top"),
-    )
-    rows = with_costs(rows, TARIFF).withColumn("top_appliance", F.greatest(F.coalesce("_top", fan), fan)["name"])
+    rows = kpi_totals(measured, ["device_id"], 4, TARIFF, constants={"signup": fan}, priority=["view", "click", "signup"])
     return rounded(rows, ["next_cost"]).select(
         "device_id",
         iso(period_start(F.col("period"), 4)).alias("base"),

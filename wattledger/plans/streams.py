@@ -10,6 +10,7 @@ from wattledger.plans.alerting import COOLDOWN_SQL
 from wattledger.plans.metering import INTERVAL_SQL
 from wattledger.plans.registry import query
 from wattledger.plans.tables import ISO, READINGS_SQL, level
+from wattledger.streaming.carry import cooldown_step, interval_energy_step, run_carried
 from wattledger.streaming.alerts import stream_alert_cooldown
 from wattledger.streaming.energy import stream_hourly as hourly_windows
 from wattledger.streaming.energy import stream_interval_energy as energy_between
@@ -35,26 +36,48 @@ def stream_hourly(spark: SparkSession, folder: str) -> DataFrame:
     return stored.select("device_id", iso(F.col("slot_ts")).alias("slot"), F.col("kwh").cast("double").alias("kwh"), "n_readings")
 
 
-@query(
+STREAM_INTERVAL_SQL = (
     INTERVAL_SQL
     + """SELECT event_id, device_id, interval_seconds, kwh_interval_kwh,
   CASE WHEN interval_seconds IS NULL THEN NULL WHEN kwh_interval_kwh > 0 THEN kwh_interval_kwh
     ELSE power_w / CAST(1000 AS DOUBLE) * interval_seconds / CAST(3600 AS DOUBLE) END AS energy_final_kwh
 FROM f"""
 )
-def stream_interval_energy(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _stream(spark, folder).select(
+INTERVAL_COLUMNS = ["event_id", "device_id", "interval_seconds", "kwh_interval_kwh", "energy_final_kwh"]
+
+
+def _counters(spark: SparkSession, folder: str) -> DataFrame:
+    return _stream(spark, folder).select(
         "event_id", F.col("user_id").alias("device_id"), "ts", F.col("value").alias("kwh_total"), level().cast("double").alias("power_w")
     )
-    stored = run_available(energy_between(rows, max_gap_seconds=86400), "stream-interval")
-    return stored.select("event_id", "device_id", "interval_seconds", "kwh_interval_kwh", "energy_final_kwh")
+
+
+def _alerts(spark: SparkSession, folder: str) -> DataFrame:
+    kind = F.when(F.col("value") >= 80, F.lit("critical")).when(F.col("value") >= 40, F.lit("warning"))
+    return _stream(spark, folder).select("event_id", F.col("user_id").alias("household"), "ts", kind.alias("alert_type"))
+
+
+@query(STREAM_INTERVAL_SQL)
+def stream_interval_energy(spark: SparkSession, folder: str) -> DataFrame:
+    stored = run_available(energy_between(_counters(spark, folder), max_gap_seconds=86400), "stream-interval")
+    return stored.select(*INTERVAL_COLUMNS)
+
+
+@query(STREAM_INTERVAL_SQL)
+def stream_interval_carried(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by micro-batches that run the batch operator and carry the newest reading per device."""
+    stored = run_carried(_counters(spark, folder), interval_energy_step(86400), "carried-interval")
+    return stored.select(*INTERVAL_COLUMNS)
 
 
 @query(COOLDOWN_SQL)
 def stream_cooldown(spark: SparkSession, folder: str) -> DataFrame:
-    kind = F.when(F.col("value") >= 80, F.lit("critical")).when(F.col("value") >= 40, F.lit("warning"))
-    rows = _stream(spark, folder).select(
-        "event_id", F.col("user_id").alias("household"), "ts", kind.alias("alert_type")
-    )
-    stored = run_available(stream_alert_cooldown(rows), "stream-cooldown")
+    stored = run_available(stream_alert_cooldown(_alerts(spark, folder)), "stream-cooldown")
+    return stored.select("event_id", "household", iso(F.col("ts")).alias("at"), "alert_type", "is_sent")
+
+
+@query(COOLDOWN_SQL)
+def stream_cooldown_carried(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by micro-batches that carry the last sent alert per household."""
+    stored = run_carried(_alerts(spark, folder), cooldown_step(), "carried-cooldown")
     return stored.select("event_id", "household", iso(F.col("ts")).alias("at"), "alert_type", "is_sent")

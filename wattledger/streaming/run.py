@@ -11,14 +11,17 @@ from wattledger.sources.sinks import write_outbox_batch
 
 
 def stream_events(
-    spark: SparkSession, folder: str, files: str = "events.parquet", max_files_per_trigger: int = 1000
+    spark: SparkSession, folder: str, files: str = "events.parquet",
+    max_bytes_per_trigger: int = 16 << 30, max_files_per_trigger: int | None = None,
 ) -> DataFrame:
-    return (
-        spark.readStream.schema(EVENTS)
-        .option("pathGlobFilter", files)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .parquet(folder)
-    )
+    """Event files as a stream. The size of a micro-batch is limited, and with it the rows that one
+    key can bring to a stateful operator at once."""
+    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", files)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
+    return reader.parquet(folder)
 
 
 def run_available(
