@@ -9,7 +9,9 @@ from wattledger.functions.times import HOUR_US, hour_slot, seconds_between
 from wattledger.operators.ordered import (
     PIECE,
     PIECE_ROWS,
+    Pieces,
     cut_large_keys,
+    left_join_null_safe,
     with_previous,
     with_running_sum,
 )
@@ -99,7 +101,7 @@ def interval_energy(
     )
     if run_ids:
         rows = rows.withColumn("_step", F.col("_new_run").cast("int"))
-        rows = with_running_sum(type(pieces)(rows, [key], pieces.cut), order, "_step", "run_id").rows
+        rows = with_running_sum(Pieces(rows, [key], pieces.cut), order, "_step", "run_id").rows
         rows = rows.drop("_step")
     return energy_columns(rows.drop("_new_run", PIECE))
 
@@ -107,7 +109,7 @@ def interval_energy(
 def reading_intervals(
     df: DataFrame, key: str = "device_id", ts: str = "ts", tie: list[str] | None = None,
     piece_rows: int = PIECE_ROWS,
-) -> DataFrame:
+) -> Pieces:
     """Whole seconds between a reading and the one before it (first readings are left out)."""
     pieces = with_previous(
         cut_large_keys(df.select(key, ts, *(tie or [])), [key], ts, piece_rows),
@@ -115,9 +117,10 @@ def reading_intervals(
         {"gap_start": ts},
     )
     seconds = F.floor(seconds_between(F.unix_micros(ts), F.unix_micros("gap_start")))
-    return pieces.rows.filter(F.col("gap_start").isNotNull()).select(
-        key, "gap_start", F.col(ts).alias("gap_end"), seconds.alias("seconds")
+    rows = pieces.rows.filter(F.col("gap_start").isNotNull()).select(
+        key, PIECE, "gap_start", F.col(ts).alias("gap_end"), seconds.alias("seconds")
     )
+    return Pieces(rows, [key], pieces.cut)
 
 
 def median_cadence(intervals: DataFrame, key: str = "device_id") -> DataFrame:
@@ -140,16 +143,23 @@ def gap_report(
     df: DataFrame, key: str = "device_id", ts: str = "ts", tie: list[str] | None = None,
     factor: float = 3.0, piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """Gaps longer than ``factor`` times the usual cadence, with the number of missed slots."""
+    """Gaps longer than ``factor`` times the usual cadence, with the number of missed slots.
+
+    The cadence is joined on the partitioning that the intervals already have, so they are not
+    shuffled again; for cut keys it is first repeated for every piece.
+    """
     intervals = reading_intervals(df, key, ts, tie, piece_rows)
-    cadence = median_cadence(intervals, key)
+    cadence, on = median_cadence(intervals.rows, key), [key]
+    if intervals.cut:
+        on = [key, PIECE]
+        pieces = intervals.rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+        cadence = left_join_null_safe(pieces, cadence, [key])
+    usual = F.greatest(F.col("cadence_seconds"), F.lit(1))
     return (
-        intervals.join(cadence, key)
-        .filter(F.col("seconds") > F.lit(factor) * F.greatest(F.col("cadence_seconds"), F.lit(1)))
-        .withColumn(
-            "missed_slots",
-            F.floor(F.col("seconds") / F.greatest(F.col("cadence_seconds"), F.lit(1))) - 1,
-        )
+        left_join_null_safe(intervals.rows, cadence, on)
+        .filter(F.col("seconds") > F.lit(factor) * usual)
+        .withColumn("missed_slots", F.floor(F.col("seconds") / usual) - 1)
+        .drop(PIECE)
     )
 
 

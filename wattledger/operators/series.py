@@ -152,14 +152,18 @@ def fixed_share_breakdown(df: DataFrame, value: str = "kwh") -> DataFrame:
     )
 
 
-def appliance_filter(df: DataFrame, selected: str, value: str = "kwh") -> DataFrame:
-    """The total for 'All Appliances', else the constant share of the selected one (unknown: 5 %)."""
-    if selected.startswith("All Appliances"):
-        share = 1.0
-    else:
-        share = FIXED_SHARES.get(selected, OTHER_SHARE)
-    return df.withColumn("selected", F.lit(selected)).withColumn(
-        "selected_kwh", F.col(value).cast("double") * F.lit(share)
+def appliance_filter(df: DataFrame, selected: list[str], value: str = "kwh") -> DataFrame:
+    """One row per filter choice: the total for 'All Appliances', else the constant share of the
+    selected appliance (unknown names: 5 %)."""
+    share = lambda name: 1.0 if name.startswith("All Appliances") else FIXED_SHARES.get(name, OTHER_SHARE)
+    choices = F.array(
+        *[F.struct(F.lit(n).alias("selected"), F.lit(share(n)).alias("share")) for n in selected]
+    )
+    return (
+        df.withColumn("_c", F.explode(choices))
+        .withColumn("selected", F.col("_c.selected"))
+        .withColumn("selected_kwh", F.col(value).cast("double") * F.col("_c.share"))
+        .drop("_c")
     )
 
 

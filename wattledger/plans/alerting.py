@@ -16,7 +16,7 @@ from wattledger.operators.alerts import (
     unread_counts as count_unread,
 )
 from wattledger.operators.budget import alert_type, usage_percent
-from wattledger.plans.costs import ALERT_SQL, PERCENT_SQL, day_costs
+from wattledger.plans.costs import PERCENT_SQL, day_costs
 from wattledger.plans.registry import query
 from wattledger.plans.tables import (
     ALERT_EVENTS_SQL,
@@ -24,12 +24,15 @@ from wattledger.plans.tables import (
     DAYS_SQL,
     ISO,
     LEVEL_SQL,
+    SETTINGS_SQL,
     alert_events,
     budgets,
     events,
     level,
+    settings_history,
 )
 from wattledger.session import shared_dir
+from wattledger.sources.settings import latest_settings, settings_or_default
 from wattledger.sources.sinks import write_alert_outbox
 
 COOLDOWN_SQL = f"""WITH RECURSIVE {ALERT_EVENTS_SQL},
@@ -50,28 +53,30 @@ def alert_cooldown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _day_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    """Days of households that raise an alert, with the fields a notice or mail needs."""
-    days = day_costs(spark, folder).join(budgets(spark, folder), "device_id")
+    """Days of households that raise an alert under their own settings, gated by these settings."""
+    saved = latest_settings(settings_history(spark, folder), tie=["event_id"]).drop("ts")
+    limits = budgets(spark, folder).withColumnRenamed("device_id", "household")
+    settings = settings_or_default(limits, saved).join(limits, "household")
+    days = day_costs(spark, folder).withColumnRenamed("device_id", "household")
     cost, budget = F.col("next_cost"), F.col("budget")
-    alerts = days.withColumns(
+    alerts = days.join(alerts_enabled(settings), "household").withColumns(
         {
-            "household": F.col("device_id"),
-            "alert_type": alert_type(cost, budget),
+            "alert_type": alert_type(cost, budget, F.col("threshold_approaching"), F.col("threshold_critical")),
             "usage_percent": usage_percent(cost, budget),
-            "currency": F.when(F.col("device_id") % 2 == 0, F.lit("PHP")).otherwise(F.lit("USD")),
-            "email_enabled": F.col("device_id") % 7 != 0,
-            "email_address": F.when(
-                F.col("device_id") % 5 != 0, F.concat(F.lit("h"), F.col("device_id").cast("string"), F.lit("@gmail.com"))
-            ).otherwise(F.lit("")),
         }
     )
-    return alerts_enabled(alerts).filter(F.col("alert_type").isNotNull())
-
-
-DAY_ALERTS_SQL = f"""WITH {DAYS_SQL}, {BUDGETS_SQL},
-x AS (SELECT d.device_id AS household, base_day, next_cost, budget, {PERCENT_SQL} AS p, {ALERT_SQL} AS alert_type,
-    CASE WHEN d.device_id % 2 = 0 THEN '₱' ELSE '$' END AS sym, concat('h', d.device_id, '@gmail.com') AS email_address
-  FROM d JOIN b ON b.device_id = d.device_id WHERE d.device_id % 7 <> 0 AND d.device_id % 5 <> 0),
+    return alerts.filter(F.col("alert_type").isNotNull())
+
+
+DAY_ALERTS_SQL = f"""WITH {DAYS_SQL}, {BUDGETS_SQL}, {SETTINGS_SQL},
+last AS (SELECT household, arg_max(email_enabled, (ts, event_id)) AS email_enabled, arg_max(email_address, (ts, event_id)) AS email_address,
+    arg_max(threshold_approaching, (ts, event_id)) AS lo, arg_max(threshold_critical, (ts, event_id)) AS hi,
+    arg_max(currency, (ts, event_id)) AS currency FROM h GROUP BY 1),
+x AS (SELECT d.device_id AS household, base_day, next_cost, budget, {PERCENT_SQL} AS p,
+    CASE WHEN budget = 0 THEN CASE WHEN next_cost > 0 THEN 'critical' END
+      WHEN {PERCENT_SQL} >= hi THEN 'critical' WHEN {PERCENT_SQL} >= lo THEN 'warning' END AS alert_type,
+    CASE WHEN currency = 'PHP' THEN '₱' ELSE '$' END AS sym, email_address
+  FROM d JOIN b ON b.device_id = d.device_id JOIN last ON last.household = d.device_id WHERE email_enabled AND email_address <> ''),
 y AS (SELECT * FROM x WHERE alert_type IS NOT NULL)
 """
 

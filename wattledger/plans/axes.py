@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattledger.constants import ACTUAL_BASE, ACTUAL_INCREMENT
 from wattledger.functions.numbers import leading_double, leading_int
-from wattledger.functions.times import hour_slot, iso, long_date
+from wattledger.functions.times import iso, long_date
 from wattledger.operators.axis import (
     build_axis,
     day_steps,
@@ -247,9 +247,8 @@ SELECT device_id, selected, ROUND(SUM(CAST(kwh AS DOUBLE) * share), 4) AS select
 def appliance_selection(spark: SparkSession, folder: str) -> DataFrame:
     """Household totals under three filter choices: all, a known appliance and an unknown one."""
     totals = hourly_energy(readings(spark, folder), ["device_id"])
-    chosen = [appliance_filter(totals, name) for name in ("All Appliances", "Refrigerator", "Heater")]
-    stacked = chosen[0].unionByName(chosen[1]).unionByName(chosen[2])
-    return stacked.groupBy("device_id", "selected").agg(F.round(F.sum("selected_kwh"), 4).alias("selected_kwh"))
+    chosen = appliance_filter(totals, ["All Appliances", "Refrigerator", "Heater"])
+    return chosen.groupBy("device_id", "selected").agg(F.round(F.sum("selected_kwh"), 4).alias("selected_kwh"))
 
 
 @query(

@@ -49,6 +49,8 @@ def run_carried(stream: DataFrame, step: Step, name: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
+    if not output:
+        return step(spark.createDataFrame([], stream.schema), None)[0]
     schema = T.StructType([*output[0].fields, T.StructField("batch_id", T.LongType())])
     return spark.read.schema(schema).parquet(f"{target}/rows").drop("batch_id")
 

@@ -41,11 +41,17 @@ def run_available(
     before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)
+    done: list[int] = []
+
+    def store(rows: DataFrame, batch_id: int) -> None:
+        write_outbox_batch(rows, batch_id, f"{target}/rows")
+        done.append(batch_id)
+
     try:
         query = (
             df.writeStream.outputMode(output_mode)
             .option("checkpointLocation", f"{target}/state")
-            .foreachBatch(lambda rows, batch_id: write_outbox_batch(rows, batch_id, f"{target}/rows"))
+            .foreachBatch(store)
             .trigger(availableNow=True)
             .start()
         )
@@ -53,5 +59,7 @@ def run_available(
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    if not done:
+        return spark.createDataFrame([], df.schema)
     schema = T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])
     return spark.read.schema(schema).parquet(f"{target}/rows").drop("batch_id")
