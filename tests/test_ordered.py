@@ -39,7 +39,7 @@ def test_previous_and_running_sum(skewed, piece_rows):
     pieces = cut_large_keys(skewed, ["device_id"], "ts", piece_rows)
     assert pieces.cut
     order = ["ts", "event_id"]
-    got = with_running_sum(with_previous(pieces, order, {"p": "event_id"}), order, "power_w", "s").rows
+    got = with_running_sum(with_previous(pieces, order, {"p": "event_id"}), order, "power_w", "s").result()
     w = Window.partitionBy("device_id").orderBy(*order)
     want = skewed.withColumn("p", F.lag("event_id").over(w)).withColumn(
         "s", F.sum("power_w").over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -70,7 +70,7 @@ def test_pieces_stay_near_the_limit(skewed):
 
 def test_small_keys_are_not_cut(skewed):
     pieces = cut_large_keys(skewed, ["device_id"], "ts")
-    assert not pieces.cut and "Join" not in pieces.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not pieces.cut and pieces.by == ["device_id"] and "Join" not in pieces.rows._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_interval_energy_and_runs(skewed):
@@ -95,3 +95,19 @@ def test_welcome_triggers(skewed):
     plain = welcome_triggers(history, tie=["event_id"])
     cut = welcome_triggers(history, tie=["event_id"], piece_rows=30).select(*plain.columns)
     assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect()))
+
+
+def test_rows_are_shuffled_once(spark, skewed):
+    """The handover joins on the partitioning of the window."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = interval_energy(skewed, tie=["event_id"], piece_rows=30)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.splitlines()
+    join = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
+    left = lines[join + 1 :]
+    window = next(i for i, line in enumerate(left) if "Window" in line)
+    assert not any("Exchange" in line for line in left[:window])

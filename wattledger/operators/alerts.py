@@ -18,8 +18,8 @@ from wattledger.operators.ordered import (
     PIECE,
     PIECE_ROWS,
     WHOLE_KEY,
+    Pieces,
     cut_large_keys,
-    left_join_null_safe,
     with_previous,
 )
 from wattledger.schemas import THRESHOLD_REQUEST
@@ -57,36 +57,37 @@ def alert_cooldown(
     pieces = cut_large_keys(alerts, [key], ts, piece_rows, piece_seconds)
     rows = pieces.rows
     if pieces.cut:
-        starts = _piece_starts(rows, key, alert_type, tie, cooldown)
-        rows = left_join_null_safe(rows, starts, [key, PIECE])
+        rows = rows.join(_piece_starts(pieces, alert_type, tie, cooldown), pieces.by, "left")
     else:
         rows = rows.withColumns(
             {"_start_type": F.lit(None).cast("string"), "_start_us": F.lit(None).cast("bigint")}
         )
     schema = T.StructType([*rows.schema.fields, T.StructField("is_sent", T.BooleanType())])
     marked = (
-        rows.repartition(key, PIECE)
-        .sortWithinPartitions(key, PIECE, "_us", *tie)
-        .mapInArrow(_marker(key, alert_type, cooldown), schema)
+        rows.repartition(*pieces.by)
+        .sortWithinPartitions(*pieces.by, "_us", *tie)
+        .mapInArrow(_marker(pieces.by, alert_type, cooldown), schema)
     )
-    return marked.drop("_us", PIECE, "_start_type", "_start_us")
+    return pieces.with_rows(marked).result().drop("_us", "_start_type", "_start_us")
 
 
-def _marker(key: str, alert_type: str, cooldown: int):
+def _marker(by: list[str], alert_type: str, cooldown: int):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # (key, piece, type, last sent time) of the row before the batch
+        before = None  # (key and piece, type, last sent time) of the row before the batch
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
-            piece, kind, us = column(PIECE), column(alert_type), column("_us")
-            # Codes instead of values, so that a null key equals itself.
-            keys = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy()
-            first_key, last_key = batch.column(key)[0].as_py(), batch.column(key)[-1].as_py()
+            kind, us = column(alert_type), column("_us")
             sent = np.zeros(len(us), dtype=bool)
 
-            new_piece = np.ones(len(us), dtype=bool)
-            new_piece[1:] = (keys[1:] != keys[:-1]) | (piece[1:] != piece[:-1])
+            new_piece = np.zeros(len(us), dtype=bool)
+            new_piece[0] = True
+            for name in by:
+                # Codes instead of values, so that a null key equals itself.
+                codes = batch.column(name).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new_piece[1:] |= codes[1:] != codes[:-1]
+            first = tuple(batch.column(name)[0].as_py() for name in by)
             new_run = new_piece.copy()
             new_run[1:] |= kind[1:] != kind[:-1]
             starts = np.flatnonzero(new_run)
@@ -100,8 +101,8 @@ def _marker(key: str, alert_type: str, cooldown: int):
             for i, row in enumerate(starts):
                 if new_piece[row] and start_types[i] == kind[row]:
                     inherited[i] = start_times[i]
-            if before and (first_key, piece[0]) == before[:2]:
-                inherited[0] = before[3] if before[2] == kind[0] else np.iinfo(np.int64).min
+            if before and before[0] == first:
+                inherited[0] = before[2] if before[1] == kind[0] else np.iinfo(np.int64).min
 
             # Put the runs one after another on one line, far enough apart for a single search.
             since_start = us - us[starts][run]
@@ -119,7 +120,7 @@ def _marker(key: str, alert_type: str, cooldown: int):
 
             last = np.flatnonzero(sent[starts[-1]:])
             last_sent = us[starts[-1] + last[-1]] if len(last) else inherited[-1]
-            before = (last_key, piece[-1], kind[-1], last_sent)
+            before = (tuple(batch.column(name)[-1].as_py() for name in by), kind[-1], last_sent)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(sent)], names=[*batch.schema.names, "is_sent"]
             )
@@ -127,13 +128,13 @@ def _marker(key: str, alert_type: str, cooldown: int):
     return mark
 
 
-def _piece_starts(rows: DataFrame, key: str, alert_type: str, tie: list[str], cooldown: int) -> DataFrame:
+def _piece_starts(pieces: Pieces, alert_type: str, tie: list[str], cooldown: int) -> DataFrame:
     """Type and time of the last sent alert before each piece of a cut household."""
-    key_field = rows.schema[key]
+    rows, by = pieces.rows, pieces.by
+    by_fields = [rows.schema[c] for c in by]
     report_schema = T.StructType(
         [
-            key_field,
-            T.StructField(PIECE, T.LongType()),
+            *by_fields,
             T.StructField("first_type", T.StringType()),
             T.StructField("last_type", T.StringType()),
             T.StructField("from_us", T.LongType()),  # null: the end does not depend on the start
@@ -142,12 +143,7 @@ def _piece_starts(rows: DataFrame, key: str, alert_type: str, tie: list[str], co
         ]
     )
     start_schema = T.StructType(
-        [
-            key_field,
-            T.StructField(PIECE, T.LongType()),
-            T.StructField("_start_type", T.StringType()),
-            T.StructField("_start_us", T.LongType()),
-        ]
+        [*by_fields, T.StructField("_start_type", T.StringType()), T.StructField("_start_us", T.LongType())]
     )
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -165,8 +161,7 @@ def _piece_starts(rows: DataFrame, key: str, alert_type: str, tie: list[str], co
             from_us, end_us = us[:reach][keep].tolist(), ends[:reach][keep].tolist()
         return pd.DataFrame(
             {
-                key: pdf[key].iloc[0],
-                PIECE: pdf[PIECE].iloc[0],
+                **{c: pdf[c].iloc[0] for c in by},
                 "first_type": kind[0],
                 "last_type": kind[-1],
                 "from_us": pd.array(from_us, dtype="Int64"),
@@ -177,8 +172,8 @@ def _piece_starts(rows: DataFrame, key: str, alert_type: str, tie: list[str], co
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         state_type, state_us, out = None, None, []
-        for piece, part in pdf.sort_values([PIECE, "from_us"], kind="stable").groupby(PIECE):
-            out.append((pdf[key].iloc[0], piece, state_type, state_us))
+        for _, part in pdf.sort_values([PIECE, "from_us"], kind="stable").groupby(PIECE):
+            out.append((*part[by].iloc[0], state_type, state_us))
             head = part.iloc[0]
             if pd.isna(head["from_us"]):
                 state_us = int(head["end_us"])
@@ -189,16 +184,16 @@ def _piece_starts(rows: DataFrame, key: str, alert_type: str, tie: list[str], co
                 if at < len(part):
                     state_us = int(part["end_us"].iloc[at])
             state_type = head["last_type"]
-        frame = pd.DataFrame(out, columns=[key, PIECE, "_start_type", "_start_us"])
+        frame = pd.DataFrame(out, columns=[*by, "_start_type", "_start_us"])
         return frame.astype({"_start_us": "Int64"})
 
     reports = (
         rows.filter(F.col(PIECE) != WHOLE_KEY)
-        .select(key, PIECE, alert_type, "_us", *[t for t in tie if t != "_us"])
-        .groupBy(key, PIECE)
+        .select(*by, alert_type, "_us", *tie)
+        .groupBy(*by)
         .applyInPandas(report, report_schema)
     )
-    return reports.groupBy(key).applyInPandas(fold, start_schema)
+    return reports.groupBy(*by[:-1]).applyInPandas(fold, start_schema)
 
 
 def _chain_ends(us: np.ndarray, cooldown: int) -> np.ndarray:
@@ -301,7 +296,7 @@ def welcome_triggers(
         cut_large_keys(history, [key], ts, piece_rows), order, {"previous_address": address}
     )
     changed = F.col(address) != F.coalesce("previous_address", F.lit(""))
-    return pieces.rows.filter(changed & is_mail_domain(F.col(address), MAIL_DOMAIN, False)).drop(PIECE)
+    return pieces.result().filter(changed & is_mail_domain(F.col(address), MAIL_DOMAIN, False))
 
 
 def with_auto_enable(df: DataFrame, address: str = "email_address") -> DataFrame:

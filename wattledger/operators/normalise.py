@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from wattledger.functions.times import HOUR_US, hour_slot, seconds_between
 from wattledger.operators.ordered import (
-    PIECE,
     PIECE_ROWS,
     Pieces,
     cut_large_keys,
-    left_join_null_safe,
     with_previous,
     with_running_sum,
 )
@@ -101,26 +99,26 @@ def interval_energy(
     )
     if run_ids:
         rows = rows.withColumn("_step", F.col("_new_run").cast("int"))
-        rows = with_running_sum(Pieces(rows, [key], pieces.cut), order, "_step", "run_id").rows
-        rows = rows.drop("_step")
-    return energy_columns(rows.drop("_new_run", PIECE))
+        rows = with_running_sum(pieces.with_rows(rows), order, "_step", "run_id").rows
+    return energy_columns(pieces.with_rows(rows).result().drop("_new_run", "_step"))
 
 
 def reading_intervals(
     df: DataFrame, key: str = "device_id", ts: str = "ts", tie: list[str] | None = None,
     piece_rows: int = PIECE_ROWS,
 ) -> Pieces:
-    """Whole seconds between a reading and the one before it (first readings are left out)."""
+    """Whole seconds between a reading and the one before it, for readings that name a device (first
+    readings are left out)."""
+    named = df.filter(F.col(key).isNotNull()).select(key, ts, *(tie or []))
     pieces = with_previous(
-        cut_large_keys(df.select(key, ts, *(tie or [])), [key], ts, piece_rows),
-        [ts, *(tie or [])],
-        {"gap_start": ts},
+        cut_large_keys(named, [key], ts, piece_rows), [ts, *(tie or [])], {"gap_start": ts}
     )
     seconds = F.floor(seconds_between(F.unix_micros(ts), F.unix_micros("gap_start")))
     rows = pieces.rows.filter(F.col("gap_start").isNotNull()).select(
-        key, PIECE, "gap_start", F.col(ts).alias("gap_end"), seconds.alias("seconds")
+        key, "gap_start", F.col(ts).alias("gap_end"), seconds.alias("seconds"),
+        *[c for c in pieces.by if c != key],
     )
-    return Pieces(rows, [key], pieces.cut)
+    return pieces.with_rows(rows)
 
 
 def median_cadence(intervals: DataFrame, key: str = "device_id") -> DataFrame:
@@ -149,17 +147,16 @@ def gap_report(
     shuffled again; for cut keys it is first repeated for every piece.
     """
     intervals = reading_intervals(df, key, ts, tie, piece_rows)
-    cadence, on = median_cadence(intervals.rows, key), [key]
+    cadence = median_cadence(intervals.rows, key)
     if intervals.cut:
-        on = [key, PIECE]
-        pieces = intervals.rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-        cadence = left_join_null_safe(pieces, cadence, [key])
+        pieces = intervals.rows.groupBy(key, *intervals.by).agg(F.count(F.lit(1)).alias("_n"))
+        cadence = pieces.join(cadence, key).drop(key, "_n")
     usual = F.greatest(F.col("cadence_seconds"), F.lit(1))
+    joined = intervals.with_rows(intervals.rows.join(cadence, intervals.by))
     return (
-        left_join_null_safe(intervals.rows, cadence, on)
+        joined.result()
         .filter(F.col("seconds") > F.lit(factor) * usual)
         .withColumn("missed_slots", F.floor(F.col("seconds") / usual) - 1)
-        .drop(PIECE)
     )
 
 
