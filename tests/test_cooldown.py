@@ -87,3 +87,18 @@ def test_alerts_without_household(spark, piece_rows):
     df = frame(spark, rows)
     df = df.withColumn("household", F.when(df.household != 1, df.household))
     assert marked(df, piece_rows=piece_rows, piece_seconds=86400) == fold(rows)
+
+
+@pytest.mark.parametrize("piece_rows", [10**9, 50])
+def test_households_stay_together(spark, piece_rows):
+    """Adaptive plans must not spread a household over tasks, whatever the input's partitioning was."""
+    rows = sample(8, 0.01)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        names = frame(spark, [(0, h, START, "x") for h in range(1, 30)]).select("household", F.lit(1).alias("n"))
+        df = frame(spark, rows).join(names, "household").drop("n")
+        assert marked(df, piece_rows=piece_rows, piece_seconds=86400) == fold(rows)
+        assert marked(frame(spark, rows), piece_rows=piece_rows, piece_seconds=86400) == fold(rows)
+    finally:
+        spark.conf.set(key, "true")

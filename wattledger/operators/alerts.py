@@ -53,74 +53,69 @@ def alert_cooldown(
     """
     tie = tie or []
     cooldown = int(cooldown_hours * 3_600_000_000)
-    alerts = df.filter(F.col(alert_type).isNotNull()).withColumn("_us", F.unix_micros(ts))
+    us = F.coalesce(F.unix_micros(ts), F.lit(0))  # an alert without a time comes first
+    alerts = df.filter(F.col(alert_type).isNotNull()).withColumn("_us", us)
     pieces = cut_large_keys(alerts, [key], ts, piece_rows, piece_seconds)
-    rows = pieces.rows
+    rows = pieces.rows.withColumn("_real", F.lit(True))
     if pieces.cut:
-        rows = rows.join(_piece_starts(pieces, alert_type, tie, cooldown), pieces.by, "left")
-    else:
-        rows = rows.withColumns(
-            {"_start_type": F.lit(None).cast("string"), "_start_us": F.lit(None).cast("bigint")}
-        )
+        starts = _piece_starts(pieces, alert_type, tie, cooldown).withColumn("_real", F.lit(False))
+        rows = rows.unionByName(starts, allowMissingColumns=True)
     schema = T.StructType([*rows.schema.fields, T.StructField("is_sent", T.BooleanType())])
+    # A hash of the columns, as Spark leaves out a repartitioning by columns that the input already has;
+    # an adaptive plan could then read the rows of a household in several tasks.
     marked = (
-        rows.repartition(*pieces.by)
+        rows.repartition(F.xxhash64(*pieces.by))
         .sortWithinPartitions(*pieces.by, "_us", *tie)
         .mapInArrow(_marker(pieces.by, alert_type, cooldown), schema)
+        .filter("_real")
     )
-    return pieces.with_rows(marked).result().drop("_us", "_start_type", "_start_us")
+    return pieces.with_rows(marked).result().drop("_us", "_real")
 
 
 def _marker(by: list[str], alert_type: str, cooldown: int):
+    never = np.iinfo(np.int64).min
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # (key and piece, type, last sent time) of the row before the batch
+        before = None  # (household and piece, type, last sent time) of the row before the batch
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+            group = lambda row: tuple(batch.column(name)[row].as_py() for name in by)
             kind, us = column(alert_type), column("_us")
-            sent = np.zeros(len(us), dtype=bool)
 
-            new_piece = np.zeros(len(us), dtype=bool)
-            new_piece[0] = True
-            for name in by:
-                # Codes instead of values, so that a null key equals itself.
+            # Runs of one type within a household. Codes are compared, so that a null equals itself.
+            new_run = np.zeros(len(us), dtype=bool)
+            new_run[0] = True
+            for name in (*by, alert_type):
                 codes = batch.column(name).dictionary_encode(null_encoding="encode").indices.to_numpy()
-                new_piece[1:] |= codes[1:] != codes[:-1]
-            first = tuple(batch.column(name)[0].as_py() for name in by)
-            new_run = new_piece.copy()
-            new_run[1:] |= kind[1:] != kind[:-1]
+                new_run[1:] |= codes[1:] != codes[:-1]
             starts = np.flatnonzero(new_run)
             ends = np.append(starts[1:], len(us))
             run = np.cumsum(new_run) - 1
 
-            # Last sent time a run inherits; none means that its first row is sent.
-            inherited = np.full(len(starts), np.iinfo(np.int64).min)
-            start_types = batch.column("_start_type").take(pa.array(starts)).to_pylist()
-            start_times = batch.column("_start_us").take(pa.array(starts)).to_pylist()
-            for i, row in enumerate(starts):
-                if new_piece[row] and start_types[i] == kind[row]:
-                    inherited[i] = start_times[i]
-            if before and before[0] == first:
-                inherited[0] = before[2] if before[1] == kind[0] else np.iinfo(np.int64).min
+            # The first row of a run is sent, unless the run goes on from the batch before.
+            inherited = np.full(len(starts), never)
+            if before and before[:2] == (group(0), kind[0]):
+                inherited[0] = before[2]
 
             # Put the runs one after another on one line, far enough apart for a single search.
             since_start = us - us[starts][run]
             lengths = since_start[ends - 1]
             offset = np.concatenate(([0], np.cumsum(lengths + cooldown + 1)[:-1]))
             line = since_start + offset[run]
-            wait = np.where(inherited > np.iinfo(np.int64).min, inherited + cooldown - us[starts], -1)
+            wait = np.where(inherited > never, inherited + cooldown - us[starts], -1)
             at = np.searchsorted(line, offset + np.maximum(wait, -1), side="right")
             at = at[at < ends]
+            sent = np.zeros(len(us), dtype=bool)
             while len(at):
                 sent[at] = True
                 following = np.searchsorted(line, line[at] + cooldown, side="right")
-                inside = following < ends[run[at]]
-                at = following[inside]
+                at = following[following < ends[run[at]]]
 
             last = np.flatnonzero(sent[starts[-1]:])
             last_sent = us[starts[-1] + last[-1]] if len(last) else inherited[-1]
-            before = (tuple(batch.column(name)[-1].as_py() for name in by), kind[-1], last_sent)
+            before = (group(len(us) - 1), kind[-1], last_sent)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(sent)], names=[*batch.schema.names, "is_sent"]
             )
@@ -129,7 +124,10 @@ def _marker(by: list[str], alert_type: str, cooldown: int):
 
 
 def _piece_starts(pieces: Pieces, alert_type: str, tie: list[str], cooldown: int) -> DataFrame:
-    """Type and time of the last sent alert before each piece of a cut household."""
+    """The last sent alert before each piece of a cut household, as a row that opens the piece.
+
+    It is older than the rows of the piece. As the first row it counts as sent, which sets the state.
+    """
     rows, by = pieces.rows, pieces.by
     by_fields = [rows.schema[c] for c in by]
     report_schema = T.StructType(
@@ -143,7 +141,7 @@ def _piece_starts(pieces: Pieces, alert_type: str, tie: list[str], cooldown: int
         ]
     )
     start_schema = T.StructType(
-        [*by_fields, T.StructField("_start_type", T.StringType()), T.StructField("_start_us", T.LongType())]
+        [*by_fields, T.StructField(alert_type, T.StringType()), T.StructField("_us", T.LongType())]
     )
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -173,7 +171,8 @@ def _piece_starts(pieces: Pieces, alert_type: str, tie: list[str], cooldown: int
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         state_type, state_us, out = None, None, []
         for _, part in pdf.sort_values([PIECE, "from_us"], kind="stable").groupby(PIECE):
-            out.append((*part[by].iloc[0], state_type, state_us))
+            if state_type is not None:
+                out.append((*part[by].iloc[0], state_type, state_us))
             head = part.iloc[0]
             if pd.isna(head["from_us"]):
                 state_us = int(head["end_us"])
@@ -184,8 +183,7 @@ def _piece_starts(pieces: Pieces, alert_type: str, tie: list[str], cooldown: int
                 if at < len(part):
                     state_us = int(part["end_us"].iloc[at])
             state_type = head["last_type"]
-        frame = pd.DataFrame(out, columns=[*by, "_start_type", "_start_us"])
-        return frame.astype({"_start_us": "Int64"})
+        return pd.DataFrame(out, columns=[*by, alert_type, "_us"])
 
     reports = (
         rows.filter(F.col(PIECE) != WHOLE_KEY)
