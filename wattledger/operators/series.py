@@ -116,11 +116,11 @@ def disaggregate(
 ) -> DataFrame:
     """Split each total by the appliances' weights; a zero weight total counts as one, nulls stay."""
     of_key = Window.partitionBy(*keys)
-    weight_sum = F.sum(weight).over(of_key)
+    weight_sum = F.sum(weight).over(of_key).cast("double")
     shares = appliance_kwh.withColumn(
-        "share", F.col(weight) / F.coalesce(F.nullif(weight_sum, F.lit(0.0)), F.lit(1.0))
+        "share", F.col(weight).cast("double") / F.coalesce(F.nullif(weight_sum, F.lit(0.0)), F.lit(1.0))
     ).select(*keys, appliance, "share")
-    return totals.join(shares, keys).withColumn("app_actual_kwh", F.col(value) * F.col("share"))
+    return totals.join(shares, keys).withColumn("app_actual_kwh", F.col(value).cast("double") * F.col("share"))
 
 
 def appliance_overlay(past: DataFrame, future: DataFrame, columns: list[str]) -> DataFrame:

@@ -188,19 +188,18 @@ sh AS (SELECT w.device_id, w.appliance, app_kwh / CASE WHEN total = 0 THEN 1.0 E
 
 def _disaggregated(spark: SparkSession, folder: str) -> DataFrame:
     base = readings(spark, folder)
-    weights = base.groupBy("device_id", "appliance").agg(F.sum("kwh").cast("double").alias("app_kwh"))
-    totals = hourly_energy(base, ["device_id"]).withColumn("kwh", F.col("kwh").cast("double"))
-    return disaggregate(totals, weights, ["device_id"])
+    weights = base.groupBy("device_id", "appliance").agg(F.sum("kwh").alias("app_kwh"))
+    return disaggregate(hourly_energy(base, ["device_id"]), weights, ["device_id"])
 
 
 @query(
     f"""WITH {DEVICE_HOURS_SQL}, {WEIGHTS_SQL}
-SELECT hr.device_id, appliance, strftime(slot_ts, {ISO}) AS slot, ROUND(CAST(kwh AS DOUBLE) * share, 6) AS app_actual_kwh
+SELECT hr.device_id, appliance, strftime(slot_ts, {ISO}) AS slot, CAST(kwh AS DOUBLE) * share AS app_actual_kwh
 FROM hr JOIN sh USING (device_id)"""
 )
 def disaggregate_actual(spark: SparkSession, folder: str) -> DataFrame:
     return _disaggregated(spark, folder).select(
-        "device_id", "appliance", iso(F.col("slot_ts")).alias("slot"), F.round("app_actual_kwh", 6).alias("app_actual_kwh")
+        "device_id", "appliance", iso(F.col("slot_ts")).alias("slot"), "app_actual_kwh"
     )
 
 
@@ -208,10 +207,10 @@ def disaggregate_actual(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {DEVICE_HOURS_SQL}, {WEIGHTS_SQL},
 ah AS (SELECT device_id, appliance, date_trunc('hour', ts) + INTERVAL 24 HOUR AS slot_ts, SUM(kwh) AS k FROM r GROUP BY 1, 2, 3)
 SELECT hr.device_id, appliance, strftime(slot_ts, {ISO}) AS slot, 'prev' AS segment,
-  ROUND(CAST(kwh AS DOUBLE) * share, 6) AS actual_kwh, ROUND(CAST(kwh AS DOUBLE) * share, 6) AS forecast_kwh
+  CAST(kwh AS DOUBLE) * share AS actual_kwh, CAST(kwh AS DOUBLE) * share AS forecast_kwh
 FROM hr JOIN sh USING (device_id)
 UNION ALL
-SELECT device_id, appliance, strftime(slot_ts, {ISO}), 'next', NULL, ROUND(CAST(k AS DOUBLE) * (CAST(1 AS DOUBLE) + CAST(10 AS DOUBLE) / 100), 6)
+SELECT device_id, appliance, strftime(slot_ts, {ISO}), 'next', NULL, CAST(k AS DOUBLE) * (CAST(1 AS DOUBLE) + CAST(10 AS DOUBLE) / 100)
 FROM ah WHERE slot_ts >= TIMESTAMP '{CUTOFF}'"""
 )
 def appliance_overlay(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,8 +221,7 @@ def appliance_overlay(spark: SparkSession, folder: str) -> DataFrame:
     scaled = ahead.withColumn("kwh", F.col("kwh").cast("double") * load_factor(F.lit(10)))
     rows = per_appliance(_disaggregated(spark, folder), scaled, [*keys, "slot_ts"])
     return rows.select(
-        *keys, iso(F.col("slot_ts")).alias("slot"), "segment", F.round("actual_kwh", 6).alias("actual_kwh"),
-        F.round("forecast_kwh", 6).alias("forecast_kwh"),
+        *keys, iso(F.col("slot_ts")).alias("slot"), "segment", "actual_kwh", "forecast_kwh"
     )
 
 

@@ -185,7 +185,7 @@ SCENARIOS = [
     f"""WITH {DAYS_SQL}, sc AS (SELECT * FROM (VALUES ('base', CAST(13.47 AS DOUBLE), 0), ('dearer', CAST(18 AS DOUBLE), 0), ('saving', CAST(13.47 AS DOUBLE), -20),
   ('heat wave', CAST(5 AS DOUBLE), 50), ('off limits', CAST(31 AS DOUBLE), 7)) v(scenario, tariff, load_pct))
 SELECT device_id, base_day, scenario, ROUND(prev_cost, 4) AS prev_cost, ROUND(next_kwh * (1.0 + load_pct / CAST(100 AS DOUBLE)), 6) AS scaled_next_kwh,
-  ROUND(next_kwh * (1.0 + load_pct / CAST(100 AS DOUBLE)) * tariff, 4) AS next_cost,
+  ROUND(next_kwh * (1.0 + load_pct / CAST(100 AS DOUBLE)) * tariff, 6) AS next_cost,
   tariff BETWEEN 5 AND 30 AND load_pct BETWEEN -50 AND 50 AND load_pct % 5 = 0 AS is_valid
 FROM d CROSS JOIN sc"""
 )
@@ -194,21 +194,21 @@ def scenario_costs(spark: SparkSession, folder: str) -> DataFrame:
     out = what_if(with_scenarios(days, SCENARIOS), TARIFF).withColumn(
         "is_valid", valid_scenario(F.col("tariff"), F.col("load_pct"))
     )
-    out = rounded(rounded(out, ["prev_cost", "next_cost"]), ["scaled_next_kwh"], 6)
+    out = rounded(rounded(out, ["prev_cost"]), ["scaled_next_kwh", "next_cost"], 6)
     return out.select("device_id", "base_day", "scenario", "prev_cost", "scaled_next_kwh", "next_cost", "is_valid")
 
 
 @query(
     f"""WITH {READINGS_SQL}, t AS (SELECT appliance, CAST(SUM(kwh) AS DOUBLE) AS next_kwh FROM r GROUP BY 1),
 g AS (SELECT * FROM (SELECT 5 + unnest(range(0, 26)) AS tariff), (SELECT unnest(range(-50, 51, 5)) AS load_pct))
-SELECT appliance, CAST(tariff AS DOUBLE) AS tariff, CAST(load_pct AS INTEGER) AS load_pct, ROUND(next_kwh * (1.0 + load_pct / CAST(100 AS DOUBLE)) * tariff, 4) AS next_cost
+SELECT appliance, CAST(tariff AS DOUBLE) AS tariff, CAST(load_pct AS INTEGER) AS load_pct, ROUND(next_kwh * (1.0 + load_pct / CAST(100 AS DOUBLE)) * tariff, 6) AS next_cost
 FROM t CROSS JOIN g"""
 )
 def scenario_grid(spark: SparkSession, folder: str) -> DataFrame:
     """What-if table of the five appliance totals over tariffs 5-30 and loads -50..50."""
     totals = readings(spark, folder).groupBy("appliance").agg(F.sum("kwh").cast("double").alias("next_kwh"))
     grid = what_if(grid_of(totals.withColumn("prev_kwh", F.lit(0.0)), tariff_step=1.0), TARIFF)
-    return rounded(grid, ["next_cost"]).select("appliance", "tariff", "load_pct", "next_cost")
+    return rounded(grid, ["next_cost"], 6).select("appliance", "tariff", "load_pct", "next_cost")
 
 
 COST_CHANGE_SQL = "CASE WHEN prev_cost > 0 THEN (next_cost - prev_cost) / prev_cost * 100.0 ELSE 0.0 END"

@@ -210,7 +210,7 @@ k AS (SELECT device_id, strftime(ts, '%Y-%m') AS month, CAST(SUM(CASE WHEN day(t
     day(last_day(MIN(CAST(ts AS DATE)))) AS n FROM r GROUP BY 1, 2),
 p AS (SELECT *, kwh_to_date * CAST(13.47 AS DOUBLE) AS c FROM k),
 q AS (SELECT *, c + c / CAST(20 AS DOUBLE) * (n - 20) AS proj FROM p)
-SELECT q.device_id, month, kwh_to_date, ROUND(c, 4) AS cost_to_date, ROUND(proj, 4) AS projected_cost,
+SELECT q.device_id, month, kwh_to_date, c AS cost_to_date, proj AS projected_cost,
   CASE WHEN budget = 0 THEN 'neutral' WHEN proj / nullif(budget, 0) >= 1.0 THEN 'danger' WHEN proj / nullif(budget, 0) >= CAST(0.8 AS DOUBLE) THEN 'warning' ELSE 'success' END AS status
 FROM q JOIN b ON b.device_id = q.device_id"""
 )
@@ -219,8 +219,7 @@ def month_end_projection(spark: SparkSession, folder: str) -> DataFrame:
     projected = project_month(hourly_energy(readings(spark, folder), ["device_id"]), ["device_id"], TARIFF)
     rows = projected.join(budgets(spark, folder), "device_id")
     return rows.select(
-        "device_id", "month", "kwh_to_date", F.round("cost_to_date", 4).alias("cost_to_date"),
-        F.round("projected_cost", 4).alias("projected_cost"),
+        "device_id", "month", "kwh_to_date", "cost_to_date", "projected_cost",
         status_badge(F.col("projected_cost"), F.col("budget")).alias("status"),
     )
 
