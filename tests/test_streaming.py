@@ -7,9 +7,9 @@ from wattledger.operators.alerts import alert_cooldown
 from wattledger.operators.normalise import interval_energy
 from wattledger.plans.tables import alert_events, counter_readings, events, readings
 from wattledger.sources.sinks import write_alert_outbox, write_outbox_batch
-from wattledger.streaming.alerts import stream_alert_cooldown
+from wattledger.streaming.alerts import last_sent_alerts, stream_alert_cooldown
 from wattledger.streaming.carry import cooldown_step, interval_energy_step, run_carried
-from wattledger.streaming.energy import stream_hourly, stream_interval_energy
+from wattledger.streaming.energy import newest_readings, stream_hourly, stream_interval_energy
 from wattledger.streaming.run import run_available, stream_events
 
 
@@ -85,3 +85,36 @@ def test_batch_outbox_appends(spark, tmp_path):
     for _ in range(2):
         write_alert_outbox(rows, str(tmp_path / "o"))
     assert spark.read.parquet(str(tmp_path / "o")).count() == 2
+
+
+@pytest.fixture(scope="module")
+def later(spark, small, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("later"))
+    events(spark, small).filter(F.dayofmonth("ts") > 16).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def test_interval_energy_continues_a_batch(spark, small, later):
+    whole = counter_readings(spark, small).withColumn("power_w", F.lit(40.0))
+    backlog = whole.filter(F.dayofmonth("ts") <= 16)
+    rows = source(spark, later).select("event_id", F.col("user_id").alias("device_id"), "ts", F.col("value").alias("kwh_total"), F.lit(40.0).alias("power_w"))
+    got = run_available(stream_interval_energy(rows, newest=newest_readings(backlog)), "continued", state_partitions=2)
+    batch = interval_energy(whole, tie=["event_id"]).filter(F.dayofmonth("ts") > 16)
+    same(got.select("event_id", "device_id", "interval_seconds", "kwh_interval_kwh", "energy_final_kwh"), batch)
+
+
+def test_cooldown_continues_a_batch(spark, small, later):
+    whole = alert_events(spark, small)
+    marked = alert_cooldown(whole.filter(F.dayofmonth("ts") <= 16), tie=["event_id"])
+    kind = F.when(F.col("value") >= 80, "critical").when(F.col("value") >= 40, "warning")
+    rows = source(spark, later).select("event_id", F.col("user_id").alias("household"), "ts", kind.alias("alert_type"))
+    got = run_available(stream_alert_cooldown(rows, last_sent=last_sent_alerts(marked)), "continued", state_partitions=2)
+    batch = alert_cooldown(whole, tie=["event_id"]).filter(F.dayofmonth("ts") > 16)
+    same(got.select("event_id", "household", "alert_type", "is_sent"), batch)
+
+
+def test_empty_input(spark, tmp_path):
+    rows = source(spark, str(tmp_path)).select(F.col("user_id").alias("device_id"), "ts", F.col("value").alias("kwh"))
+    assert run_available(stream_hourly(rows, ["device_id"]), "empty", state_partitions=1).count() == 0
+    counters = source(spark, str(tmp_path)).select("event_id", F.col("user_id").alias("device_id"), "ts", F.col("value").alias("kwh_total"), F.lit(1.0).alias("power_w"))
+    assert run_carried(counters, interval_energy_step(), "empty").count() == 0

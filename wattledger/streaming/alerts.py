@@ -24,6 +24,9 @@ class _LastSent(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "kind string, us bigint", self.ttl_ms)
 
+    def handleInitialState(self, key, initial: pd.DataFrame, timer_values) -> None:
+        self.last.update((initial["alert_type"].iloc[0], int(initial["us"].iloc[0])))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         # One household's alerts of one micro-batch; the source's rate limit bounds them.
         pdf = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
@@ -41,9 +44,13 @@ class _LastSent(StatefulProcessor):
 
 
 def stream_alert_cooldown(
-    alerts: DataFrame, ts: str = "ts", cooldown_hours: float = COOLDOWN_HOURS, ttl_ms: int | None = None
+    alerts: DataFrame, ts: str = "ts", cooldown_hours: float = COOLDOWN_HOURS, ttl_ms: int | None = None,
+    last_sent: DataFrame | None = None,
 ) -> DataFrame:
-    """Cooldown on a stream of event_id, household, ts and alert_type."""
+    """Cooldown on a stream of event_id, household, ts and alert_type.
+
+    ``last_sent`` (see ``last_sent_alerts``) starts the state from alerts that were marked in batch.
+    """
     schema = T.StructType(
         [
             T.StructField("event_id", T.LongType()),
@@ -62,6 +69,19 @@ def stream_alert_cooldown(
             outputStructType=schema,
             outputMode="Append",
             timeMode="None" if ttl_ms is None else "ProcessingTime",
+            initialState=None if last_sent is None else last_sent.groupBy("household"),
         )
     )
     return out.withColumn(ts, F.timestamp_micros("us")).drop("us")
+
+
+def last_sent_alerts(marked: DataFrame, ts: str = "ts") -> DataFrame:
+    """Type and time of the last sent alert per household, from the batch operator's result."""
+    return (
+        marked.filter("is_sent")
+        .groupBy("household")
+        .agg(
+            F.max_by("alert_type", F.struct(ts, "event_id")).alias("alert_type"),
+            F.unix_micros(F.max(ts)).alias("us"),
+        )
+    )

@@ -36,6 +36,9 @@ class _LastReading(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "us bigint, total double", self.ttl_ms)
 
+    def handleInitialState(self, key, initial: pd.DataFrame, timer_values) -> None:
+        self.last.update((int(initial["us"].iloc[0]), float(initial["kwh_total"].iloc[0])))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         # One device's rows of one micro-batch; the source's rate limit bounds them.
         pdf = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
@@ -62,12 +65,14 @@ class _LastReading(StatefulProcessor):
 
 
 def stream_interval_energy(
-    readings: DataFrame, ts: str = "ts", max_gap_seconds: float | None = None, ttl_ms: int | None = None
+    readings: DataFrame, ts: str = "ts", max_gap_seconds: float | None = None, ttl_ms: int | None = None,
+    newest: DataFrame | None = None,
 ) -> DataFrame:
     """Interval energy on a stream, where ``lag`` is not available.
 
     Needs event_id, device_id, kwh_total and power_w. State is one value per device in RocksDB; with
-    ``ttl_ms`` silent devices are forgotten.
+    ``ttl_ms`` silent devices are forgotten. ``newest`` (see ``newest_readings``) starts the state, so
+    that a backlog can be processed by the batch operator first.
     """
     schema = T.StructType(
         [
@@ -87,9 +92,17 @@ def stream_interval_energy(
             outputStructType=schema,
             outputMode="Append",
             timeMode="None" if ttl_ms is None else "ProcessingTime",
+            initialState=None if newest is None else newest.groupBy("device_id"),
         )
     )
     numbers = {
         c: F.when(~F.isnan(c), F.col(c)) for c in ("interval_seconds", "kwh_interval_kwh")
     }
     return energy_columns(out.withColumns(numbers)).withColumn(ts, F.timestamp_micros("us")).drop("us")
+
+
+def newest_readings(readings: DataFrame, ts: str = "ts") -> DataFrame:
+    """Time and counter of each device's newest reading, the state a stream starts from."""
+    return readings.groupBy("device_id").agg(
+        F.unix_micros(F.max(ts)).alias("us"), F.max_by("kwh_total", F.struct(ts, "event_id")).alias("kwh_total")
+    )

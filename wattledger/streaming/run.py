@@ -37,6 +37,7 @@ def run_available(
     settings = {
         "spark.sql.shuffle.partitions": str(state_partitions or spark.sparkContext.defaultParallelism),
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }
     before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
