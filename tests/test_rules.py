@@ -135,7 +135,7 @@ def test_notices_and_mail(spark):
 def test_gate_and_outbox(spark):
     df = spark.createDataFrame([(True, "a@gmail.com", None), (True, "", None), (False, "b@gmail.com", None), (True, "c@gmail.com", "no route")], "email_enabled boolean, email_address string, err string")
     sent = outbox_rows(alerts_enabled(df), error="err").orderBy("email_address").collect()
-    assert [(r.status, r.status_message) for r in sent] == [("success", "Email sent to a@gmail.com"), ("error", "no route")]
+    assert [(r.status, r.status_message) for r in sent] == [("success", "Email sent via OAuth2 to a@gmail.com"), ("error", "no route")]
 
 
 @pytest.mark.parametrize(

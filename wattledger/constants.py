@@ -72,3 +72,17 @@ NOTICE_TIME = "Just now"
 MAIL_BELOW = ("Approaching Limit", "#F59E0B")
 MAIL_REACHED = ("Budget Exceeded", "#EF4444")
 MAIL_DOMAIN = "@gmail.com"
+
+# Texts of notices, mails and mail results.
+CRITICAL_MESSAGE = "Your forecasted spend (%s) exceeds your budget limit."
+APPROACHING_MESSAGE = "You've reached %s%% of your set energy budget for this period."
+MAIL_SUBJECT = "⚠️ %s ALERT: Budget Threshold (%s%%)"
+MAIL_LEAD = "Your forecasted energy consumption has reached %s%% of your set budget."
+MAIL_CLOSING = "Consider adjusting your appliance usage to stay within your limits."
+WELCOME_SUBJECT = "Welcome to %s Energy Dashboard!"
+WELCOME_LEAD = "Your email has been successfully registered for automated budget alerts."
+MAIL_SENT = "Email sent via OAuth2 to "
+
+# Labels of the comparison chart.
+CHART_METRICS = ("Energy (kWh)", "Cost (₱/10)")
+CHART_SIDES = ("Previous 24h", "Next 24h")

@@ -11,7 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattledger.constants import COOLDOWN_HOURS, MAIL_DOMAIN, NOTICE_TIME, NOTICES
+from wattledger.constants import (
+    APPROACHING_MESSAGE,
+    COOLDOWN_HOURS,
+    CRITICAL_MESSAGE,
+    MAIL_CLOSING,
+    MAIL_DOMAIN,
+    MAIL_LEAD,
+    MAIL_SENT,
+    MAIL_SUBJECT,
+    NOTICE_TIME,
+    NOTICES,
+    WELCOME_LEAD,
+    WELCOME_SUBJECT,
+)
 from wattledger.functions.text import is_mail_domain, whole_money
 from wattledger.operators.budget import mail_color, mail_status
 from wattledger.operators.ordered import (
@@ -207,12 +220,6 @@ def _chain_ends(us: np.ndarray, cooldown: int) -> np.ndarray:
 
 # --- notices and mails ---------------------------------------------------------------------------
 
-# Message texts.
-CRITICAL_MESSAGE = "Your forecasted spend (%s) exceeds your budget limit."
-APPROACHING_MESSAGE = "You've reached %s%% of your set energy budget for this period."
-MAIL_SUBJECT = "⚠️ %s ALERT: Budget Threshold (%s%%)"
-MAIL_LEAD = "Your forecasted energy consumption has reached %s%% of your set budget."
-
 
 def notifications(
     df: DataFrame, alert_type: str = "alert_type", cost: str = "next_cost",
@@ -245,8 +252,7 @@ def unread_counts(notices: DataFrame, key: str = "household") -> DataFrame:
 
 def _plain_number(x: Column) -> Column:
     """Shortest text of an amount with at most two decimals, without an exponent."""
-    text = F.regexp_replace(x.cast("decimal(38,2)").cast("string"), "0$", "")
-    return text
+    return F.regexp_replace(x.cast("decimal(38,2)").cast("string"), "0$", "")
 
 
 def threshold_mail(
@@ -263,17 +269,23 @@ def threshold_mail(
             "lead": F.format_string(MAIL_LEAD, p.cast("string")),
             "budget_line": F.concat(F.lit("Set Budget: ₱"), _plain_number(F.col(budget))),
             "cost_line": F.concat(F.lit("Forecasted Cost: ₱"), _plain_number(F.round(F.col(cost), 2))),
+            "closing": F.lit(MAIL_CLOSING),
         }
     )
 
 
+def welcome_mail(df: DataFrame, brand: str = "the") -> DataFrame:
+    """Texts of the welcome mail; ``brand`` is the name in the subject."""
+    return df.withColumns({"subject": F.lit(WELCOME_SUBJECT % brand), "lead": F.lit(WELCOME_LEAD)})
+
+
 def outbox_rows(df: DataFrame, address: str = "email_address", error: str | None = None) -> DataFrame:
     """Result status of each mail handed over; ``error`` names a column with a failure text."""
     failure = F.lit(None).cast("string") if error is None else F.col(error)
     return df.withColumns(
         {
             "status": F.when(failure.isNull(), F.lit("success")).otherwise(F.lit("error")),
-            "status_message": F.coalesce(failure, F.concat(F.lit("Email sent to "), F.col(address))),
+            "status_message": F.coalesce(failure, F.concat(F.lit(MAIL_SENT), F.col(address))),
         }
     )
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattledger.constants import (
+    CHART_METRICS,
+    CHART_SIDES,
     LOAD_MAX,
     LOAD_MIN,
     LOAD_STEP,
@@ -240,10 +242,10 @@ def comparison_long(df: DataFrame, keys: list[str]) -> DataFrame:
         *[
             F.struct(F.lit(metric).alias("metric"), F.lit(side).alias("side"), amount.alias("amount"))
             for metric, side, amount in [
-                ("Energy", "Previous", F.col("prev_kwh")),
-                ("Energy", "Next", F.col("next_kwh")),
-                ("Cost/10", "Previous", tenth("prev_cost")),
-                ("Cost/10", "Next", tenth("next_cost")),
+                (CHART_METRICS[0], CHART_SIDES[0], F.col("prev_kwh")),
+                (CHART_METRICS[0], CHART_SIDES[1], F.col("next_kwh")),
+                (CHART_METRICS[1], CHART_SIDES[0], tenth("prev_cost")),
+                (CHART_METRICS[1], CHART_SIDES[1], tenth("next_cost")),
             ]
         ]
     )

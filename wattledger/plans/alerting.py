@@ -106,13 +106,14 @@ def notifications(spark: SparkSession, folder: str) -> DataFrame:
   CASE WHEN p < 100 THEN '#F59E0B' ELSE '#EF4444' END AS status_color,
   concat('Your forecasted energy consumption has reached ', p, '% of your set budget.') AS lead,
   concat('Set Budget: ₱', regexp_replace(CAST(CAST(budget AS DECIMAL(38,2)) AS VARCHAR), '0$', '')) AS budget_line,
-  concat('Forecasted Cost: ₱', regexp_replace(CAST(CAST(ROUND(next_cost, 2) AS DECIMAL(38,2)) AS VARCHAR), '0$', '')) AS cost_line
+  concat('Forecasted Cost: ₱', regexp_replace(CAST(CAST(ROUND(next_cost, 2) AS DECIMAL(38,2)) AS VARCHAR), '0$', '')) AS cost_line,
+  'Consider adjusting your appliance usage to stay within your limits.' AS closing
 FROM y WHERE p IS NOT NULL"""
 )
 def threshold_mail(spark: SparkSession, folder: str) -> DataFrame:
     alerts = _day_alerts(spark, folder).filter(F.col("usage_percent").isNotNull())
     return mail_texts(alerts).select(
-        "household", "base_day", "subject", "status_text", "status_color", "lead", "budget_line", "cost_line"
+        "household", "base_day", "subject", "status_text", "status_color", "lead", "budget_line", "cost_line", "closing"
     )
 
 
@@ -125,7 +126,7 @@ def unread_counts(spark: SparkSession, folder: str) -> DataFrame:
     DAY_ALERTS_SQL
     + """SELECT household, base_day, alert_type, p AS usage_percent, email_address,
   CASE WHEN p IS NULL THEN 'error' ELSE 'success' END AS status,
-  CASE WHEN p IS NULL THEN 'usage_percent is not a number' ELSE concat('Email sent to ', email_address) END AS status_message
+  CASE WHEN p IS NULL THEN 'usage_percent is not a number' ELSE concat('Email sent via OAuth2 to ', email_address) END AS status_message
 FROM y"""
 )
 def alert_outbox(spark: SparkSession, folder: str) -> DataFrame:

@@ -229,10 +229,10 @@ def period_comparison(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {DAYS_SQL}
-SELECT device_id, base_day, 'Energy' AS metric, 'Previous' AS side, ROUND(prev_kwh, 6) AS amount FROM d
-UNION ALL SELECT device_id, base_day, 'Energy', 'Next', ROUND(next_kwh, 6) FROM d
-UNION ALL SELECT device_id, base_day, 'Cost/10', 'Previous', ROUND(prev_cost / 10.0, 6) FROM d
-UNION ALL SELECT device_id, base_day, 'Cost/10', 'Next', ROUND(next_cost / 10.0, 6) FROM d"""
+SELECT device_id, base_day, 'Energy (kWh)' AS metric, 'Previous 24h' AS side, ROUND(prev_kwh, 6) AS amount FROM d
+UNION ALL SELECT device_id, base_day, 'Energy (kWh)', 'Next 24h', ROUND(next_kwh, 6) FROM d
+UNION ALL SELECT device_id, base_day, 'Cost (₱/10)', 'Previous 24h', ROUND(prev_cost / 10.0, 6) FROM d
+UNION ALL SELECT device_id, base_day, 'Cost (₱/10)', 'Next 24h', ROUND(next_cost / 10.0, 6) FROM d"""
 )
 def comparison_long(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(long_form(day_costs(spark, folder), ["device_id", "base_day"]), ["amount"], 6)

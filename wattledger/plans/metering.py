@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattledger.functions.times import iso
-from wattledger.operators.alerts import clamp_thresholds, welcome_triggers, with_auto_enable
+from wattledger.operators.alerts import clamp_thresholds, welcome_mail, welcome_triggers, with_auto_enable
 from wattledger.operators.budget import budget_for_hours, effective_settings
 from wattledger.operators.normalise import (
     energy_columns,
@@ -256,13 +256,14 @@ def settings_latest(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH {SETTINGS_SQL},
 o AS (SELECT *, lag(email_address, 1, '') OVER (PARTITION BY household ORDER BY ts, event_id) AS prev FROM h)
-SELECT household, strftime(ts, {ISO}) AS saved_at, email_address, true AS email_enabled
+SELECT household, strftime(ts, {ISO}) AS saved_at, email_address, true AS email_enabled,
+  'Welcome to the Energy Dashboard!' AS subject, 'Your email has been successfully registered for automated budget alerts.' AS lead
 FROM o WHERE email_address <> prev AND email_address LIKE '%@gmail.com'"""
 )
 def welcome_trigger(spark: SparkSession, folder: str) -> DataFrame:
     found = welcome_triggers(settings_history(spark, folder), tie=["event_id"])
-    return with_auto_enable(found).select(
-        "household", iso(F.col("ts")).alias("saved_at"), "email_address", "email_enabled"
+    return welcome_mail(with_auto_enable(found)).select(
+        "household", iso(F.col("ts")).alias("saved_at"), "email_address", "email_enabled", "subject", "lead"
     )
 
 

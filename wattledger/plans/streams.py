@@ -17,9 +17,13 @@ from wattledger.streaming.energy import stream_interval_energy as energy_between
 from wattledger.streaming.run import run_available, stream_events
 
 
-def _stream(spark: SparkSession, folder: str) -> DataFrame:
+# Micro-batches of the batch operators may be large, as these cut large keys.
+LARGE_BATCH = 256 << 30
+
+
+def _stream(spark: SparkSession, folder: str, **limits: int) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return stream_events(spark, folder)
+    return stream_events(spark, folder, **limits)
 
 
 @query(
@@ -46,15 +50,15 @@ FROM f"""
 INTERVAL_COLUMNS = ["event_id", "device_id", "interval_seconds", "kwh_interval_kwh", "energy_final_kwh"]
 
 
-def _counters(spark: SparkSession, folder: str) -> DataFrame:
-    return _stream(spark, folder).select(
+def _counters(spark: SparkSession, folder: str, **limits: int) -> DataFrame:
+    return _stream(spark, folder, **limits).select(
         "event_id", F.col("user_id").alias("device_id"), "ts", F.col("value").alias("kwh_total"), level().cast("double").alias("power_w")
     )
 
 
-def _alerts(spark: SparkSession, folder: str) -> DataFrame:
+def _alerts(spark: SparkSession, folder: str, **limits: int) -> DataFrame:
     kind = F.when(F.col("value") >= 80, F.lit("critical")).when(F.col("value") >= 40, F.lit("warning"))
-    return _stream(spark, folder).select("event_id", F.col("user_id").alias("household"), "ts", kind.alias("alert_type"))
+    return _stream(spark, folder, **limits).select("event_id", F.col("user_id").alias("household"), "ts", kind.alias("alert_type"))
 
 
 @query(STREAM_INTERVAL_SQL)
@@ -66,7 +70,7 @@ def stream_interval_energy(spark: SparkSession, folder: str) -> DataFrame:
 @query(STREAM_INTERVAL_SQL)
 def stream_interval_carried(spark: SparkSession, folder: str) -> DataFrame:
     """The same by micro-batches that run the batch operator and carry the newest reading per device."""
-    stored = run_carried(_counters(spark, folder), interval_energy_step(86400), "carried-interval")
+    stored = run_carried(_counters(spark, folder, max_bytes_per_trigger=LARGE_BATCH), interval_energy_step(86400), "carried-interval")
     return stored.select(*INTERVAL_COLUMNS)
 
 
@@ -79,5 +83,5 @@ def stream_cooldown(spark: SparkSession, folder: str) -> DataFrame:
 @query(COOLDOWN_SQL)
 def stream_cooldown_carried(spark: SparkSession, folder: str) -> DataFrame:
     """The same by micro-batches that carry the last sent alert per household."""
-    stored = run_carried(_alerts(spark, folder), cooldown_step(), "carried-cooldown")
+    stored = run_carried(_alerts(spark, folder, max_bytes_per_trigger=LARGE_BATCH), cooldown_step(), "carried-cooldown")
     return stored.select("event_id", "household", iso(F.col("ts")).alias("at"), "alert_type", "is_sent")

@@ -50,6 +50,7 @@ def stream_alert_cooldown(
     """Cooldown on a stream of event_id, household, ts and alert_type.
 
     ``last_sent`` (see ``last_sent_alerts``) starts the state from alerts that were marked in batch.
+    With ``ttl_ms`` silent households are forgotten; such a stream needs a running trigger.
     """
     schema = T.StructType(
         [

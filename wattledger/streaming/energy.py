@@ -71,7 +71,8 @@ def stream_interval_energy(
     """Interval energy on a stream, where ``lag`` is not available.
 
     Needs event_id, device_id, kwh_total and power_w. State is one value per device in RocksDB; with
-    ``ttl_ms`` silent devices are forgotten. ``newest`` (see ``newest_readings``) starts the state, so
+    ``ttl_ms`` silent devices are forgotten; such a stream needs a running trigger, as it never has
+    nothing left to do. ``newest`` (see ``newest_readings``) starts the state, so
     that a backlog can be processed by the batch operator first.
     """
     schema = T.StructType(

@@ -12,7 +12,7 @@ from wattledger.sources.sinks import write_outbox_batch
 
 def stream_events(
     spark: SparkSession, folder: str, files: str = "events.parquet",
-    max_bytes_per_trigger: int = 16 << 30, max_files_per_trigger: int | None = None,
+    max_bytes_per_trigger: int = 1 << 30, max_files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Event files as a stream. The size of a micro-batch is limited, and with it the rows that one
     key can bring to a stateful operator at once."""
