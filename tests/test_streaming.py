@@ -1,11 +1,14 @@
 """Streams over several files give the batch results."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from wattledger.operators.alerts import alert_cooldown
 from wattledger.operators.normalise import interval_energy
 from wattledger.plans.tables import alert_events, counter_readings, events, readings
+from wattledger.session import ROCKSDB_PROVIDER
 from wattledger.sources.sinks import write_alert_outbox, write_outbox_batch
 from wattledger.streaming.alerts import last_sent_alerts, stream_alert_cooldown
 from wattledger.streaming.carry import cooldown_step, interval_energy_step, run_carried
@@ -118,3 +121,29 @@ def test_empty_input(spark, tmp_path):
     assert run_available(stream_hourly(rows, ["device_id"]), "empty", state_partitions=1).count() == 0
     counters = source(spark, str(tmp_path)).select("event_id", F.col("user_id").alias("device_id"), "ts", F.col("value").alias("kwh_total"), F.lit(1.0).alias("power_w"))
     assert run_carried(counters, interval_energy_step(), "empty").count() == 0
+
+
+def test_state_with_expiry(spark, small, tmp_path):
+    """With an expiry the stream never runs dry, so it is stopped once all rows are there."""
+    rows = stream_events(spark, small).select("event_id", F.col("user_id").alias("device_id"), "ts", F.col("value").alias("kwh_total"), F.lit(1.0).alias("power_w"))
+    rows = stream_interval_energy(rows, ttl_ms=3_600_000)
+    seen = []
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER, "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        query = (
+            rows.writeStream.foreachBatch(lambda batch, _: seen.append(batch.count()))
+            .option("checkpointLocation", str(tmp_path / "state"))
+            .trigger(processingTime="1 second")
+            .start()
+        )
+        deadline = time.monotonic() + 60
+        while sum(seen) < 1000 and query.isActive and time.monotonic() < deadline:
+            time.sleep(0.5)
+        query.stop()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(seen) == spark.read.parquet(f"{small}/events.parquet").count()
