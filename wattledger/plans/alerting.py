@@ -55,8 +55,7 @@ def alert_cooldown(spark: SparkSession, folder: str) -> DataFrame:
 def _day_alerts(spark: SparkSession, folder: str) -> DataFrame:
     """Days of households that raise an alert under their own settings, gated by these settings."""
     saved = latest_settings(settings_history(spark, folder), tie=["event_id"]).drop("ts")
-    limits = budgets(spark, folder).withColumnRenamed("device_id", "household")
-    settings = settings_or_default(limits, saved).join(limits, "household")
+    settings = settings_or_default(budgets(spark, folder).withColumnRenamed("device_id", "household"), saved)
     days = day_costs(spark, folder).withColumnRenamed("device_id", "household")
     cost, budget = F.col("next_cost"), F.col("budget")
     alerts = days.join(alerts_enabled(settings), "household").withColumns(

@@ -22,8 +22,8 @@ def latest_settings(
 
 
 def settings_or_default(households: DataFrame, latest: DataFrame, key: str = "household") -> DataFrame:
-    """Every household with its saved settings or the defaults."""
-    joined = households.select(key).join(latest, key, "left")
+    """Every household (all its columns) with its saved settings or the defaults."""
+    joined = households.join(latest, key, "left")
     return joined.withColumns(
         {name: F.coalesce(name, F.lit(value)) for name, value in DEFAULT_SETTINGS.items()}
     )
