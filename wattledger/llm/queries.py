@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wattledger.llm import bpe
+from wattledger.llm import bpe, minhash, secrets, urls
 from wattledger.llm.common import table
 from wattledger.llm.registry import query
 
@@ -17,3 +17,31 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encodes and decodes every text of documents."""
     vocabulary = bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
     return bpe.encode_digest(table(spark, folder, "documents"), vocabulary)
+
+
+RULES: list[urls.Rule] = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@query()
+def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Judges every url of pages by rules and by its aliases."""
+    return urls.judge(spark, table(spark, folder, "pages"), RULES)
+
+
+@query()
+def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate groups of documents over distinct 4-word shingles, similarity 0.8 or more."""
+    return minhash.near_duplicates(spark, table(spark, folder, "documents"), shingle=4, percent=80)
+
+
+@query()
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every text of documents."""
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
+    return secrets.find_secrets(table(spark, folder, "documents"), vocabulary)
