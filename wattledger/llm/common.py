@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wattledger.session import shared_dir
 
@@ -67,7 +65,6 @@ def sample_labelled(labels: DataFrame, label: str, per_class: int, train: Column
     return chosen.join(F.broadcast(sizes), "y").select("doc_id", "y", weight)  # sizes: two rows
 
 
-def map_arrow(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def with_column(df: DataFrame, name: str, kind: str) -> StructType:
+    """The schema of df and one more column."""
+    return StructType([*df.schema.fields, *StructType().add(name, kind).fields])

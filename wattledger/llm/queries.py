@@ -5,13 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wattledger.llm import bpe, minhash, secrets, urls
+from wattledger.llm import bpe, minhash, quality, secrets, toxicity, urls
 from wattledger.llm.common import table
 from wattledger.llm.registry import query
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+@query()
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of every text of documents."""
+    return quality.score_documents(spark, table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query()
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encodes and decodes every text of documents."""
@@ -34,6 +40,12 @@ def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(spark, table(spark, folder, "pages"), RULES)
 
 
+@query()
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity scores of every text of documents."""
+    return toxicity.score_documents(spark, table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query()
 def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of documents over distinct 4-word shingles, similarity 0.8 or more."""
