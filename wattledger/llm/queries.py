@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattledger.llm import bpe, minhash, quality, secrets, toxicity, urls
+from wattledger.llm import bpe, covertree, minhash, quality, secrets, topk, toxicity, urls
 from wattledger.llm.common import table
 from wattledger.llm.registry import query
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+@query()
+def op1_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector of embeddings with all others."""
+    return topk.top_k(spark, table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query()
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality scores of every text of documents."""
@@ -52,6 +59,12 @@ def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, folder, "documents"), shingle=4, percent=80)
 
 
+@query()
+def op9_covertree(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of embeddings with a cosine of 0.95 or more."""
+    return covertree.near_duplicates(spark, table(spark, folder, "embeddings"), least=0.95)
+
+
 @query()
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every text of documents."""
