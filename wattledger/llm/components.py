@@ -9,7 +9,7 @@ execution can split the hub's rows. Each step's edges are written to the shared
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wattledger.llm.common import Scratch
@@ -26,31 +26,30 @@ def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:
     least = scratch.keep(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    out = scratch.keep(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small")
+    out = _kept(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), scratch, "small")
     scratch.drop(least)
     return out
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    return tuple(row)
+def _kept(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, tuple]:
+    """The edges written, and their number and sum of hashes, observed while writing."""
+    seen = Observation()
+    out = scratch.keep(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")), name)
+    return out, (seen.get["n"], seen.get["s"])
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node with an edge; component is the least node. ``edges``: columns a, b."""
-    now = scratch.keep(
-        edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        "edges",
-    )
-    before = _digest(now)
+    pairs = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now, before = _kept(pairs.distinct(), scratch, "edges")
     while before[0]:
         large = _large_star(now, scratch)
-        small = _small_star(large, scratch)
+        small, after = _small_star(large, scratch)
         scratch.drop(now, large)
-        now, after = small, _digest(small)
+        now = small
         if after == before:
             break
         before = after

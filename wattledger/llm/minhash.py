@@ -8,9 +8,10 @@
    whose signatures agree too little are dropped (the bound is six standard deviations below the threshold, so a
    link is lost with a probability below 1e-8), the rest is confirmed on the full sets. Confirmed links are joined
    to components.
-4. Buckets whose members are not all in one component yet are compared in full: their members are dealt to blocks,
-   pairs of blocks are compared by signature inside tasks, and pairs of different components that agree enough
-   are confirmed on the full sets too. Links inside one component change nothing and are not looked for.
+4. Buckets whose members are not all in one component yet are compared in full: their members are dealt to blocks
+   and carry their sets (as 32-bit hashes); a task compares the sets of two blocks and returns, for each member and
+   component that it reaches, one pair. Pairs that share an earlier bucket are left to that one; links inside one
+   component change nothing and are not looked for. The pairs returned are confirmed on the full sets too.
 5. Alternating large-star and small-star gives the components.
 
 Results: null and empty texts have an empty set and link with nothing; a text with fewer words than a shingle is
@@ -203,34 +204,77 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     return both.where(agree("sa", "sb") >= least).select("a", "b")
 
 
-def _blocks_compared(members: DataFrame, least: int, block: int) -> DataFrame:
-    """Pairs (a, b) of different components that agree enough, of members (bucket, node, component, sketch).
+def _short_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """node, words: the upper halves of the shingles' hashes, sorted."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [(shingle_set(t.as_py(), size) >> U64(32)).astype(np.uint32).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "words"])
+
+    return _texts_of(nodes, classes, docs, size).mapInArrow(run, "node bigint, words binary")
+
+
+def _reached(x: pd.DataFrame, y: pd.DataFrame, band: int, percent: int, same: bool) -> list[tuple[int, int]]:
+    """One linked pair for every member of x and component of y that it links to, as far as components differ."""
+    nx, ny, cx, cy = (c.to_numpy().copy() for c in (x["node"], y["node"], x["component"], y["component"]))
+    if len(cx) == 0 or len(cy) == 0 or (cx == cx[0]).all() and (cy == cx[0]).all():
+        return []
+    bx, by = (np.stack(c.to_list())[:, :band] for c in (x["buckets"], y["buckets"]))
+    sets_x, sets_y = ([np.frombuffer(w, np.uint32) for w in c] for c in (x["words"], y["words"]))
+    names = np.unique(np.concatenate(sets_x))
+    marked = np.zeros(names.size + 1, np.int32)
+    places = []  # where y's words stand among x's; the last place is for words that x does not have
+    for words in sets_y:
+        at = np.minimum(np.searchsorted(names, words), names.size - 1)
+        places.append(np.where(names[at] == words, at, names.size))
+    size_y = np.array([len(w) for w in sets_y])
+    out = []
+    for k in range(len(nx)):
+        wanted = cy != cx[k]
+        if same:
+            wanted &= ny > nx[k]
+        if band:
+            wanted[wanted] = ~(by[wanted] == bx[k]).any(axis=1)
+        # sets of too different sizes cannot be similar enough
+        n = len(sets_x[k])
+        hits = np.flatnonzero(wanted & (100 * np.minimum(size_y, n) >= percent * np.maximum(size_y, n)))
+        if not hits.size:
+            continue
+        own = np.searchsorted(names, sets_x[k])
+        marked[own] = 1
+        starts = np.cumsum(size_y[hits]) - size_y[hits]
+        common = np.add.reduceat(marked[np.concatenate([places[i] for i in hits])], starts)
+        marked[own] = 0
+        for i in hits[100 * common >= percent * (n + size_y[hits] - common)]:
+            if cy[i] != cx[k]:
+                out.append((int(max(nx[k], ny[i])), int(min(nx[k], ny[i]))))
+                old, new = cy[i], cx[k]
+                cx[cx == old] = new
+                cy[cy == old] = new
+    return out
+
+
+def _blocks_compared(members: DataFrame, block: int, percent: int) -> DataFrame:
+    """Linked pairs (a, b) of different components of members (bucket, band, node, component, buckets, words).
 
     A bucket of n members has ceil(n / block) blocks; every pair of its blocks is one group of at most two blocks.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
     dealt = members.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    cells = dealt.select("bucket", "node", "component", "sketch", "mine", other.alias("other")).select(
-        "bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "component", "sketch"
-    )
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    cells = dealt.select("*", other).select(
+        "bucket", "band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node",
+        "component", "buckets", "words",
+    )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = pdf["low"].iat[0], pdf["high"].iat[0]
-        x = pdf if low == high else pdf[pdf["mine"] == low]
-        y = pdf if low == high else pdf[pdf["mine"] == high]
-        out_a, out_b = [], []
-        if len(x) and len(y):
-            sx = np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), -1)
-            sy = np.frombuffer(b"".join(y["sketch"]), np.uint8).reshape(len(y), -1)
-            nx, ny, cx, cy = (c.to_numpy() for c in (x["node"], y["node"], x["component"], y["component"]))
-            for k in range(len(nx)):
-                hit = (cy != cx[k]) & ((ny > nx[k]) if low == high else True)
-                hit[hit] = (sy[hit] == sx[k]).sum(axis=1) >= least
-                out_a.append(np.maximum(nx[k], ny[hit]))
-                out_b.append(np.minimum(nx[k], ny[hit]))
-        empty = np.empty(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate([empty, *out_a]), "b": np.concatenate([empty, *out_b])})
+        low, high, band = pdf["low"].iat[0], pdf["high"].iat[0], int(pdf["band"].iat[0])
+        if low == high:
+            found = _reached(pdf, pdf, band, percent, True)
+        else:
+            found = _reached(pdf[pdf["mine"] == low], pdf[pdf["mine"] == high], band, percent, False)
+        return pd.DataFrame(found, columns=["a", "b"])
 
     return cells.groupBy("bucket", "low", "high").applyInPandas(compare, "a bigint, b bigint").distinct()
 
@@ -252,10 +296,10 @@ def near_duplicates(
     )
     sketches = classes.select("node", "sketch")
 
-    spread = classes.select("node", F.explode("buckets").alias("bucket"))
+    spread = classes.select("node", F.posexplode("buckets").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     shared = scratch.keep(shared, "shared")
-    members = scratch.keep(spread.join(shared, "bucket"), "members")  # bucket, node, n, least
+    members = scratch.keep(spread.join(shared, "bucket"), "members")  # bucket, node, band, n, least
 
     need = least_agreement(percent, bands * rows)
     stars = members.where(F.col("node") > F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
@@ -264,11 +308,13 @@ def near_duplicates(
     labels = connected_components(links, scratch)
 
     component = F.coalesce("component", "node").alias("component")
-    joined = members.where("n > 2").join(labels, "node", "left").select("bucket", "node", component)
+    joined = members.where("n > 2").join(labels, "node", "left").select("bucket", "band", "node", component)
     joined = scratch.keep(joined, "joined")
     split = joined.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_members = joined.join(split.select("bucket"), "bucket").join(sketches, "node")
-    rest = scratch.keep(_blocks_compared(open_members, need, block).join(agreed, ["a", "b"], "left_anti"), "rest")
+    open_members = scratch.keep(joined.join(split.select("bucket"), "bucket"), "open")
+    sets = _short_sets(open_members.select(F.col("node").alias("a"), F.col("node").alias("b")), classes, docs, shingle)
+    full = open_members.join(sets.join(classes.select("node", "buckets"), "node"), "node")
+    rest = scratch.keep(_blocks_compared(full, block, percent).join(agreed, ["a", "b"], "left_anti"), "rest")
     more = scratch.keep(_confirm(rest, _texts_of(rest, classes, docs, shingle), shingle, percent), "more")
 
     every = labels.where(F.col("node") != F.col("component")).select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)

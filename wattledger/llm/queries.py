@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattledger.llm import bpe, covertree, minhash, quality, secrets, topk, toxicity, urls
+from wattledger.llm import bpe, covertree, minhash, mixing, order, quality, secrets, topk, toxicity, urls
 from wattledger.llm.common import table
 from wattledger.llm.registry import query
 
@@ -25,6 +25,13 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(spark, table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query()
+def op3_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sequence of documents in its slot of the training order, with the digest of its record."""
+    ranks = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return order.materialise(spark, table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, end=50256)
+
+
 @query()
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encodes and decodes every text of documents."""
@@ -59,6 +66,21 @@ def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, folder, "documents"), shingle=4, percent=80)
 
 
+def label_domains(labels: DataFrame) -> DataFrame:
+    """The domain of every labelled document: low quality, toxic, else clean."""
+    domain = F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").otherwise("clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+@query()
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates of all documents for target shares of tokens in the three label domains."""
+    labelled = label_domains(table(spark, folder, "labels"))
+    mixed = mixing.mix(spark, table(spark, folder, "documents"), labelled, {"clean": 0.9, "low": 0.08, "toxic": 0.02}, anchor="clean")
+    p = [F.round(F.col("p")[k], 9).alias(f"p_{name}") for k, name in enumerate(["clean", "low", "toxic"])]
+    return mixed.select("doc_id", "tokens", *p, "rate", "copies")
+
+
 @query()
 def op9_covertree(spark: SparkSession, folder: str) -> DataFrame:
     """Links of embeddings with a cosine of 0.95 or more."""
