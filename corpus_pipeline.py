@@ -6,21 +6,64 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattledger.llm import bpe
-from wattledger.llm.common import Scratch, table
+from wattledger.llm import bpe, minhash, mixing, secrets, toxicity
+from wattledger.llm.common import Scratch, remainder, table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def vocabulary() -> bytes:
+    return bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below one half, with the columns of docs."""
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, remainder("doc_id", 5) != 0)
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.with_scores(docs, model, name).where(F.col(name) < 0.5).drop(name)
+
+
+def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, similarity 0.8): the one with the least id.
+
+    Rows that repeat a kept document in full are kept once; documents with null ids stay.
+    """
+    groups = minhash.near_duplicates(spark, docs, shingle=5, percent=80)
+    kept = groups.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return stay.dropDuplicates()
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its secrets replaced by their kind; n_chars follows the text."""
+    clean = secrets.redact(docs, vocabulary())
+    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint")))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their fitted rate says: 92 % of the expected tokens of good quality, 8 % of low."""
+    domain = F.when(F.col("quality") == 0, "low").otherwise("clean").alias("domain")
+    labelled = table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", domain)
+    return mixing.apply_mix(spark, docs, labelled, {"clean": 0.92, "low": 0.08}, anchor="clean")
+
+
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token digests of every document."""
-    return bpe.encode_digest(docs, bpe.read_vocabulary(public_tokenizers.path(VOCABULARY)))
+    return bpe.encode_digest(docs, vocabulary())
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity_stage),
+    ("minhash", minhash_stage),
+    ("secrets", secrets_stage),
+    ("mixing", mixing_stage),
     ("bpe", bpe_stage),
 ]
 
