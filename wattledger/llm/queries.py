@@ -66,18 +66,13 @@ def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, folder, "documents"), shingle=4, percent=80)
 
 
-def label_domains(labels: DataFrame) -> DataFrame:
-    """The domain of every labelled document: low quality, toxic, else clean."""
-    domain = F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").otherwise("clean")
-    return labels.select("doc_id", domain.alias("domain"))
-
-
 @query()
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    """Rates of all documents for target shares of tokens in the three label domains."""
-    labelled = label_domains(table(spark, folder, "labels"))
-    mixed = mixing.mix(spark, table(spark, folder, "documents"), labelled, {"clean": 0.9, "low": 0.08, "toxic": 0.02}, anchor="clean")
-    p = [F.round(F.col("p")[k], 9).alias(f"p_{name}") for k, name in enumerate(["clean", "low", "toxic"])]
+    """Rates of all documents for target shares of tokens of good and low quality."""
+    domain = F.when(F.col("quality") == 0, "low").otherwise("clean").alias("domain")
+    labelled = table(spark, folder, "labels").where("quality is not null").select("doc_id", domain)
+    mixed = mixing.mix(spark, table(spark, folder, "documents"), labelled, {"clean": 0.92, "low": 0.08}, anchor="clean")
+    p = [F.round(F.col("p")[k], 9).alias(f"p_{name}") for k, name in enumerate(["clean", "low"])]
     return mixed.select("doc_id", "tokens", *p, "rate", "copies")
 
 
