@@ -34,9 +34,10 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows that repeat a kept document in full are kept once; documents with null ids stay.
     """
     groups = minhash.near_duplicates(spark, docs, shingle=5, percent=80)
-    kept = groups.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return stay.dropDuplicates()
+    kept = groups.where("kept and doc_id is not null").select("doc_id").distinct()
+    # rows of an id are in one partition after the join, so the second step needs no shuffle of its own
+    stay = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates()
+    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
