@@ -33,7 +33,7 @@ from wattledger.llm.common import Scratch
 from wattledger.llm.components import connected_components
 from wattledger.llm.vectors import blocks, dealt, matrix, usable
 
-SLACK = 1e-9  # of bounds, above the rounding errors of distances
+SLACK = 1e-7  # of bounds: a distance near zero is off by up to 3e-8, as the root of a rounding error
 ROWS = 512  # of a distance matrix at a time
 
 

@@ -199,7 +199,7 @@ def lexicon(
         )
 
     toxic = sample.where("y = 1").count()
-    support = max(6, int(least_support * toxic))
+    support = max(3, int(least_support * toxic))
     summed = (
         sample.select("text", "y", "w").mapInArrow(run, "feature string, clean double, toxic double, n bigint")
         .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
