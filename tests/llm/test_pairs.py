@@ -134,7 +134,8 @@ def test_cover_tree_invariants():
     def walk(node, radius):
         d = np.sqrt(np.maximum(0, 2 - 2 * tree.unit[node.a : node.b] @ tree.unit[node.a]))
         assert d.max() <= node.radius + 1e-7 and node.radius <= radius + 1e-7
-        assert not node.children or (node.children[0].a == node.a and node.children[-1].b == node.b)
+        covered = [*node.single, *(k for c in node.children for k in range(c.a, c.b))]
+        assert sorted(covered) == list(range(node.a, node.b))
         for child in node.children:
             walk(child, radius / 2)
 

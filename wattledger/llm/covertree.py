@@ -34,26 +34,46 @@ from wattledger.llm.components import connected_components
 from wattledger.llm.vectors import blocks, dealt, matrix, usable
 
 SLACK = 1e-7  # of bounds: a distance near zero is off by up to 3e-8, as the root of a rounding error
-ROWS = 512  # of a distance matrix at a time
+ROWS = 1024  # of a matrix of dot products at a time
+CENTRES = 256  # candidates for centres whose dot products are taken at once
+SINGLE = 1e-5  # above the error of a dot product of unit vectors in single precision
 
 
 @dataclass
 class Node:
-    """Points a to b (in tree order), the first of them the centre; no children: every point by itself."""
+    """Points a to b (in tree order), the first of them the centre: children with several points, and single points."""
 
     a: int
     b: int
     radius: float
     children: list[Node]
+    single: np.ndarray
 
 
 @dataclass
 class CoverTree:
     order: np.ndarray  # position in the given rows
     unit: np.ndarray  # unit vectors in tree order
+    short: np.ndarray  # the same in single precision
     root: Node
 
 
+def _net(points: np.ndarray, least: float) -> list[np.ndarray]:
+    """Parts of the points: each has the first point that no earlier part took, and what is within reach of it."""
+    parts, left = [], np.arange(len(points))
+    while len(left):
+        dots = points[left] @ points[left[:CENTRES]].T
+        free = np.ones(len(left), bool)
+        for k in range(dots.shape[1]):
+            if free[k]:
+                near = free & (dots[:, k] >= least)
+                near[k] = True
+                free &= ~near
+                parts.append(left[near])
+        left = left[free]
+    return parts
+
+
 def build(unit: np.ndarray, leaf_rows: int = 8) -> CoverTree:
     order = np.arange(len(unit))
 
@@ -61,31 +81,25 @@ def build(unit: np.ndarray, leaf_rows: int = 8) -> CoverTree:
         """Covers points a to b, the first of which is the centre, within ``radius``."""
         points = unit[order[a:b]]
         far = float(np.sqrt(np.maximum(0, 2 - 2 * (points @ points[0]))).max()) if b - a > 1 else 0.0
-        out = Node(a, b, far, [])
         if b - a <= leaf_rows or far == 0.0:
-            return out
+            return Node(a, b, far, [], np.arange(a, b))
         half = radius / 2
         while half >= far:  # levels at which the node is its own only child
             half /= 2
-        least = 1 - half * half / 2  # dot product at the level's radius
-        left, parts = np.arange(a, b), []
-        while len(left):
-            near = unit[order[left]] @ unit[order[left[0]]] >= least
-            near[0] = True
-            parts.append(order[left[near]])
-            left = left[~near]
-        at = a
+        parts = _net(points, 1 - half * half / 2)  # the dot product at the level's radius
+        order[a:b] = order[a:b][np.concatenate(parts)]
+        children, single, at = [], [], a
         for part in parts:
-            order[at : at + len(part)] = part
+            if len(part) > leaf_rows:
+                children.append(node(at, at + len(part), half))
+            else:  # too few points for a bound of their own to save work
+                single += range(at, at + len(part))
             at += len(part)
-        at = a
-        for part in parts:
-            out.children.append(node(at, at + len(part), half))
-            at += len(part)
-        return out
+        return Node(a, b, far, children, np.array(single, np.int64))
 
     root = node(0, len(unit), 2.0)
-    return CoverTree(order, unit[order], root)
+    unit = unit[order]
+    return CoverTree(order, unit, unit.astype(np.float32), root)
 
 
 class Forest:
@@ -106,10 +120,6 @@ class Forest:
             self.parent[max(x, y)] = min(x, y)
 
 
-def _parts(node: Node) -> list[Node]:
-    return node.children or [Node(i, i + 1, 0.0, []) for i in range(node.a, node.b)]
-
-
 def dual(one: CoverTree, two: CoverTree, least: float, weight_one: np.ndarray, weight_two: np.ndarray) -> tuple[np.ndarray, np.ndarray, Forest]:
     """Links between the trees' points: weights linked to each point, in tree order, and the joined points.
 
@@ -123,56 +133,75 @@ def dual(one: CoverTree, two: CoverTree, least: float, weight_one: np.ndarray, w
     shift = 0 if same else len(one.unit)
     forest = Forest(len(one.unit) + (0 if same else len(two.unit)))
 
+    def points(i: np.ndarray, j: np.ndarray) -> None:
+        """Pairs of single points that may link, decided in double precision."""
+        good = np.einsum("ij,ij->i", one.unit[i], two.unit[j]) >= least
+        if same:
+            good &= i != j
+        i, j = i[good], j[good]
+        np.add.at(sums_one, i, weight_two[j])
+        if not same:
+            np.add.at(sums_two, j, weight_one[i])
+        for x, y in zip(i.tolist(), j.tolist()):
+            forest.join(x, shift + y)
+
     def whole(x: Node, y: Node) -> None:
         sums_one[x.a : x.b] += total_two[y.b] - total_two[y.a]
         if not same:
             sums_two[y.a : y.b] += total_one[x.b] - total_one[x.a]
+        elif x.a == y.a:
+            sums_one[x.a : x.b] -= weight_one[x.a : x.b]  # not with themselves
         for i in range(x.a, x.b):
             forest.join(x.a, i)
         for j in range(y.a, y.b):
             forest.join(x.a, shift + j)
 
     todo = [(one.root, two.root)]
+
+    def wide(xs: list[Node], ys: list[Node]) -> None:
+        """Pairs of nodes of which one at least has several points: prune, link as a whole, or go on."""
+        if not xs or not ys:
+            return
+        dot = one.unit[[n.a for n in xs]] @ two.unit[[n.a for n in ys]].T
+        radii = np.array([n.radius for n in xs])[:, None] + np.array([n.radius for n in ys])[None, :]
+        reach = t + SLACK + radii
+        for i, j in zip(*np.nonzero(dot >= 1 - reach * reach / 2)):
+            if np.sqrt(max(0.0, 2 - 2 * dot[i, j])) + radii[i, j] <= t - SLACK:
+                whole(xs[i], ys[j])
+            else:
+                todo.append((xs[i], ys[j]))
+
     while todo:
         x, y = todo.pop()
-        xs, ys = _parts(x), _parts(y)
-        cy, ry = two.unit[[n.a for n in ys]], np.array([n.radius for n in ys])
-        for lo in range(0, len(xs), ROWS):
-            part = xs[lo : lo + ROWS]
-            rx = np.array([n.radius for n in part])
-            dot = one.unit[[n.a for n in part]] @ cy.T
-            # only pairs whose bound allows a link go on; distances are taken of those alone
-            reach = t + SLACK + rx[:, None] + ry[None, :]
-            for i, j in zip(*np.nonzero(dot >= 1 - reach * reach / 2)):
-                p, q = part[i], ys[j]
-                if p.b - p.a == 1 and q.b - q.a == 1:
-                    if dot[i, j] >= least and not (same and p.a == q.a):
-                        sums_one[p.a] += weight_two[q.a]
-                        if not same:
-                            sums_two[q.a] += weight_one[p.a]
-                        forest.join(p.a, shift + q.a)
-                elif np.sqrt(max(0.0, 2 - 2 * dot[i, j])) + p.radius + q.radius <= t - SLACK:
-                    whole(p, q)
-                else:
-                    todo.append((p, q))
-    if same:  # linking a node with itself as a whole counted every point once for itself
-        own = (one.unit * one.unit).sum(axis=1) >= least
-        sums_one -= np.where(_counted_self(one, t), weight_one, 0) * own
+        # pairs of single points: their bound is the threshold itself
+        for lo in range(0, len(x.single), ROWS):
+            part = x.single[lo : lo + ROWS]
+            i, j = np.nonzero(one.short[part] @ two.short[y.single].T >= least - SINGLE)
+            if i.size:
+                points(part[i], y.single[j])
+        wide(x.children, y.children)
+        if x.children and len(y.single):
+            _near(x.children, one, two, y.single, t, points)
+        if y.children and len(x.single):
+            _near(y.children, two, one, x.single, t, lambda i, j: points(j, i))
     return sums_one, sums_two, forest
 
 
-def _counted_self(tree: CoverTree, t: float) -> np.ndarray:
-    """Points inside a node that the walk of a tree with itself links as a whole with itself."""
-    out = np.zeros(len(tree.unit), bool)
-    todo = [tree.root]
+def _near(nodes: list[Node], tree: CoverTree, other: CoverTree, single: np.ndarray, t: float, found) -> None:
+    """Walks nodes of a tree with single points of the other one; found gets the pairs of points that may link."""
+    todo = [(n, single) for n in nodes]
     while todo:
-        for part in _parts(todo.pop()):
-            if part.b - part.a > 1:
-                if 2 * part.radius <= t - SLACK:
-                    out[part.a : part.b] = True
-                else:
-                    todo.append(part)
-    return out
+        node, points = todo.pop()
+        reach = t + SLACK + node.radius
+        points = points[other.short[points] @ tree.short[node.a] >= 1 - reach * reach / 2 - SINGLE]
+        if not len(points):
+            continue
+        for lo in range(0, len(points), ROWS):
+            part = points[lo : lo + ROWS]
+            i, j = np.nonzero(tree.short[node.single] @ other.short[part].T >= 1 - t * t / 2 - SINGLE)
+            if i.size:
+                found(node.single[i], part[j])
+        todo += [(child, points) for child in node.children]
 
 
 def near_duplicates(
