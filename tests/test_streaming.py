@@ -1,5 +1,6 @@
 """Streams over several files give the batch results."""
 
+import os
 import time
 
 import pytest
@@ -12,7 +13,7 @@ from wattledger.session import ROCKSDB_PROVIDER
 from wattledger.sources.sinks import write_alert_outbox, write_outbox_batch
 from wattledger.streaming.alerts import last_sent_alerts, stream_alert_cooldown
 from wattledger.streaming.carry import cooldown_step, interval_energy_step, run_carried
-from wattledger.streaming.energy import newest_readings, stream_hourly, stream_interval_energy
+from wattledger.streaming.energy import hourly_sums, newest_readings, stream_hourly, stream_interval_energy
 from wattledger.streaming.run import run_available, stream_events
 
 
@@ -27,8 +28,52 @@ def parts(spark, small, tmp_path_factory):
     return folder
 
 
-def source(spark, parts):
-    return stream_events(spark, parts, files="*.parquet", max_files_per_trigger=1)
+@pytest.fixture(scope="module")
+def shuffled(spark, small, tmp_path_factory):
+    """The events in six files without any order of time."""
+    folder = str(tmp_path_factory.mktemp("shuffled"))
+    events(spark, small).repartition(6, F.xxhash64("event_id")).write.mode("append").parquet(folder)
+    return folder
+
+
+def source(spark, parts, files=1):
+    return stream_events(spark, *os.path.split(parts), max_files_per_trigger=files)
+
+
+def counters(spark, parts, files=1):
+    rows = source(spark, parts, files)
+    return rows.select("event_id", F.col("user_id").alias("device_id"), "ts", F.col("value").alias("kwh_total"), F.lit(40.0).alias("power_w"))
+
+
+@pytest.mark.parametrize("files", [1, 3, 100])
+def test_order_and_size_of_micro_batches_do_not_matter(spark, small, shuffled, files):
+    rows = source(spark, shuffled, files).select(F.col("user_id").alias("device_id"), "ts", F.col("value").cast("decimal(18,2)").alias("kwh"))
+    hours = hourly_sums(rows, ["device_id"])
+    batch = readings(spark, small).groupBy("device_id", F.date_trunc("hour", "ts").alias("slot_ts")).agg(F.sum("kwh").cast("decimal(28,2)").alias("kwh"), F.count(F.lit(1)).alias("n_readings"))
+    same(hours.drop("is_closed"), batch)
+    got = run_carried(counters(spark, shuffled, files), interval_energy_step(86400), "carried").rows
+    want = interval_energy(counter_readings(spark, small).withColumn("power_w", F.lit(40.0)), tie=["event_id"], max_gap_seconds=86400)
+    same(got.select("event_id", "device_id", "interval_seconds", "kwh_interval_kwh", "energy_final_kwh"), want)
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_results_and_late_rows_are_the_input(spark, small, shuffled, files):
+    done = run_carried(counters(spark, shuffled, files), interval_energy_step(86400), "carried", lateness="1 hour")
+    ids = [r.event_id for r in done.rows.select("event_id").collect()] + [r.event_id for r in done.late.select("event_id").collect()]
+    assert sorted(ids) == sorted(r.event_id for r in events(spark, small).select("event_id").collect())
+    assert done.late.count() > 0
+
+
+def test_rows_within_the_lateness_are_put_in_order(spark, small, parts):
+    done = run_carried(counters(spark, parts), interval_energy_step(86400), "carried", lateness="2 days")
+    want = interval_energy(counter_readings(spark, small).withColumn("power_w", F.lit(40.0)), tie=["event_id"], max_gap_seconds=86400)
+    assert done.late.count() == 0
+    same(done.rows.select("event_id", "device_id", "interval_seconds", "kwh_interval_kwh", "energy_final_kwh"), want)
+
+
+def test_a_missing_table_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="does not exist"):
+        stream_events(spark, str(tmp_path), "absent.parquet")
 
 
 def same(got, want):
@@ -48,7 +93,7 @@ def test_hourly_windows(spark, small, parts):
 @pytest.mark.parametrize("piece_rows", [10**9, 20])
 def test_carried_interval_energy(spark, small, parts, piece_rows):
     rows = source(spark, parts).select("event_id", F.col("user_id").alias("device_id"), "ts", F.col("value").alias("kwh_total"), F.lit(40.0).alias("power_w"))
-    got = run_carried(rows, interval_energy_step(86400, piece_rows=piece_rows), "carried")
+    got = run_carried(rows, interval_energy_step(86400, piece_rows=piece_rows), "carried").rows
     batch = interval_energy(counter_readings(spark, small).withColumn("power_w", F.lit(40.0)), tie=["event_id"], max_gap_seconds=86400)
     same(got.select("event_id", "device_id", "interval_seconds", "kwh_interval_kwh", "energy_final_kwh"), batch)
 
@@ -57,7 +102,7 @@ def test_carried_interval_energy(spark, small, parts, piece_rows):
 def test_carried_cooldown(spark, small, parts, piece_rows):
     kind = F.when(F.col("value") >= 80, "critical").when(F.col("value") >= 40, "warning")
     rows = source(spark, parts).select("event_id", F.col("user_id").alias("household"), "ts", kind.alias("alert_type"))
-    got = run_carried(rows, cooldown_step(piece_rows=piece_rows), "carried")
+    got = run_carried(rows, cooldown_step(piece_rows=piece_rows), "carried").rows
     same(got.select("event_id", "household", "alert_type", "is_sent"), alert_cooldown(alert_events(spark, small), tie=["event_id"]))
 
 
@@ -120,7 +165,7 @@ def test_empty_input(spark, tmp_path):
     rows = source(spark, str(tmp_path)).select(F.col("user_id").alias("device_id"), "ts", F.col("value").alias("kwh"))
     assert run_available(stream_hourly(rows, ["device_id"]), "empty", state_partitions=1).count() == 0
     counters = source(spark, str(tmp_path)).select("event_id", F.col("user_id").alias("device_id"), "ts", F.col("value").alias("kwh_total"), F.lit(1.0).alias("power_w"))
-    assert run_carried(counters, interval_energy_step(), "empty").count() == 0
+    assert run_carried(counters, interval_energy_step(), "empty").rows.count() == 0
 
 
 def test_state_with_expiry(spark, small, tmp_path):

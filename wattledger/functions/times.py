@@ -40,10 +40,12 @@ def hour_slot(ts: Column) -> Column:
     return F.date_trunc("hour", ts)
 
 
-def period_index(ts: Column, hours: int) -> Column:
-    """Number of the ``hours``-long period since the epoch."""
-    return F.floor(F.unix_seconds(ts) / F.lit(3600 * hours)).cast("bigint")
+def period_index(ts: Column, hours: int, tz: str = "UTC") -> Column:
+    """Number of the ``hours``-long period since the epoch, on the clock of the time zone ``tz``."""
+    local = ts if tz == "UTC" else F.from_utc_timestamp(ts, tz)
+    return F.floor(F.unix_seconds(local) / F.lit(3600 * hours)).cast("bigint")
 
 
-def period_start(index: Column, hours: int) -> Column:
-    return F.timestamp_seconds(index * F.lit(3600 * hours))
+def period_start(index: Column, hours: int, tz: str = "UTC") -> Column:
+    start = F.timestamp_seconds(index * F.lit(3600 * hours))
+    return start if tz == "UTC" else F.to_utc_timestamp(start, tz)

@@ -255,6 +255,12 @@ def _plain_number(x: Column) -> Column:
     return F.regexp_replace(x.cast("decimal(38,2)").cast("string"), "0$", "")
 
 
+def _full_number(x: Column) -> Column:
+    """Shortest text that gives the double again, without an exponent up to 10 ** 7."""
+    plain = F.regexp_replace(x.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0*$", "$1")
+    return F.when(F.abs(x).between(1e-3, 9_999_999.0) | (x == 0), x.cast("double").cast("string")).otherwise(plain)
+
+
 def threshold_mail(
     df: DataFrame, percent: str = "usage_percent", budget: str = "budget", cost: str = "next_cost",
     brand: str = "ENERGY",
@@ -267,7 +273,7 @@ def threshold_mail(
             "status_text": mail_status(p),
             "status_color": mail_color(p),
             "lead": F.format_string(MAIL_LEAD, p.cast("string")),
-            "budget_line": F.concat(F.lit("Set Budget: ₱"), _plain_number(F.col(budget))),
+            "budget_line": F.concat(F.lit("Set Budget: ₱"), _full_number(F.col(budget))),
             "cost_line": F.concat(F.lit("Forecasted Cost: ₱"), _plain_number(F.round(F.col(cost), 2))),
             "closing": F.lit(MAIL_CLOSING),
         }
@@ -318,7 +324,8 @@ def with_auto_enable(df: DataFrame, address: str = "email_address") -> DataFrame
 
 def clamp_thresholds(low: Column, high: Column, moved: str) -> Column:
     """Pair of thresholds after the 'low' or 'high' one was moved: one point apart, within 0-120."""
-    low, high = [F.least(F.greatest(x, F.lit(0)), F.lit(120)) for x in (low, high)]
+    low = F.least(F.greatest(low, F.lit(0)), F.lit(119))
+    high = F.least(F.greatest(high, F.lit(1)), F.lit(120))
     if moved == "low":
         low = F.least(low, high - 1)
     else:
@@ -341,9 +348,8 @@ def parse_threshold_requests(df: DataFrame, body: str = "body", non_negative: bo
         F.col("_r.usage_percent").try_cast("double").try_cast("bigint"),
     )
     budget, cost = F.col("_r.budget").try_cast("double"), F.col("_r.cost").try_cast("double")
-    text_address = F.regexp_like(F.col(body), F.lit(r'"email"\s*:\s*"'))
     valid = (
-        text_address & F.col("_r.email").isNotNull() & percent.isNotNull() & budget.isNotNull() & cost.isNotNull()
+        _text_address(body) & F.col("_r.email").isNotNull() & percent.isNotNull() & budget.isNotNull() & cost.isNotNull()
     )
     if non_negative:
         valid = valid & (percent >= 0) & (budget >= 0) & (cost >= 0)
@@ -358,9 +364,13 @@ def parse_threshold_requests(df: DataFrame, body: str = "body", non_negative: bo
     ).drop("_r")
 
 
+def _text_address(body: str) -> Column:
+    """Whether the body is JSON whose own ``email`` field is a text."""
+    field = F.try_variant_get(F.try_parse_json(body), "$.email", "variant")
+    return F.coalesce(F.schema_of_variant(field) == "STRING", F.lit(False))
+
+
 def parse_welcome_requests(df: DataFrame, body: str = "body") -> DataFrame:
+    """Address and ``is_valid`` of welcome requests."""
     address = F.get_json_object(body, "$.email")
-    text_address = F.regexp_like(F.col(body), F.lit(r'"email"\s*:\s*"'))
-    return df.withColumns(
-        {"email": address, "is_valid": F.coalesce(text_address & address.isNotNull(), F.lit(False))}
-    )
+    return df.withColumns({"email": address, "is_valid": _text_address(body) & address.isNotNull()})

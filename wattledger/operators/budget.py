@@ -76,12 +76,12 @@ def alert_type(
 
 
 def mail_status(percent: Column) -> Column:
-    """Mail rule: the limit of 100 is fixed, whatever the household's thresholds are."""
-    return F.when(percent < 100, F.lit(MAIL_BELOW[0])).otherwise(F.lit(MAIL_REACHED[0]))
+    """Mail rule: the limit of 100 is fixed, whatever the household's thresholds are; null stays null."""
+    return F.when(percent < 100, F.lit(MAIL_BELOW[0])).when(percent >= 100, F.lit(MAIL_REACHED[0]))
 
 
 def mail_color(percent: Column) -> Column:
-    return F.when(percent < 100, F.lit(MAIL_BELOW[1])).otherwise(F.lit(MAIL_REACHED[1]))
+    return F.when(percent < 100, F.lit(MAIL_BELOW[1])).when(percent >= 100, F.lit(MAIL_REACHED[1]))
 
 
 def progress_pct(cost: Column, budget: Column) -> Column:

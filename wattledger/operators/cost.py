@@ -24,14 +24,16 @@ from wattledger.functions.times import period_index
 
 
 def period_totals(
-    df: DataFrame, keys: list[str], hours: int, ts: str = "ts", kwh: str = "kwh"
+    df: DataFrame, keys: list[str], hours: int, ts: str = "ts", kwh: str = "kwh", tz: str = "UTC"
 ) -> DataFrame:
     """For every period a key touches: energy of the period before (prev) and of the period (next).
 
+    Periods, such as days, follow the clock of the time zone ``tz``.
+
     Readings are combined per key and period before the first shuffle. Only those sums are then handed
     to their own period and to the following one.
     """
-    sums = df.groupBy(*keys, period_index(F.col(ts), hours).alias("period")).agg(F.sum(kwh).alias("_kwh"))
+    sums = df.groupBy(*keys, period_index(F.col(ts), hours, tz).alias("period")).agg(F.sum(kwh).alias("_kwh"))
     return prev_next(sums, keys)
 
 
@@ -81,9 +83,11 @@ def appliance_costs(
 
 
 def valid_scenario(tariff: Column, load_pct: Column) -> Column:
-    """Tariff within 5-30 and load within -50..50 in steps of 5."""
+    """Tariff within 5-30 in steps of .01 and load within -50..50 in steps of 5."""
+    hundredths = tariff / F.lit(TARIFF_STEP)
     return F.coalesce(
         tariff.between(TARIFF_MIN, TARIFF_MAX)
+        & (F.abs(hundredths - F.round(hundredths)) < 1e-6)
         & load_pct.between(LOAD_MIN, LOAD_MAX)
         & (F.pmod(load_pct, F.lit(LOAD_STEP)) == 0),
         F.lit(False),
@@ -274,7 +278,7 @@ def kpi_totals(
     aggregate with partial sums before its shuffle.
     """
     constants = constants or {}
-    sums = df.groupBy(*keys, appliance, period_index(F.col(ts), hours).alias("period")).agg(
+    sums = df.groupBy(*keys, appliance, period_index(F.col(ts), hours, tz).alias("period")).agg(
         F.sum(kwh).alias("_kwh")
     )
     zero = F.lit(0).cast(sums.schema["_kwh"].dataType)

@@ -118,7 +118,7 @@ def _add_season_back(
 ) -> DataFrame:
     """Turn predicted differences at ``slot`` into values by adding the value a season earlier."""
     base = shift_slots(series.select(*keys, slot, F.col(value).cast("double").alias("_base")), season, slot)
-    return steps.join(base, [*keys, slot]).withColumn("forecast_kwh", F.col("_base") + F.col("d_hat")).drop("_base")
+    return steps.join(base, [*keys, slot], "left").withColumn("forecast_kwh", F.col("_base") + F.col("d_hat")).drop("_base")
 
 
 def seasonal_ar1(
@@ -168,7 +168,7 @@ def seasonal_arx(
     ``exog`` maps a name to a function of the slot time, so that future values are known. Spark sums
     the products of all regressors per key (partial sums before the shuffle); Python only solves one
     small system per key and rolls the forecast forward. A singular system takes the least-norm
-    solution.
+    solution. Keys too short to fit keep their steps, with null forecasts.
     """
     if horizon > season:
         raise ValueError("horizon must not exceed the season")
@@ -197,7 +197,7 @@ def seasonal_arx(
         ahead,
         lambda j: F.array(*[f(F.col("_last") + F.make_dt_interval(hours=j)).cast("double") for f in exog.values()]),
     )
-    fit = fit.filter(F.col("n_rows") > 0).withColumn("_future", F.flatten(future) if exog else F.array().cast("array<double>"))
+    fit = fit.withColumn("n_rows", F.coalesce("n_rows", F.lit(0))).withColumn("_future", F.flatten(future) if exog else F.array().cast("array<double>"))
     schema = T.StructType(
         [
             *[series.schema[k] for k in keys],
@@ -212,7 +212,11 @@ def seasonal_arx(
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             coefficients, steps = [], []
-            for gram, moment, newest, ahead_x in zip(pdf["_gram"], pdf["_moment"], pdf["_newest"], pdf["_future"]):
+            for n, gram, moment, newest, ahead_x in zip(pdf["n_rows"], pdf["_gram"], pdf["_moment"], pdf["_newest"], pdf["_future"]):
+                if not n:  # too short to fit: the key stays, without a forecast
+                    coefficients.append(None)
+                    steps.append([None] * horizon)
+                    continue
                 beta = np.linalg.lstsq(np.asarray(gram, float).reshape(size, size), np.asarray(moment, float), rcond=None)[0]
                 known, x, out = list(newest), np.asarray(ahead_x, float).reshape(horizon, n_exog), []
                 for j in range(horizon):

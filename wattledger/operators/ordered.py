@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 PIECE = "_piece"
 WHOLE_KEY = -(1 << 62)  # piece number of a key that is not cut
 PIECE_ROWS = 2_000_000
-MAX_PIECES = 50_000
 
 
 @dataclass(frozen=True)
@@ -47,14 +46,12 @@ def cut_large_keys(
     """Number the time pieces of keys with more than ``piece_rows`` rows.
 
     A large key is cut at every ``bucket_seconds``; a bucket that is itself too large is cut again into
-    equal parts. Sizes come from one aggregate that returns a single row. The limit rises with the
-    table so that at most ``MAX_PIECES`` keys and as many buckets can exceed it: both lookup tables
-    are broadcast with that bound. If no key is large, the rows are left as they are.
+    equal parts. The limit is the same for any size of the table; how the two lookup tables are joined is
+    left to Spark's size check. Sizes come from one aggregate that returns a single row. If no key is
+    large, the rows are left as they are.
     """
-    total, largest = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n"), F.max("_n")).first()
-    )
-    limit = max(piece_rows, (total or 0) // MAX_PIECES)
+    limit = piece_rows
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
     if (largest or 0) <= limit:
         return Pieces(df, keys, keys, False)
 
@@ -69,7 +66,7 @@ def cut_large_keys(
     rows = df.withColumns({**stand_ins, "_bucket": F.floor(us / F.lit(width))})
     count = F.count(F.lit(1)).alias("_n")
     large = rows.groupBy(*named).agg(count).filter(F.col("_n") > limit).select(*named, F.lit(True).alias("_large"))
-    rows = rows.join(F.broadcast(large), named, "left")
+    rows = rows.join(large, named, "left")
     buckets = (
         rows.filter("_large")
         .groupBy(*named, "_bucket")
@@ -82,7 +79,7 @@ def cut_large_keys(
     # Rows without a time sort first, so their piece does too.
     piece = F.coalesce(start + F.floor((us - start) / part) * part, F.lit(WHOLE_KEY + 1))
     rows = (
-        rows.join(F.broadcast(buckets), [*named, "_bucket"], "left")
+        rows.join(buckets, [*named, "_bucket"], "left")
         .withColumn(PIECE, F.when(F.col("_large"), piece).otherwise(F.lit(WHOLE_KEY)))
         .select(*df.columns, *named, PIECE)
     )

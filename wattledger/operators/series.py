@@ -19,26 +19,38 @@ def lookup(key: Column, values: dict[str, float], default: float | None = None)
 
 def fit_length(
     df: DataFrame, keys: list[str], slots: int, base: float, increment: float,
-    slot: str = "slot", value: str = "kwh",
+    slot: str = "slot", value: str = "kwh", axis: DataFrame | None = None,
 ) -> DataFrame:
-    """Exactly ``slots`` values per key: the first ones are kept, missing ones follow the line
-    base + slot * increment, counted from the start of the series.
+    """Exactly ``slots`` values per key: those of the series are kept, nulls inside it too, and what lies
+    beyond its last slot follows the line base + slot * increment.
 
-    Slots beyond the requested length are dropped before the shuffle, so a key brings at most
-    ``slots`` values together.
+    ``axis`` is a table of keys, each of which gets a series, an empty one if ``df`` has no row of it; without
+    it the keys are those of ``df``. Slots beyond the requested length are dropped before the shuffle, and a
+    slot that occurs twice counts once, with its largest value, so a key brings at most ``slots`` values
+    together.
     """
-    points = F.map_from_entries(F.collect_list(F.struct(F.col(slot).cast("int"), F.col(value).cast("double"))))
+    number = F.col(slot).cast("int").alias("_slot")
+    inside = F.col(slot).between(0, slots - 1)
+    # every key has a row without a slot, so that it stays
+    rows = df.select(*keys, F.when(inside, number).alias("_slot"), F.when(inside, F.col(value).cast("double")).alias("_value"))
+    if axis is not None:
+        rows = rows.join(axis.select(*keys).distinct(), keys, "left_semi").unionByName(
+            axis.select(*keys).distinct(), allowMissingColumns=True
+        )
+    points = rows.groupBy(*keys, "_slot").agg(F.max("_value").alias("_value"))
+    known = F.when(F.col("_slot").isNotNull(), F.struct("_slot", "_value"))
     return (
-        df.filter((F.col(slot) >= 0) & (F.col(slot) < slots) & F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(points.alias("_points"))
+        points.groupBy(*keys)
+        .agg(F.map_from_entries(F.collect_list(known)).alias("_points"), F.max("_slot").alias("_last"))
         .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-        .withColumn("_known", F.col("_points")[F.col("slot")])
+        .withColumn("is_extended", F.col("slot") > F.coalesce("_last", F.lit(-1)))
         .select(
             *keys,
             "slot",
-            F.coalesce("_known", F.lit(base) + F.col("slot") * F.lit(increment)).alias("kwh"),
-            F.col("_known").isNull().alias("is_extended"),
+            F.when(F.col("is_extended"), F.lit(base) + F.col("slot") * F.lit(increment))
+            .otherwise(F.try_element_at("_points", F.col("slot")))
+            .alias("kwh"),
+            "is_extended",
         )
     )
 
@@ -71,15 +83,23 @@ def source_priority(
     )
 
 
-def slot_totals(df: DataFrame, keys: list[str], slot: str = "slot_ts", kwh: str = "kwh") -> DataFrame:
+def slot_totals(
+    df: DataFrame, keys: list[str], slot: str = "slot_ts", kwh: str = "kwh",
+    appliance: str = "appliance", expected: list[str] | None = None,
+) -> DataFrame:
     """Sum over appliances per slot. A slot where an appliance is missing is flagged.
 
-    ``n_missing`` counts null values at the slot, as the sum skips them.
+    ``n_missing`` counts the ``expected`` appliances without a value at the slot, as the sum skips them;
+    without a list it counts the null values.
     """
-    return df.groupBy(*keys, slot).agg(
-        F.sum(kwh).alias("total_kwh"),
-        F.sum(F.col(kwh).isNull().cast("int")).alias("n_missing"),
-    )
+    if expected is None:
+        missing = F.sum(F.col(kwh).isNull().cast("int"))
+    else:
+        there = [F.max((F.col(kwh).isNotNull() & (F.col(appliance) == name)).cast("int")) for name in expected]
+        missing = F.lit(len(expected)).cast("bigint")
+        for one in there:
+            missing = missing - F.coalesce(one, F.lit(0))
+    return df.groupBy(*keys, slot).agg(F.sum(kwh).alias("total_kwh"), missing.alias("n_missing"))
 
 
 def concat_series(past: DataFrame, future: DataFrame) -> DataFrame:

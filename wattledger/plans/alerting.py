@@ -12,6 +12,8 @@ from wattledger.operators.alerts import (
     notifications as notices_of,
     outbox_rows,
     parse_threshold_requests,
+    parse_welcome_requests,
+    parse_welcome_requests,
     threshold_mail as mail_texts,
     unread_counts as count_unread,
 )
@@ -104,7 +106,7 @@ def notifications(spark: SparkSession, folder: str) -> DataFrame:
   CASE WHEN p < 100 THEN 'Approaching Limit' ELSE 'Budget Exceeded' END AS status_text,
   CASE WHEN p < 100 THEN '#F59E0B' ELSE '#EF4444' END AS status_color,
   concat('Your forecasted energy consumption has reached ', p, '% of your set budget.') AS lead,
-  concat('Set Budget: ₱', regexp_replace(CAST(CAST(budget AS DECIMAL(38,2)) AS VARCHAR), '0$', '')) AS budget_line,
+  concat('Set Budget: ₱', CAST(CAST(budget AS DOUBLE) AS VARCHAR)) AS budget_line,
   concat('Forecasted Cost: ₱', regexp_replace(CAST(CAST(ROUND(next_cost, 2) AS DECIMAL(38,2)) AS VARCHAR), '0$', '')) AS cost_line,
   'Consider adjusting your appliance usage to stay within your limits.' AS closing
 FROM y WHERE p IS NOT NULL"""
@@ -164,3 +166,23 @@ def alert_requests_valid(spark: SparkSession, folder: str) -> DataFrame:
     checked = parse_threshold_requests(events(spark, folder).select("event_id", body.alias("body")))
     kind = F.when(F.col("is_valid"), F.when(F.col("usage_percent") >= 100, "critical").when(F.col("usage_percent") >= 80, "warning"))
     return checked.select("event_id", "is_valid", "usage_percent", kind.alias("alert_type"))
+
+
+@query(
+    """SELECT event_id, event_type IN ('view', 'purchase') AS is_valid,
+  CASE event_type WHEN 'view' THEN concat('u', user_id, '@gmail.com') WHEN 'purchase' THEN '' WHEN 'signup' THEN '5'
+    ELSE NULL END AS email
+FROM events"""
+)
+def welcome_requests_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """Welcome requests rendered from events, some of them broken, and checked: the address is a text of the body itself."""
+    kind = F.col("event_type")
+    body = (
+        F.when(kind == "view", F.concat(F.lit('{"email": "u'), F.col("user_id").cast("string"), F.lit('@gmail.com"}')))
+        .when(kind == "purchase", F.lit('{"email": ""}'))
+        .when(kind == "signup", F.lit('{"meta": {"email": "x"}, "email": 5}'))
+        .when(kind == "click", F.lit('{"meta": {"email": "x"}}'))
+        .otherwise(F.lit('{"email": "x"'))
+    )
+    checked = parse_welcome_requests(events(spark, folder).select("event_id", body.alias("body")))
+    return checked.select("event_id", "is_valid", F.when(F.try_parse_json("body").isNotNull(), F.col("email")).alias("email"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattledger.constants import ACTUAL_BASE, ACTUAL_INCREMENT
@@ -76,16 +76,25 @@ def axis_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_custkey AS household, COUNT(*) AS slots FROM (
-  SELECT c_custkey, unnest(range(0, 24)) AS o FROM customer) WHERE o < 12 GROUP BY 1"""
+    f"""WITH {DEVICE_HOURS_SQL}, b AS (SELECT device_id, MIN(slot_ts) AS base FROM hr GROUP BY 1),
+o AS (SELECT hr.device_id, kwh, date_diff('hour', base, slot_ts) AS offset_h FROM hr JOIN b ON b.device_id = hr.device_id),
+c AS (SELECT unnest([6, 12, 24]) AS range_h)
+SELECT device_id, CAST(range_h AS INTEGER) AS range_h, COUNT(*) AS slots, CAST(SUM(kwh) AS DOUBLE) AS kwh
+FROM o JOIN c ON offset_h < range_h GROUP BY 1, 2"""
 )
 def chart_range(spark: SparkSession, folder: str) -> DataFrame:
-    """Slots of a 24-hour axis that a 12-hour chart range keeps."""
-    customers = table(spark, folder, "customer").select(
-        F.col("c_custkey").alias("household"), F.lit(CUTOFF).cast("timestamp").alias("base")
-    )
-    axis = within_range(build_axis(customers, "base", 24, 1).filter(F.col("segment") == "next"), 12)
-    return axis.groupBy("household").agg(F.count(F.lit(1)).alias("slots"))
+    """Hours and energy of every device that the three chart ranges keep, counted from its first hour."""
+    hours = hourly_energy(readings(spark, folder), ["device_id"])
+    first = Window.partitionBy("device_id")
+    apart = F.unix_seconds("slot_ts") - F.unix_seconds(F.min("slot_ts").over(first))
+    offsets = hours.withColumn("offset_h", (apart / F.lit(3600)).cast("bigint")).filter(F.col("offset_h") < 24)
+    out = None
+    for range_h in (6, 12, 24):
+        part = within_range(offsets, range_h).groupBy("device_id").agg(
+            F.lit(range_h).alias("range_h"), F.count(F.lit(1)).alias("slots"), F.sum("kwh").cast("double").alias("kwh")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(
@@ -128,15 +137,23 @@ def lookback_window(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {READINGS_SQL},
 d AS (SELECT device_id, appliance, date_trunc('day', ts) AS day, SUM(kwh) AS k FROM r GROUP BY 1, 2, 3),
 n AS (SELECT *, row_number() OVER (PARTITION BY device_id, appliance ORDER BY day) - 1 AS slot FROM d),
-g AS (SELECT device_id, appliance, unnest(range(10)) AS slot FROM (SELECT DISTINCT device_id, appliance FROM d))
-SELECT g.device_id, g.appliance, CAST(g.slot AS INTEGER) AS slot,
-  COALESCE(CAST(k AS DOUBLE), CAST(4.2 AS DOUBLE) + g.slot * CAST(0.15 AS DOUBLE)) AS kwh, k IS NULL AS is_extended
-FROM g LEFT JOIN n ON n.device_id = g.device_id AND n.appliance = g.appliance AND n.slot = g.slot"""
+v AS (SELECT device_id, appliance, slot, CASE WHEN CAST(k AS DOUBLE) >= 1 THEN CAST(k AS DOUBLE) END AS k FROM n),
+l AS (SELECT device_id, appliance, MAX(slot) AS last FROM v WHERE slot < 10 GROUP BY 1, 2),
+g AS (SELECT c_custkey AS device_id, appliance, unnest(range(10)) AS slot
+  FROM customer CROSS JOIN (SELECT unnest(['view', 'click', 'purchase', 'signup', 'error']) AS appliance))
+SELECT g.device_id, g.appliance, CAST(g.slot AS INTEGER) AS slot, g.slot > COALESCE(last, -1) AS is_extended,
+  CASE WHEN g.slot > COALESCE(last, -1) THEN CAST(4.2 AS DOUBLE) + g.slot * CAST(0.15 AS DOUBLE) ELSE k END AS kwh
+FROM g LEFT JOIN v ON v.device_id = g.device_id AND v.appliance = g.appliance AND v.slot = g.slot
+LEFT JOIN l ON l.device_id = g.device_id AND l.appliance = g.appliance"""
 )
 def fit_length(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten days of every customer and appliance, with or without readings; days below 1 kWh are unknown inside."""
     keys = ["device_id", "appliance"]
-    daily = readings(spark, folder).groupBy(*keys, F.to_date("ts").alias("day")).agg(F.sum("kwh").alias("kwh"))
-    return fit(number_slots(daily, keys, "day"), keys, 10, ACTUAL_BASE, ACTUAL_INCREMENT)
+    daily = readings(spark, folder).groupBy(*keys, F.to_date("ts").alias("day")).agg(F.sum("kwh").cast("double").alias("kwh"))
+    numbered = number_slots(daily, keys, "day").withColumn("kwh", F.when(F.col("kwh") >= 1, F.col("kwh")))
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("device_id"))
+    axis = customers.withColumn("appliance", F.explode(F.array(*map(F.lit, KINDS))))
+    return fit(numbered, keys, 10, ACTUAL_BASE, ACTUAL_INCREMENT, axis=axis)
 
 
 @query(
@@ -251,13 +268,13 @@ def appliance_selection(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {HOURS_SQL}
-SELECT device_id, strftime(slot_ts, {ISO}) AS slot, CAST(SUM(kwh) AS DOUBLE) AS total_kwh, CAST(SUM(CASE WHEN kwh IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
+SELECT device_id, strftime(slot_ts, {ISO}) AS slot, CAST(SUM(kwh) AS DOUBLE) AS total_kwh, 5 - COUNT(DISTINCT appliance) AS n_missing,
   strftime(slot_ts, '%B %-d, %Y') AS date_label
 FROM hr GROUP BY device_id, slot_ts"""
 )
 def total_from_appliances(spark: SparkSession, folder: str) -> DataFrame:
     hourly = hourly_energy(readings(spark, folder), ["device_id", "appliance"])
-    return slot_totals(hourly, ["device_id"]).select(
+    return slot_totals(hourly, ["device_id"], expected=KINDS).select(
         "device_id", iso(F.col("slot_ts")).alias("slot"), F.col("total_kwh").cast("double").alias("total_kwh"),
         "n_missing", long_date(F.col("slot_ts")).alias("date_label"),
     )

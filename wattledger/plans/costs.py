@@ -200,14 +200,14 @@ def scenario_costs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {READINGS_SQL}, t AS (SELECT appliance, CAST(SUM(kwh) AS DOUBLE) AS next_kwh FROM r GROUP BY 1),
-g AS (SELECT * FROM (SELECT 5 + unnest(range(0, 26)) AS tariff), (SELECT unnest(range(-50, 51, 5)) AS load_pct))
-SELECT appliance, CAST(tariff AS DOUBLE) AS tariff, CAST(load_pct AS INTEGER) AS load_pct, ROUND(next_kwh * (1.0 + load_pct / CAST(100 AS DOUBLE)) * tariff, 6) AS next_cost
+g AS (SELECT * FROM (SELECT CAST((500 + unnest(range(0, 2501))) AS DOUBLE) / CAST(100 AS DOUBLE) AS tariff), (SELECT unnest(range(-50, 51, 5)) AS load_pct))
+SELECT appliance, tariff, CAST(load_pct AS INTEGER) AS load_pct, ROUND(next_kwh * (1.0 + load_pct / CAST(100 AS DOUBLE)) * tariff, 6) AS next_cost
 FROM t CROSS JOIN g"""
 )
 def scenario_grid(spark: SparkSession, folder: str) -> DataFrame:
     """What-if table of the five appliance totals over tariffs 5-30 and loads -50..50."""
     totals = readings(spark, folder).groupBy("appliance").agg(F.sum("kwh").cast("double").alias("next_kwh"))
-    grid = what_if(grid_of(totals.withColumn("prev_kwh", F.lit(0.0)), tariff_step=1.0), TARIFF)
+    grid = what_if(grid_of(totals.withColumn("prev_kwh", F.lit(0.0))), TARIFF)
     return rounded(grid, ["next_cost"], 6).select("appliance", "tariff", "load_pct", "next_cost")
 
 
@@ -217,13 +217,14 @@ COST_CHANGE_SQL = "CASE WHEN prev_cost > 0 THEN (next_cost - prev_cost) / prev_c
 @query(
     f"""WITH {DAYS_SQL}
 SELECT device_id, base_day, ROUND({CHANGE_SQL}, 4) AS energy_change_pct, ROUND({COST_CHANGE_SQL}, 4) AS cost_change_pct,
-  CASE WHEN next_cost - prev_cost > 0 THEN 'increase' ELSE 'decrease' END AS trend, next_kwh > 100 AS forecast_at_risk
+  CASE WHEN next_cost - prev_cost > 0 THEN 'increase' ELSE 'decrease' END AS trend,
+  ROUND(ABS({COST_CHANGE_SQL}), 1) AS trend_abs_pct, next_kwh > 100 AS forecast_at_risk
 FROM d"""
 )
 def period_comparison(spark: SparkSession, folder: str) -> DataFrame:
     out = compare(day_costs(spark, folder), threshold=F.lit(100.0))
     return rounded(out, ["energy_change_pct", "cost_change_pct"]).select(
-        "device_id", "base_day", "energy_change_pct", "cost_change_pct", "trend", "forecast_at_risk"
+        "device_id", "base_day", "energy_change_pct", "cost_change_pct", "trend", "trend_abs_pct", "forecast_at_risk"
     )
 
 
@@ -355,3 +356,20 @@ def landing_summary(spark: SparkSession, folder: str) -> DataFrame:
         budget_status(F.col("next_kwh") * F.lit(TARIFF), F.lit(300.0)).alias("budget_status"),
         period_text(F.lit(4)).alias("period_text"),
     )
+
+
+@query(
+    f"""WITH {READINGS_SQL},
+s AS (SELECT device_id, CAST(floor((epoch(ts) + 28800) / 86400) AS BIGINT) AS p, SUM(kwh) AS k FROM r GROUP BY 1, 2),
+u AS (SELECT device_id, p, CAST(0 AS DECIMAL(18,2)) AS prev, k AS next FROM s
+  UNION ALL SELECT device_id, p + 1, k, CAST(0 AS DECIMAL(18,2)) FROM s)
+SELECT device_id, strftime(make_timestamp(p * 86400000000) - INTERVAL 8 HOUR, {ISO}) AS day_start_utc,
+  CAST(SUM(prev) AS DOUBLE) AS prev_kwh, CAST(SUM(next) AS DOUBLE) AS next_kwh FROM u GROUP BY device_id, p"""
+)
+def local_day_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Energy of each day and of the day before on the clock of Manila."""
+    days = period_totals(readings(spark, folder), ["device_id"], 24, tz="Asia/Manila")
+    return days.select(
+        "device_id", iso(period_start(F.col("period"), 24, "Asia/Manila")).alias("day_start_utc"),
+        F.col("prev_kwh").cast("double").alias("prev_kwh"), F.col("next_kwh").cast("double").alias("next_kwh"),
+    )

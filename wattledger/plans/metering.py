@@ -284,7 +284,7 @@ def address_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """WITH t AS (SELECT c_custkey AS household, CAST(c_custkey % 141 - 10 AS INTEGER) AS lo,
     CAST(c_nationkey * 6 - 5 AS INTEGER) AS hi FROM customer),
-c AS (SELECT household, least(greatest(lo, 0), 120) AS lo, least(greatest(hi, 0), 120) AS hi FROM t)
+c AS (SELECT household, least(greatest(lo, 0), 119) AS lo, least(greatest(hi, 1), 120) AS hi FROM t)
 SELECT household, least(lo, hi - 1) AS low_after_low, hi AS high_after_low, lo AS low_after_high,
   greatest(hi, lo + 1) AS high_after_high FROM c"""
 )

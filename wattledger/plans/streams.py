@@ -12,7 +12,7 @@ from wattledger.plans.registry import query
 from wattledger.plans.tables import ISO, READINGS_SQL, level
 from wattledger.streaming.carry import cooldown_step, interval_energy_step, run_carried
 from wattledger.streaming.alerts import stream_alert_cooldown
-from wattledger.streaming.energy import stream_hourly as hourly_windows
+from wattledger.streaming.energy import hourly_sums
 from wattledger.streaming.energy import stream_interval_energy as energy_between
 from wattledger.streaming.run import run_available, stream_events
 
@@ -32,11 +32,11 @@ SELECT device_id, strftime(date_trunc('hour', ts), {ISO}) AS slot, CAST(SUM(kwh)
 FROM r CROSS JOIN m WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY 1, 2"""
 )
 def stream_hourly(spark: SparkSession, folder: str) -> DataFrame:
-    """Closed hours only: the last hour stays open until the watermark passes it."""
+    """Closed hours only: the last hour stays open until ten minutes after its end."""
     rows = _stream(spark, folder).select(
         F.col("user_id").alias("device_id"), "ts", F.col("value").cast("decimal(18,2)").alias("kwh")
     )
-    stored = run_available(hourly_windows(rows, ["device_id"]), "stream-hourly")
+    stored = hourly_sums(rows, ["device_id"]).filter("is_closed")
     return stored.select("device_id", iso(F.col("slot_ts")).alias("slot"), F.col("kwh").cast("double").alias("kwh"), "n_readings")
 
 
@@ -70,7 +70,7 @@ def stream_interval_energy(spark: SparkSession, folder: str) -> DataFrame:
 @query(STREAM_INTERVAL_SQL)
 def stream_interval_carried(spark: SparkSession, folder: str) -> DataFrame:
     """The same by micro-batches that run the batch operator and carry the newest reading per device."""
-    stored = run_carried(_counters(spark, folder, max_bytes_per_trigger=LARGE_BATCH), interval_energy_step(86400), "carried-interval")
+    stored = run_carried(_counters(spark, folder, max_bytes_per_trigger=LARGE_BATCH), interval_energy_step(86400), "carried-interval").rows
     return stored.select(*INTERVAL_COLUMNS)
 
 
@@ -83,5 +83,5 @@ def stream_cooldown(spark: SparkSession, folder: str) -> DataFrame:
 @query(COOLDOWN_SQL)
 def stream_cooldown_carried(spark: SparkSession, folder: str) -> DataFrame:
     """The same by micro-batches that carry the last sent alert per household."""
-    stored = run_carried(_alerts(spark, folder, max_bytes_per_trigger=LARGE_BATCH), cooldown_step(), "carried-cooldown")
+    stored = run_carried(_alerts(spark, folder, max_bytes_per_trigger=LARGE_BATCH), cooldown_step(), "carried-cooldown").rows
     return stored.select("event_id", "household", iso(F.col("ts")).alias("at"), "alert_type", "is_sent")

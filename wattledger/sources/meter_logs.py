@@ -4,24 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattledger.operators.normalise import scale_raw
 from wattledger.schemas import METER_LOG_V2
 
 
-def parse_meter_log_v1(lines: DataFrame, column: str = "value") -> DataFrame:
+def parse_meter_log_v1(lines: DataFrame, column: str = "value", quarantine: bool = False) -> DataFrame:
     """Readings from text lines with 7 or 8 fields.
 
     The header names seven fields, yet newer lines carry an unnamed eighth one before the switch. The
     switch is therefore the last field. The columns called volts, amperes and watts hold raw integers.
-    Header lines and lines of another length are dropped.
+    Header lines are left out, and lines of another length or without a time too, unless ``quarantine`` is set:
+    then every line but headers stays, with its text in ``raw`` and ``is_valid`` to split on.
     """
     fields = F.split(column, ",", -1)
     number = lambda i: F.get("_f", F.lit(i)).try_cast("bigint")
-    return (
+    rows = (
         lines.withColumn("_f", fields)
         .withColumn("n_fields", F.size("_f"))
-        .filter(F.col("n_fields").isin(7, 8) & (F.get("_f", F.lit(0)) != "timestamp"))
+        .filter(~F.coalesce(F.get("_f", F.lit(0)) == "timestamp", F.lit(False)))
+        .withColumn("is_valid", F.col("n_fields").isin(7, 8))
+    )
+    extra = [F.col(column).alias("raw"), "is_valid"] if quarantine else []
+    if quarantine:
+        rows = rows.withColumn("is_valid", F.col("is_valid") & F.get("_f", F.lit(0)).try_cast("timestamp").isNotNull())
+    else:
+        rows = rows.filter("is_valid")
+    return (
+        rows
         .select(
             F.get("_f", F.lit(0)).try_cast("timestamp").alias("ts"),
             F.get("_f", F.lit(1)).alias("device_id"),
@@ -32,16 +43,21 @@ def parse_meter_log_v1(lines: DataFrame, column: str = "value") -> DataFrame:
             F.when(F.col("n_fields") == 8, F.get("_f", F.lit(6))).alias("interval_unnamed"),
             F.element_at("_f", -1).try_cast("boolean").alias("switch_1"),
             "n_fields",
+            *extra,
         )
     )
 
 
-def read_meter_log_v1(spark: SparkSession, path: str) -> DataFrame:
-    return parse_meter_log_v1(spark.read.text(path))
+def read_meter_log_v1(spark: SparkSession, path: str, quarantine: bool = False) -> DataFrame:
+    return parse_meter_log_v1(spark.read.text(path), quarantine=quarantine)
 
 
-def read_meter_log_v2(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METER_LOG_V2).csv(path, header=True)
+def read_meter_log_v2(spark: SparkSession, path: str, quarantine: bool = False) -> DataFrame:
+    """With ``quarantine`` a column ``raw`` has the text of lines that do not fit the schema, else null."""
+    if not quarantine:
+        return spark.read.schema(METER_LOG_V2).csv(path, header=True)
+    schema = T.StructType([*METER_LOG_V2.fields, T.StructField("raw", T.StringType())])
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "raw").csv(path, header=True)
 
 
 def write_meter_log_v2(df: DataFrame, path: str) -> None:

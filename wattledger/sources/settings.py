@@ -11,7 +11,11 @@ from wattledger.constants import DEFAULT_SETTINGS
 def latest_settings(
     history: DataFrame, key: str = "household", ts: str = "ts", tie: list[str] | None = None
 ) -> DataFrame:
-    """Last save per household, by an aggregate that combines before the shuffle (no sort, no window)."""
+    """Last save per household, by an aggregate that combines before the shuffle.
+
+    Rows with text columns are aggregated by sorting within a task; there is no window. Saves of one instant
+    are ordered by ``tie``.
+    """
     order = F.struct(ts, *(tie or []))
     values = [c for c in history.columns if c not in (key, *(tie or []))]
     return (
@@ -29,5 +33,21 @@ def settings_or_default(households: DataFrame, latest: DataFrame, key: str = "ho
     )
 
 
-def upsert_settings(history: DataFrame, path: str, key: str = "household", ts: str = "ts") -> None:
-    latest_settings(history, key, ts).write.mode("overwrite").parquet(path)
+def upsert_settings(
+    saves: DataFrame, path: str, key: str = "household", ts: str = "ts", tie: list[str] | None = None
+) -> None:
+    """Merge a batch of saves into the table at ``path``: the newest save of each household stays.
+
+    The merged table is written beside the old one and takes its place by renaming, so readers never see a half
+    written table. A saved row loses against a save of the same instant.
+    """
+    spark = saves.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fresh = latest_settings(saves, key, ts, tie).withColumn("_fresh", F.lit(True))
+    if store.exists(target):
+        fresh = fresh.unionByName(spark.read.parquet(path).withColumn("_fresh", F.lit(False)), allowMissingColumns=True)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}-next")
+    latest_settings(fresh, key, ts, ["_fresh"]).write.mode("overwrite").parquet(beside.toString())
+    store.delete(target, True)
+    store.rename(beside, target)

@@ -12,13 +12,14 @@ def write_readings(
     """Readings by date folder, sorted by device and time.
 
     Ranges of (date, device, time) spread a busy date or device over several writers and keep the
-    number of files per folder small.
+    number of files per folder small. Overwriting replaces the dates that occur in ``df`` and leaves others.
     """
     (
         df.withColumn("date", F.to_date(ts))
         .repartitionByRange("date", device, ts)
         .sortWithinPartitions("date", device, ts)
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date")
         .parquet(path)
     )

@@ -54,8 +54,8 @@ def stream_alert_cooldown(
     """
     schema = T.StructType(
         [
-            T.StructField("event_id", T.LongType()),
-            T.StructField("household", T.LongType()),
+            alerts.schema["event_id"],
+            alerts.schema["household"],
             T.StructField("us", T.LongType()),
             T.StructField("alert_type", T.StringType()),
             T.StructField("is_sent", T.BooleanType()),

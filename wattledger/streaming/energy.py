@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wattledger.operators.normalise import energy_columns
+from wattledger.session import shared_dir
+from wattledger.sources.sinks import write_outbox_batch
 
 
 def stream_hourly(
@@ -26,6 +28,43 @@ def stream_hourly(
     )
 
 
+def hourly_sums(stream: DataFrame, keys: list[str], ts: str = "ts", kwh: str = "kwh", lateness: str = "10 minutes") -> DataFrame:
+    """Hourly energy per key of all available input, with ``is_closed`` once ``lateness`` has passed its end.
+
+    Every micro-batch appends its partial sums; they are added when read. The result does not depend on the
+    order of files or the size of micro-batches, and no late reading is lost.
+    """
+    spark = stream.sparkSession
+    target = shared_dir(spark, "hourly-sums")
+    parts: list[T.StructType] = []
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy(*keys, F.date_trunc("hour", ts).alias("slot_ts")).agg(
+            F.sum(kwh).alias("kwh"), F.count(F.lit(1)).alias("n_readings"), F.max(ts).alias("newest")
+        )
+        write_outbox_batch(sums, batch_id, f"{target}/sums")
+        parts[:] = [sums.schema]
+
+    query = (
+        stream.writeStream.option("checkpointLocation", f"{target}/state").foreachBatch(handle).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    if not parts:
+        empty = stream.sparkSession.createDataFrame([], stream.schema)
+        found = empty.groupBy(*keys, F.date_trunc("hour", ts).alias("slot_ts")).agg(
+            F.sum(kwh).alias("kwh"), F.count(F.lit(1)).alias("n_readings"), F.max(ts).alias("newest")
+        )
+    else:
+        schema = T.StructType([*parts[0].fields, T.StructField("batch_id", T.LongType())])
+        found = spark.read.schema(schema).parquet(f"{target}/sums")
+    kind = found.schema["kwh"].dataType
+    folded = found.groupBy(*keys, "slot_ts").agg(F.sum("kwh").cast(kind).alias("kwh"), F.sum("n_readings").alias("n_readings"))
+    mark = found.agg(F.max("newest").cast("string")).first()[0]
+    newest = F.lit(mark).cast(found.schema["newest"].dataType)
+    closed = F.col("slot_ts") + F.expr("INTERVAL 1 HOUR") + F.expr(f"INTERVAL {lateness}") <= newest
+    return folded.withColumn("is_closed", closed)
+
+
 class _LastReading(StatefulProcessor):
     """Keeps time and counter of a device's newest reading."""
 
@@ -77,8 +116,8 @@ def stream_interval_energy(
     """
     schema = T.StructType(
         [
-            T.StructField("event_id", T.LongType()),
-            T.StructField("device_id", T.LongType()),
+            readings.schema["event_id"],
+            readings.schema["device_id"],
             T.StructField("us", T.LongType()),
             T.StructField("power_w", T.DoubleType()),
             T.StructField("interval_seconds", T.DoubleType()),

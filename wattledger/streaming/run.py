@@ -11,17 +11,24 @@ from wattledger.sources.sinks import write_outbox_batch
 
 
 def stream_events(
-    spark: SparkSession, folder: str, files: str = "events.parquet",
+    spark: SparkSession, folder: str, name: str = "events.parquet",
     max_bytes_per_trigger: int = 1 << 30, max_files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Event files as a stream. The size of a micro-batch is limited, and with it the rows that one
-    key can bring to a stateful operator at once."""
-    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", files)
+    """The event table as a stream, be it one file or a folder of files; a missing table is an error.
+
+    The size of a micro-batch is limited, and with it the rows that one key can bring to a stateful
+    operator at once.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    reader = spark.readStream.schema(EVENTS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     else:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
-    return reader.parquet(folder)
+    if status.isDirectory():
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def run_available(
