@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -12,6 +13,7 @@ from tests.llm.data import corpus, documents
 from tests.llm.test_pairs import shingles, union_find
 from wattledger.llm import bpe, mixing, order, urls
 from wattledger.llm.queries import RULES
+from wattledger.llm.twins import urls_sql
 
 PAGES = [
     (1, "http://A.example.com/en/x", None), (2, "https://www.example.com/en/y#f", ""), (3, "http://q.net/es/z?p=1", "x"), (4, "http://net/fr/", "x"),
@@ -36,6 +38,10 @@ def test_urls(spark):
         15: ("noexample.com", "/en/", "com/", "allow"), None: ("net", "", None, "allow"),
     }
     assert urls.judge(spark, pages.limit(0), RULES).collect() == []
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", PAGES)
+    assert {r[0]: r[1:] for r in db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({urls_sql(RULES)})").fetchall()} == got
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])

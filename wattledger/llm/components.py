@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from wattledger.llm.common import Scratch
 
 
-def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:
     """edges (a, b) with a > b, each pair once."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     # from the view of the smaller end, every edge leads to a larger neighbour
     moved = edges.select(F.col("b").alias("a"), F.col("a").alias("far")).join(least, "a").select(F.col("far").alias("a"), F.col("m").alias("b"))
-    out = scratch.keep(moved.distinct(), "large")
+    out = _kept(moved.distinct(), scratch, "large")
     scratch.drop(least)
     return out
 
@@ -41,17 +41,34 @@ def _kept(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, tup
     return out, (seen.get["n"], seen.get["s"])
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) of every node with an edge; component is the least node. ``edges``: columns a, b."""
+def star_rounds(edges: DataFrame, scratch: Scratch, most: int | None = None) -> DataFrame:
+    """Edges (a, b), a > b, with the same components after ``most`` rounds of both steps, or until they stay as
+    they are: then every a has one b, the least node of its component."""
     pairs = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now, before = _kept(pairs.distinct(), scratch, "edges")
-    while before[0]:
-        large = _large_star(now, scratch)
+    done = 0
+    while before[0] and (most is None or done < most):
+        large, middle = _large_star(now, scratch)
+        # kept by large-star: no lower end has a smaller neighbour; with one lower end for each node, that is all
+        if middle == before and large.select("a").distinct().count() == middle[0]:
+            scratch.drop(large)
+            break
         small, after = _small_star(large, scratch)
         scratch.drop(now, large)
-        now = small
-        if after == before:
-            break
-        before = after
-    own = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(own)
+        now, before, done = small, after, done + 1
+    return now
+
+
+def labels_of(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of edges from ``star_rounds``. Nodes with equal values are connected; after all
+    rounds connected nodes have equal values."""
+    up = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    roots = edges.select(F.col("b").alias("node")).distinct().join(up.select("node"), "node", "left_anti")
+    return up.unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of every node with an edge; component is the least node. ``edges``: columns a, b."""
+    now = star_rounds(edges, scratch)
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattledger.llm.common import Scratch
-from wattledger.llm.components import connected_components
+from wattledger.llm.components import connected_components, labels_of, star_rounds
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -305,7 +305,9 @@ def near_duplicates(
     stars = members.where(F.col("node") > F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     agreed = scratch.keep(_agreeing(stars, sketches, need), "agreed")
     links = scratch.keep(_confirm(agreed, _texts_of(agreed, classes, docs, shingle), shingle, percent), "links")
-    labels = connected_components(links, scratch)
+    # two rounds join most of what is linked; what they leave apart is compared again, so nothing depends on it
+    joined_links = star_rounds(links, scratch, most=2)
+    labels = labels_of(joined_links)
 
     component = F.coalesce("component", "node").alias("component")
     joined = members.where("n > 2").join(labels, "node", "left").select("bucket", "band", "node", component)
@@ -317,8 +319,7 @@ def near_duplicates(
     rest = scratch.keep(_blocks_compared(full, block, percent).join(agreed, ["a", "b"], "left_anti"), "rest")
     more = scratch.keep(_confirm(rest, _texts_of(rest, classes, docs, shingle), shingle, percent), "more")
 
-    every = labels.where(F.col("node") != F.col("component")).select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = connected_components(every, scratch)
+    final = connected_components(joined_links.unionByName(more), scratch)
     linked = final.join(classes.select("node", "least_id"), "node")
     least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_class = linked.join(least, "component").select("node", "component_id")

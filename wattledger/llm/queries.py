@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wattledger.llm import bpe, covertree, minhash, mixing, order, quality, secrets, topk, toxicity, urls
 from wattledger.llm.common import table
 from wattledger.llm.registry import query
+from wattledger.llm.twins import urls_sql
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -48,7 +49,7 @@ RULES: list[urls.Rule] = [
 ]
 
 
-@query()
+@query(urls_sql(RULES))
 def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
     """Judges every url of pages by rules and by its aliases."""
     return urls.judge(spark, table(spark, folder, "pages"), RULES)
