@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +34,19 @@ def build_session(app_name: str = "wattledger", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to executors that do not have it installed; once per application is enough."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="wattledger-"), "wattledger.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)  # Spark serves the file, so it may lie in a folder of the driver
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new sub-folder of ``spark.checkpoint.dir`` that every executor can reach.
 
