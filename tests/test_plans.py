@@ -4,9 +4,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
+from wattledger.plans.catalog import QUERIES
+
 
-QUERIES = contract.queries()
 WRITING = {"meter_v2_round_trip", "settings_latest", "alert_outbox", "stream_hourly", "stream_interval_energy", "stream_cooldown", "stream_interval_carried", "stream_cooldown_carried"}
 
 
