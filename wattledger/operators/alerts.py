@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wattledger.constants import (
     APPROACHING_MESSAGE,
@@ -61,8 +63,8 @@ def alert_cooldown(
 
     Rows are sorted by household and time and read as a stream of Arrow batches with constant state.
     A household above ``piece_rows`` is cut into time pieces. Each piece first reports, in parallel,
-    where its chain of sent alerts ends for every possible start; folding these reports gives the state
-    at the start of each piece, and all pieces are then marked in parallel.
+    where its chain of sent alerts ends for every possible start; folding these reports, as a sorted stream
+    with constant state, gives the state at the start of each piece, and all pieces are then marked in parallel.
     """
     tie = tie or []
     cooldown = int(cooldown_hours * 3_600_000_000)
@@ -181,22 +183,40 @@ def _piece_starts(pieces: Pieces, alert_type: str, tie: list[str], cooldown: int
             }
         )
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state_type, state_us, out = None, None, []
-        for _, part in pdf.sort_values([PIECE, "from_us"], kind="stable").groupby(PIECE):
-            if state_type is not None:
-                out.append((*part[by].iloc[0], state_type, state_us))
-            head = part.iloc[0]
-            if pd.isna(head["from_us"]):
-                state_us = int(head["end_us"])
-            elif state_type != head["first_type"]:
-                state_us = int(head["fresh_end_us"])
-            else:
-                at = int(np.searchsorted(part["from_us"].to_numpy(np.int64), state_us + cooldown, "right"))
-                if at < len(part):
-                    state_us = int(part["end_us"].iloc[at])
-            state_type = head["last_type"]
-        return pd.DataFrame(out, columns=[*by, alert_type, "_us"])
+    household = by[:-1]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Reports in the order of households and pieces; the state is that of one household, and only the
+        # reports of one piece are held.
+        owner, state_type, state_us, rest = None, None, None, None
+        for batch in itertools.chain(batches, [None]):
+            pdf = rest if batch is None else pd.concat([rest, batch.to_pandas()], ignore_index=True)
+            if pdf is None or pdf.empty:
+                continue
+            new = (pdf[by] != pdf[by].shift()).any(axis=1).to_numpy()
+            starts = np.append(np.flatnonzero(new), len(pdf))
+            if batch is not None:  # the last piece may go on in the next batch
+                rest, starts = pdf.iloc[starts[-2]:], starts[:-1]
+            out = []
+            for a, b in zip(starts[:-1], starts[1:]):
+                part = pdf.iloc[a:b]
+                head = part.iloc[0]
+                if owner != tuple(head[household]):
+                    owner, state_type, state_us = tuple(head[household]), None, None
+                if state_type is not None:
+                    out.append((*head[by], state_type, state_us))
+                if pd.isna(head["from_us"]):
+                    state_us = int(head["end_us"])
+                elif state_type != head["first_type"]:
+                    state_us = int(head["fresh_end_us"])
+                else:
+                    at = int(np.searchsorted(part["from_us"].to_numpy(np.int64), state_us + cooldown, "right"))
+                    if at < len(part):
+                        state_us = int(part["end_us"].iloc[at])
+                state_type = head["last_type"]
+            if out:
+                frame = pd.DataFrame(out, columns=[*by, alert_type, "_us"])
+                yield pa.RecordBatch.from_pandas(frame, schema=arrow_schema, preserve_index=False)
 
     reports = (
         rows.filter(F.col(PIECE) != WHOLE_KEY)
@@ -204,7 +224,9 @@ def _piece_starts(pieces: Pieces, alert_type: str, tie: list[str], cooldown: int
         .groupBy(*by)
         .applyInPandas(report, report_schema)
     )
-    return reports.groupBy(*by[:-1]).applyInPandas(fold, start_schema)
+    arrow_schema = to_arrow_schema(start_schema)
+    in_order = reports.repartition(F.xxhash64(*household)).sortWithinPartitions(*by, "from_us")
+    return in_order.mapInArrow(fold, start_schema)
 
 
 def _chain_ends(us: np.ndarray, cooldown: int) -> np.ndarray:
