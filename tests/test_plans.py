@@ -38,3 +38,12 @@ def test_flagship_reads_three_columns(spark, small):
 def test_ranking_reads_only_needed_columns(spark, small):
     text = plan(QUERIES["brand_ranking"](spark, small))
     assert "l_discount" not in text and "p_name" not in text
+
+
+@pytest.mark.parametrize(("name", "scans"), [("disaggregate_actual", 1), ("appliance_overlay", 2)])
+def test_overlays_reuse_the_sums_of_the_readings(spark, small, name, scans):
+    """Weights and totals share one scan and shuffle; the forecast of the overlay reads its last day apart."""
+    df = QUERIES[name](spark, small)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == scans and "ReusedExchange" in final

@@ -203,10 +203,11 @@ t AS (SELECT device_id, CAST(SUM(kwh) AS DOUBLE) AS total FROM r GROUP BY 1),
 sh AS (SELECT w.device_id, w.appliance, app_kwh / CASE WHEN total = 0 THEN 1.0 ELSE total END AS share FROM w JOIN t USING (device_id))"""
 
 
-def _disaggregated(spark: SparkSession, folder: str) -> DataFrame:
-    base = readings(spark, folder)
-    weights = base.groupBy("device_id", "appliance").agg(F.sum("kwh").alias("app_kwh"))
-    return disaggregate(hourly_energy(base, ["device_id"]), weights, ["device_id"])
+def _disaggregated(hourly: DataFrame) -> DataFrame:
+    """Weights and device totals come from one table of sums per device, appliance and hour, whose shuffle is reused."""
+    weights = hourly.groupBy("device_id", "appliance").agg(F.sum("kwh").alias("app_kwh"))
+    totals = hourly.groupBy("device_id", "slot_ts").agg(F.sum("kwh").alias("kwh"))
+    return disaggregate(totals, weights, ["device_id"])
 
 
 @query(
@@ -215,7 +216,8 @@ SELECT hr.device_id, appliance, strftime(slot_ts, {ISO}) AS slot, CAST(kwh AS DO
 FROM hr JOIN sh USING (device_id)"""
 )
 def disaggregate_actual(spark: SparkSession, folder: str) -> DataFrame:
-    return _disaggregated(spark, folder).select(
+    hourly = hourly_energy(readings(spark, folder), ["device_id", "appliance"])
+    return _disaggregated(hourly).select(
         "device_id", "appliance", iso(F.col("slot_ts")).alias("slot"), "app_actual_kwh"
     )
 
@@ -236,7 +238,7 @@ def appliance_overlay(spark: SparkSession, folder: str) -> DataFrame:
     hourly = hourly_energy(readings(spark, folder), keys)
     ahead = naive(hourly, keys).filter(F.col("slot_ts") >= F.lit(CUTOFF).cast("timestamp"))
     scaled = ahead.withColumn("kwh", F.col("kwh").cast("double") * load_factor(F.lit(10)))
-    rows = per_appliance(_disaggregated(spark, folder), scaled, [*keys, "slot_ts"])
+    rows = per_appliance(_disaggregated(hourly), scaled, [*keys, "slot_ts"])
     return rows.select(
         *keys, iso(F.col("slot_ts")).alias("slot"), "segment", "actual_kwh", "forecast_kwh"
     )
