@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -47,14 +50,22 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(archive)  # Spark serves the file, so it may lie in a folder of the driver
 
 
+@functools.cache
+def _temporary_root() -> str:
+    root = tempfile.mkdtemp(prefix="wattledger-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new sub-folder of ``spark.checkpoint.dir`` that every executor can reach.
 
-    Where the setting is absent a temporary folder is used, and only in local mode.
+    Where the setting is absent a temporary folder is used, and only in local mode; the process has one, which
+    goes when it ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="wattledger-")
+        root = _temporary_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
