@@ -86,9 +86,10 @@ def encoder(ranks: bytes, pattern: str):
 
 
 def token_ids(encoding, text: str | None, end: int) -> np.ndarray:
-    """The ids of a text and the end token; lone surrogates cannot occur in a Spark string."""
-    ids = encoding.encode_to_numpy(text or "", allowed_special=set(), disallowed_special=())
-    return np.append(ids, np.uint32(end))
+    """The ids of a text and the end token; special tokens in a text are ordinary text."""
+    ids = encoding.encode_ordinary(text or "")
+    ids.append(end)
+    return np.array(ids, np.uint32)
 
 
 def write_file(folder: str, name: str, data: bytes) -> None:
@@ -134,7 +135,7 @@ def materialise(
         totals: dict[tuple[str, int], int] = {}
         for batch in batches:
             for file, start, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
-                totals[file, start] = totals.get((file, start), 0) + token_ids(encoding, value.as_py(), end).size
+                totals[file, start] = totals.get((file, start), 0) + len(encoding.encode_ordinary(value.as_py() or "")) + 1
         yield pa.RecordBatch.from_arrays(
             [pa.array([f for f, _ in totals]), pa.array([s for _, s in totals], pa.int64()), pa.array(totals.values(), pa.int64())],
             ["file", "start", "n"],
