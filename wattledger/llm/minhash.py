@@ -150,17 +150,21 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def _texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """node, text of the classes that occur in pairs (a, b). An id's rows whose text is of another class are left out."""
+    """node, text of the classes that occur in pairs (a, b), now and then with more than one text of the same set.
+
+    Rows that repeat an id and its text meet once, on the join's partitioning; an id's rows whose text is of another
+    class are left out.
+    """
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = classes.select("node", F.col("least_id").alias("doc_id")).join(nodes, "node")
-    found = docs.join(wanted, "doc_id").select("node", "text")
+    found = docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text")
 
     def run(batches):
         for batch in batches:
             same = [set_hash(shingle_set(t.as_py(), size)) == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1))]
             yield batch.filter(pa.array(same, pa.bool_()))
 
-    return found.mapInArrow(run, "node bigint, text string").dropDuplicates(["node"])
+    return found.mapInArrow(run, "node bigint, text string")
 
 
 def least_agreement(percent: int, functions: int) -> int:
@@ -194,7 +198,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _agreeing(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
@@ -212,7 +216,7 @@ def _short_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int
             sets = [(shingle_set(t.as_py(), size) >> U64(32)).astype(np.uint32).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "words"])
 
-    return _texts_of(nodes, classes, docs, size).mapInArrow(run, "node bigint, words binary")
+    return _texts_of(nodes, classes, docs, size).mapInArrow(run, "node bigint, words binary").dropDuplicates(["node"])
 
 
 def _reached(x: pd.DataFrame, y: pd.DataFrame, band: int, percent: int, same: bool) -> list[tuple[int, int]]:
@@ -255,18 +259,18 @@ def _reached(x: pd.DataFrame, y: pd.DataFrame, band: int, percent: int, same: bo
     return out
 
 
-def _blocks_compared(members: DataFrame, block: int, percent: int) -> DataFrame:
-    """Linked pairs (a, b) of different components of members (bucket, band, node, component, buckets, words).
+def _blocks_compared(members: DataFrame, sets: DataFrame, block: int, percent: int) -> DataFrame:
+    """Linked pairs (a, b) of different components of members (bucket, band, node, component).
 
     A bucket of n members has ceil(n / block) blocks; every pair of its blocks is one group of at most two blocks.
+    The sets (node, buckets, words) join last, so that they are shuffled to the groups and no further.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
     dealt = members.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     cells = dealt.select("*", other).select(
-        "bucket", "band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node",
-        "component", "buckets", "words",
-    )
+        "bucket", "band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "component"
+    ).join(sets, "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         low, high, band = pdf["low"].iat[0], pdf["high"].iat[0], int(pdf["band"].iat[0])
@@ -288,18 +292,22 @@ def near_duplicates(
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = scratch.keep(_signatures(docs, shingle, bands, rows), "signed")
     # sketch and buckets follow from the set, so any row's will do
+    with_signatures = signed
     classes = scratch.keep(
         signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("node")
         .agg(F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets")),
         "classes",
     )
+    signed = scratch.keep(signed.select("doc_id", "n_shingles", "node"), "rows")
+    scratch.drop(with_signatures)
     sketches = classes.select("node", "sketch")
 
     spread = classes.select("node", F.posexplode("buckets").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     shared = scratch.keep(shared, "shared")
     members = scratch.keep(spread.join(shared, "bucket"), "members")  # bucket, node, band, n, least
+    scratch.drop(shared)
 
     need = least_agreement(percent, bands * rows)
     stars = members.where(F.col("node") > F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
@@ -315,8 +323,8 @@ def near_duplicates(
     split = joined.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     open_members = scratch.keep(joined.join(split.select("bucket"), "bucket"), "open")
     sets = _short_sets(open_members.select(F.col("node").alias("a"), F.col("node").alias("b")), classes, docs, shingle)
-    full = open_members.join(sets.join(classes.select("node", "buckets"), "node"), "node")
-    rest = scratch.keep(_blocks_compared(full, block, percent).join(agreed, ["a", "b"], "left_anti"), "rest")
+    sets = sets.join(classes.select("node", "buckets"), "node")
+    rest = scratch.keep(_blocks_compared(open_members, sets, block, percent).join(agreed, ["a", "b"], "left_anti"), "rest")
     more = scratch.keep(_confirm(rest, _texts_of(rest, classes, docs, shingle), shingle, percent), "more")
 
     final = connected_components(joined_links.unionByName(more), scratch)
