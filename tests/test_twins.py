@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as contract
 from tests import twins
+from wattledger.plans import catalog
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog.SQL_TWINS
 
 
 @pytest.fixture(scope="module")
@@ -26,4 +27,5 @@ def test_entry(spark, small):
 
 
 def test_no_twin_without_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
