@@ -16,6 +16,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from heapq import heapify, heappop, heappush
 from operator import itemgetter
 
@@ -199,13 +200,20 @@ class _Chunks(_Generations):
 _LOADED: dict[int, WordBpe] = {}
 
 
-def loaded(data: bytes) -> WordBpe:
-    """One encoder per worker process and file."""
+@contextmanager
+def loaded(data: bytes) -> Iterator[WordBpe]:
+    """One encoder per worker process and file; what it has kept of a task's words goes when the task ends."""
     key = hash(data)
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = WordBpe(data)
-    return _LOADED[key]
+    bpe = _LOADED[key]
+    try:
+        yield bpe
+    finally:
+        for kept in (bpe.words, bpe.chunks):
+            kept.clear()
+            kept.old = {}
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -222,13 +230,13 @@ def encode(docs: DataFrame, vocabulary: bytes, doc_id: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the vocabulary file, a few MB
 
     def run(batches):
-        bpe = loaded(shared.value)
-        for batch in batches:
-            ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())],
-                ["doc_id", "ids", "decoded"],
-            )
+        with loaded(shared.value) as bpe:
+            for batch in batches:
+                ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())],
+                    ["doc_id", "ids", "decoded"],
+                )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return _texts(docs, doc_id, text).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
@@ -239,18 +247,18 @@ def encode_digest(docs: DataFrame, vocabulary: bytes, doc_id: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the vocabulary file, a few MB
 
     def run(batches):
-        bpe = loaded(shared.value)
-        for batch in batches:
-            counts, ids, words = [], [], []
-            for value in batch.column(1):
-                n, i, w = bpe.digest(value.as_py())
-                counts.append(n)
-                ids.append(hashlib.sha256(i.encode()).hexdigest())
-                words.append(hashlib.sha256(w.encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(words, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with loaded(shared.value) as bpe:
+            for batch in batches:
+                counts, ids, words = [], [], []
+                for value in batch.column(1):
+                    n, i, w = bpe.digest(value.as_py())
+                    counts.append(n)
+                    ids.append(hashlib.sha256(i.encode()).hexdigest())
+                    words.append(hashlib.sha256(w.encode("utf-8", "surrogatepass")).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(words, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"

@@ -171,32 +171,39 @@ def lexicon(
 
     def run(batches):
         restorer = Restorer(model)
-        cache: dict[str, set[str]] = {}
+        cache: dict[str, tuple[str, ...]] = {}
         total: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0])
+
+        def counted() -> pa.RecordBatch:
+            rows = list(total.items())
+            total.clear()
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([f for f, _ in rows], pa.string()),
+                    *(pa.array([c[k] for _, c in rows], pa.float64()) for k in (0, 1)),
+                    pa.array([c[2] for _, c in rows], pa.int64()),
+                ],
+                ["feature", "clean", "toxic", "n"],
+            )
+
         for batch in batches:
-            for text, y, w in zip(*(c.to_pylist() for c in batch.columns)):
+            for value, y, w in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found: set[str] = set()
-                for token in tokens_of(text):
+                for token in tokens_of(value.as_py()):
                     got = cache.get(token)
                     if got is None:
-                        got = {f for word in words_behind(token, restorer) for f in features_of(word)}
-                        if len(cache) > 200_000:
+                        got = tuple(f for word in words_behind(token, restorer) for f in features_of(word))
+                        if len(cache) >= 30_000:
                             cache.clear()
                         cache[token] = got
-                    found |= got
+                    found.update(got)
                 for f in found:
                     cell = total[f]
                     cell[y] += w
                     cell[2] += y
-        rows = list(total.items())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([f for f, _ in rows], pa.string()),
-                *(pa.array([c[k] for _, c in rows], pa.float64()) for k in (0, 1)),
-                pa.array([c[2] for _, c in rows], pa.int64()),
-            ],
-            ["feature", "clean", "toxic", "n"],
-        )
+                if len(total) > 200_000:  # partial counts; the sum follows the shuffle anyway
+                    yield counted()
+        yield counted()
 
     toxic = sample.where("y = 1").count()
     support = max(3, int(least_support * toxic))
@@ -239,7 +246,7 @@ def _pruned(rows: list[tuple[str, float, float, int]], least_share: float, suppo
 class Strengths(dict):
     """Token -> log odds of the best of its readings' features, above those of ``least_share``; keeps at most ``limit`` tokens."""
 
-    def __init__(self, shares: dict[str, float], model: np.ndarray, limit: int = 400_000):
+    def __init__(self, shares: dict[str, float], model: np.ndarray, limit: int = 250_000):
         self.shares, self.restorer, self.limit = shares, Restorer(model), limit
 
     def __missing__(self, token: str) -> float:
