@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -85,11 +86,9 @@ def encoder(ranks: bytes, pattern: str):
     return _ENCODERS[key]
 
 
-def token_ids(encoding, text: str | None, end: int) -> np.ndarray:
-    """The ids of a text and the end token; special tokens in a text are ordinary text."""
-    ids = encoding.encode_ordinary(text or "")
-    ids.append(end)
-    return np.array(ids, np.uint32)
+def token_bytes(encoding, text: str | None, code: str) -> bytes:
+    """The ids of a text in the shards' format; special tokens in it are ordinary text."""
+    return array(code, encoding.encode_ordinary(text or "")).tobytes()
 
 
 def write_file(folder: str, name: str, data: bytes) -> None:
@@ -124,6 +123,8 @@ def materialise(
     scratch = Scratch(spark, "order")
     folder = folder or f"{scratch.root}/shards"
     kind = np.uint16 if end < 1 << 16 else np.uint32
+    code = "H" if kind is np.uint16 else "I"
+    width, end_bytes = array(code).itemsize, array(code, [end]).tobytes()
     shared = spark.sparkContext.broadcast((ranks, pattern))  # the vocabulary file, a few MB
     rows = docs.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
@@ -163,14 +164,14 @@ def materialise(
                     if split not in places.value:
                         raise ValueError(f"the split {split} was not there in the first pass")
                     at, left = places.value[split]
-                ids = token_ids(encoding, value.as_py(), end).astype(kind)
-                done = 0
-                while done < ids.size:
-                    take = min(ids.size - done, length - at % length)
+                ids = token_bytes(encoding, value.as_py(), code) + end_bytes
+                done, size = 0, len(ids) // width
+                while done < size:
+                    take = min(size - done, length - at % length)
                     out[0].append(at // length)
                     out[1].append(at % length)
                     out[2].append(one)
-                    out[3].append(ids[done : done + take].tobytes())
+                    out[3].append(ids[done * width : (done + take) * width])
                     done, at, left = done + take, at + take, left - take
             sequences = np.array(out[0], np.int64)
             slots = order.slot(sequences) if sequences.size else sequences
