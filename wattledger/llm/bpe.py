@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattledger.llm.common import release_memory
+
 # Fixed values of the file format: white space of the normaliser and the word pattern.
 SPACE = "\t\n\v\f\r \x85\xa0  -     　"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -48,7 +50,7 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """Encoder and decoder; ``limit`` bounds the number of words kept as already encoded."""
 
-    def __init__(self, data: bytes, limit: int = 500_000):
+    def __init__(self, data: bytes, limit: int = 200_000):
         spec = json.loads(data)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"])
@@ -214,6 +216,7 @@ def loaded(data: bytes) -> Iterator[WordBpe]:
         for kept in (bpe.words, bpe.chunks):
             kept.clear()
             kept.old = {}
+        release_memory()
 
 
 def read_vocabulary(path: str) -> bytes:

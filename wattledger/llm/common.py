@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,6 +45,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_memory() -> None:
+    """Give memory that a task's batches no longer use back to the system; workers are used again by later tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def sample_labelled(labels: DataFrame, label: str, per_class: int, train: Column, doc_id: str = "doc_id") -> DataFrame:
     """At most ``per_class`` training rows of each class 0 and 1, chosen by a hash of the id, with their weights.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattledger.llm.common import remainder, sample_labelled, with_column
+from wattledger.llm.common import release_memory, remainder, sample_labelled, with_column
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 A = len(LETTERS) + 1  # 0 is everything else
@@ -246,7 +246,7 @@ def _pruned(rows: list[tuple[str, float, float, int]], least_share: float, suppo
 class Strengths(dict):
     """Token -> log odds of the best of its readings' features, above those of ``least_share``; keeps at most ``limit`` tokens."""
 
-    def __init__(self, shares: dict[str, float], model: np.ndarray, limit: int = 250_000):
+    def __init__(self, shares: dict[str, float], model: np.ndarray, limit: int = 150_000):
         self.shares, self.restorer, self.limit = shares, Restorer(model), limit
 
     def __missing__(self, token: str) -> float:
@@ -337,6 +337,7 @@ def with_scores(docs: DataFrame, model: Model, name: str, text: str = "text") ->
             x = np.array([strengths.numbers(t.as_py()) for t in batch.column(at)], float).reshape(batch.num_rows, 5)
             scores = pa.array(model.scores(x), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
+        release_memory()
 
     return docs.mapInArrow(run, with_column(docs, name, "double"))
 
