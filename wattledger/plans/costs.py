@@ -306,7 +306,7 @@ def kpi_summary(spark: SparkSession, folder: str) -> DataFrame:
 x AS (SELECT d.*, budget, {BADGE_SQL} AS badge, {PERCENT_SQL} AS usage_percent, {ALERT_SQL} AS alert_type FROM d JOIN b ON b.device_id = d.device_id)
 SELECT device_id, base_day, badge, CASE badge WHEN 'neutral' THEN 'No Budget Set' WHEN 'danger' THEN 'Budget Exceeded' WHEN 'warning' THEN 'Approaching Limit' ELSE 'Efficient Usage' END AS badge_label,
   CASE WHEN next_cost < budget THEN 'OK' ELSE 'At-Risk' END AS budget_status, usage_percent, alert_type,
-  CASE WHEN usage_percent < 100 THEN 'Approaching Limit' ELSE 'Budget Exceeded' END AS mail_status
+  CASE WHEN usage_percent < 100 THEN 'Approaching Limit' WHEN usage_percent >= 100 THEN 'Budget Exceeded' END AS mail_status
 FROM x"""
 )
 def budget_rules(spark: SparkSession, folder: str) -> DataFrame:
