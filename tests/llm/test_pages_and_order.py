@@ -44,6 +44,26 @@ def test_urls(spark):
     assert {r[0]: r[1:] for r in db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({urls_sql(RULES)})").fetchall()} == got
 
 
+def test_urls_with_references_and_dot_segments(spark):
+    rows = [
+        (1, "http://q.net/es/p?a=1&b=2", None), (2, "http://one.org/", '<link rel="canonical" href="http://q.net/es/p?a=1&amp;b=2">'),
+        (3, "http://two.org/", """<meta http-equiv=refresh content="0; url='http://q.net/es/p?a=1&#38;b=2'">"""),
+        (4, "http://q.net/es/r;v=1", ""), (5, "http://three.org/", '<meta content="5;URL=http://q.net/es/r;v=1" http-equiv="Refresh">'),
+        (6, "http://deep.org/d/e/f", '<link rel=canonical href="../g">'), (7, "http://deep.org/d/g", '<link rel="canonical" href="./h?x=1&#x26;y">'),
+        (8, "http://deep.org/d/h?x=1&y", '<link rel="canonical" href="//q.net/es/./no/../r;v=1">'), (9, "http://deep.org/d/x/../g", None),
+        (10, "http://four.org/", '<link rel=canonical href="http://five.org/?a=1&copy=2">'), (11, "http://five.org/?a=1&copy=2", '<link rel=canonical href="../../k/..">'),
+        (12, "http://six.org/", "<meta http-equiv=refresh content=9>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = {(r.a, r.b) for r in urls.link_edges(pages).collect()}
+    assert edges == {
+        ("one.org/", "q.net/es/p?a=1&b=2"), ("two.org/", "q.net/es/p?a=1&b=2"), ("three.org/", "q.net/es/r;v=1"), ("deep.org/d/e/f", "deep.org/d/g"),
+        ("deep.org/d/g", "deep.org/d/h?x=1&y"), ("deep.org/d/h?x=1&y", "q.net/es/r;v=1"), ("four.org/", "five.org/?a=1&copy=2"), ("five.org/?a=1&copy=2", "five.org/"),
+    }
+    got = {r.page_id: r.verdict for r in urls.judge(spark, pages, RULES).collect()}
+    assert got == {i: "allow" if i >= 10 else "block" for i in range(1, 13)}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     one, two = order.Feistel(n, 1), order.Feistel(n, 2)

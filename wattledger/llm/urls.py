@@ -6,15 +6,20 @@ decides. Pages without a fitting rule take the decision of their aliases: pages
 component wins over a block, and a component without any decision is allowed.
 
 Results: null urls and urls without ``://`` have empty host and path, fit no rule and have no aliases, so they
-are allowed; null html has no edges; repeated rows are judged alike; relative links are resolved against the
-page's host; links to urls outside the table count, as they may join two pages; an empty table gives an empty
-table; only the named columns are read.
+are allowed; null html has no edges; repeated rows are judged alike; character references in link values are
+undone as in HTML attributes; relative links are resolved against the page's url, and the segments ``.`` and ``..``
+of paths are taken out before urls are compared (rules see the path as it is); links to urls outside the table
+count, as they may join two pages; an empty table gives an empty table; only the named columns are read.
 """
 
 from __future__ import annotations
 
+import html as markup
+import re
 from collections.abc import Sequence
+from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +31,12 @@ Rule = tuple[str, str, str]  # verdict, host, start of the path
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 REST = r"(?s)^.*?://([^/?#]*)([^?#]*)"  # host and path after the first ://
 LINK_TAG, IS_CANONICAL = r"(?is)<link\b[^>]*>", r"(?is)\brel\s*=\s*[\"']?canonical\b"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 META_TAG, IS_REFRESH = r"(?is)<meta\b[^>]*>", r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
-TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|([A-Za-z][A-Za-z0-9]*;?))")
+# a delay and the target, or the target alone after url=
+TARGET = re.compile(r"""(?is)\s*(?:[\d.]+(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?|[\s;,]*url\s*=\s*)(?:"([^"]*)|'([^']*)|(.*))""")
+DOTS = r"/\.\.?(/|$)"
 
 
 def host_of(url: Column) -> Column:
@@ -50,26 +58,70 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return text, verdict
 
 
+def unescaped(value: str) -> str:
+    """An attribute's value without character references; a name without ``;`` before ``=`` is no reference."""
+
+    def decoded(m: re.Match) -> str:
+        if m[1] is None:
+            return markup.unescape(m[0])
+        if not m[1].endswith(";") and value[m.end() : m.end() + 1] == "=":
+            return m[0]
+        return html5.get(m[1], m[0])
+
+    return REFERENCE.sub(decoded, value) if "&" in value else value
+
+
+def target_of(tag: str) -> str:
+    """Where a canonical link's or a refresh's tag points to; empty if nowhere."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(tag):
+        found.setdefault(m[1].lower(), unescaped(m[2] or m[3] or m[4] or ""))
+    if tag[:5].lower() == "<link":
+        target = found.get("href", "")
+    else:
+        m = TARGET.match(found.get("content", ""))
+        target = (m[1] or m[2] or m[3] or "") if m else ""
+        target = target or found.get("url", "")
+    return re.sub(r"[\t\r\n]", "", target).strip()
+
+
+def without_dots(path: Column) -> Column:
+    """A path without the segments ``.`` and ``..``."""
+    parts = F.slice(F.split(path, "/"), 2, 1 << 30)
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda out, part: F.when(part == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))))
+        .when(part == ".", out).otherwise(F.concat(out, F.array(part))),
+    )
+    # a dot segment at the end leaves the folder
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(DOTS), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """The url without scheme, fragment and case of the host; null where there is no host."""
+    """The url without scheme, fragment, dot segments and case of the host; null where there is no host."""
     query = F.regexp_extract(url, r"(?s)^[^#?]*(\?[^#]*)", 1)
     host = host_of(url)
-    return F.when(host != "", F.concat(host, F.when(path_of(url) == "", "/").otherwise(path_of(url)), query))
+    return F.when(host != "", F.concat(host, F.when(path_of(url) == "", "/").otherwise(without_dots(path_of(url))), query))
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Edges (a, b) from every page's node to the nodes its canonical link and its redirect point to."""
     own, text = F.col(url), F.coalesce(F.col(html), F.lit(""))
-    def values(tag: str, kind: str, value: str) -> Column:
-        tags = F.filter(F.regexp_extract_all(text, F.lit(tag), F.lit(0)), lambda t: t.rlike(kind))
-        return F.filter(F.transform(tags, lambda t: F.regexp_extract(t, value, 1)), lambda v: v != "")
+    def tags(tag: str, kind: str) -> Column:
+        return F.filter(F.regexp_extract_all(text, F.lit(tag), F.lit(0)), lambda t: t.rlike(kind))
+
+    def run(batches):
+        for batch in batches:
+            targets = pa.array([target_of(t) for t in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), targets], ["own", "target"])
 
     # the patterns run only where their word occurs at all
     low, none = F.lower(text), F.array().cast("array<string>")
-    targets = F.array_distinct(
+    found = F.array_distinct(
         F.concat(
-            F.when(low.contains("canonical"), values(LINK_TAG, IS_CANONICAL, HREF)).otherwise(none),
-            F.when(low.contains("http-equiv"), values(META_TAG, IS_REFRESH, TARGET)).otherwise(none),
+            F.when(low.contains("canonical"), tags(LINK_TAG, IS_CANONICAL)).otherwise(none),
+            F.when(low.contains("http-equiv"), tags(META_TAG, IS_REFRESH)).otherwise(none),
         )
     )
     link = F.col("target")
@@ -83,7 +135,8 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         .when(link.rlike(r"^[#?]"), F.concat(base, path_of(F.col("own")), link))
         .otherwise(F.concat(base, folder, link))
     )
-    rows = pages.where(host_of(own) != "").select(own.alias("own"), F.explode(targets).alias("target"))
+    tagged = pages.where(host_of(own) != "").select(own.alias("own"), F.explode(found).alias("tag"))
+    rows = tagged.mapInArrow(run, "own string, target string").where("target <> ''")
     return (
         rows.select(node_of(F.col("own")).alias("a"), node_of(full).alias("b"))
         .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
