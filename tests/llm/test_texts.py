@@ -130,6 +130,26 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_of_words_set_apart(spark):
+    rows = toxic_corpus()
+    phrase = " ".join("babudadokalababumorondadokalababu")
+    assert len(phrase) > 60
+    extra = [(1000, "what a m o r o n", 1), (1001, f"dado {phrase} kala", 1), (1002, "babu mo-ron", 1), (1003, "babu id.iot dado", 1), (1004, "you-mo-ron babu", 1),
+             (1005, "babu" + "-" * 60 + "m-o-r-o-n", 1), (1006, "b a b u k a l a d a d o", 0), (1007, "babu-dado ka.la", 0), (1008, "a b " * 40_000, 0)]
+    docs = documents(spark, [(i, t) for i, t, _ in rows + extra])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_documents(spark, docs, labels).collect()}
+    assert {i: got[i].predicted for i, _, _ in extra} == {i: y for i, _, y in extra}
+
+
+def test_windows_of_long_tokens():
+    token = ".".join("abcdefghijklmnopqrstuvwxyz" * 20)
+    windows = toxicity.Restorer.windows(token)
+    assert all(len(w) <= toxicity.WINDOW for w in windows) and "".join(windows).count("a") >= 20
+    assert all(any(token[k : k + 47] in w for w in windows) for k in range(0, len(token) - 46, 2))
+    assert not toxicity.Restorer.disguised("he'll") and toxicity.Restorer.disguised("mor'on")
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ["babu dado", None])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

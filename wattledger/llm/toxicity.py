@@ -4,7 +4,9 @@
    language model.
 2. A disguised token (digits or symbols for letters, letters set apart by spaces or marks, letters repeated) is a
    lattice of readings. Viterbi decoding under the language model, with a price for each substitution and dropped
-   character, gives the likeliest readings.
+   character, gives the likeliest readings. Where marks or spaces set parts apart, words may start and end at any part,
+   so scoring looks up every stretch of parts ("a m o r o n", "you-mo-ron"). Tokens above ``WINDOW`` characters are decoded in
+   windows that overlap by half; an unbroken part gives its first ``WINDOW`` characters, which hold all its beginnings.
 3. Words and word beginnings of restored texts are counted per class over a bounded sample of labelled training
    documents (``per_class`` of each class). Features whose share of toxic documents has a lower confidence bound
    above ``least_share`` form the lexicon.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log, sqrt
 
@@ -45,6 +48,10 @@ MARKS = ".-_*~'`^ "
 SUBSTITUTION, DROP = 1.0, 0.7  # prices in nats
 SPACED = re.compile(r"(?<!\S)\S(?: {1,3}\S){3,}(?!\S)")
 RUN = re.compile(r"(.)\1\1")
+LONG_RUN = re.compile(r"(.)\1{3,}")
+BREAK = re.compile(f"[{re.escape(MARKS)}]+")
+CONTRACTED = re.compile(r"[^\W\d_]+['`](?:ll|re|ve|s|t|d|m)")  # he'll is not hell
+WINDOW = 96
 EDGES = ".,;:!?\"'()[]{}<>&#*%$|~_-+=/\\`^"
 
 
@@ -104,7 +111,7 @@ class Restorer:
     @staticmethod
     def disguised(token: str) -> bool:
         """Whether a token, without marks at its edges, may hide letters."""
-        if len(token) > 48 or not any(c.isalpha() or c in READINGS for c in token):
+        if not any(c.isalpha() or c in READINGS for c in token):
             return False
         if token.isalpha():
             return bool(RUN.search(token))
@@ -113,10 +120,37 @@ class Restorer:
         marks = sum(c in MARKS for c in token)
         if letters + swapped + marks < len(token):
             return False
-        return (swapped > 0 and letters > 0) or (marks >= 3 and letters >= 4) or bool(RUN.search(token))
+        return (swapped > 0 and letters > 0) or (marks > 0 and letters >= 3 and not CONTRACTED.fullmatch(token)) or bool(RUN.search(token))
 
-    def readings(self, token: str) -> list[str]:
-        """The likeliest letter strings behind a token, best first."""
+    @staticmethod
+    def windows(token: str) -> list[str]:
+        """The token, or overlapping windows of whole parts; a stretch of half a window is whole in one of them."""
+        if len(token) <= WINDOW:
+            return [token]
+        parts = [p[:WINDOW] for p in BREAK.split(LONG_RUN.sub(r"\1\1\1", token)) if p]
+        out, i, j = [], 0, 0
+        while j < len(parts):
+            j, size = i, 0
+            while j < len(parts) and (j == i or size + len(parts[j]) <= WINDOW):
+                size += len(parts[j]) + 1
+                j += 1
+            out.append(".".join(parts[i:j]))
+            size = 0
+            while i < j and size < WINDOW // 2:
+                size += len(parts[i]) + 1
+                i += 1
+        return list(dict.fromkeys(out))
+
+    def readings(self, token: str) -> list[list[str]]:
+        """The likeliest letters behind a token's parts, best first, for one window after the other."""
+        return [r.split(".") for window in self.windows(token) for r in self._readings(window)]
+
+    def _readings(self, token: str) -> list[str]:
+        """Letters, with a dot where marks were."""
+        marks = sum(c in MARKS for c in token)
+        if 0 < marks < 3 and not any(c in READINGS for c in token) and not RUN.search(token):  # nothing to choose
+            codes = ((c, int(CODES[ord(c)]) if ord(c) < CODES.size else 0) for c in token)
+            return ["".join(LETTERS[code - 1] if code else "." if c in MARKS else "" for c, code in codes)]
         states = {(0, 0): (0.0, "")}
         model, before = self.model, ""
         for c in token:
@@ -129,7 +163,7 @@ class Restorer:
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, text) in states.items():
                 if drop and ((a, b) not in after or after[a, b][0] < score - DROP):
-                    after[a, b] = (score - DROP, text)
+                    after[a, b] = (score - DROP, text + "." if c in MARKS else text)
                 for code, price in options:
                     new = score - price + model[a][b][code]
                     if (b, code) not in after or after[b, code][0] < new:
@@ -137,7 +171,7 @@ class Restorer:
             if len(after) > self.beam:
                 after = dict(sorted(after.items(), key=lambda kv: -kv[1][0])[: self.beam])
             states, before = after, c
-        ends = sorted(((s + model[a][b][0], t) for (a, b), (s, t) in states.items() if len(t) > 2), reverse=True)
+        ends = sorted(((s + model[a][b][0], t) for (a, b), (s, t) in states.items() if len(t) - t.count(".") > 2), reverse=True)
         return list(dict.fromkeys(t for _, t in ends))[: self.keep]
 
 
@@ -146,21 +180,33 @@ def features_of(word: str) -> list[str]:
     return [f"={word}", *(word[:k] for k in range(4, min(len(word), 9)))]
 
 
-def words_behind(token: str, restorer: Restorer) -> list[str]:
-    """A lower-case token without marks at its edges, and what it may hide."""
+def words_behind(token: str, restorer: Restorer) -> tuple[list[str], list[list[str]]]:
+    """A lower-case token without marks at its edges and what it may hide, as words and as parts of words."""
     bare = token.strip(EDGES)
-    out = [bare] if bare else []
     inner = token.strip(".,;:?\"'()[]{}&#*%~_-=/\\`^")
-    if inner and Restorer.disguised(inner):
-        out += restorer.readings(inner)
-    return out
+    hidden = restorer.readings(inner) if inner and Restorer.disguised(inner) else []
+    return [*([bare] if bare else []), *dict.fromkeys("".join(parts) for parts in hidden)], hidden
+
+
+def features_within(parts: list[str], longest: int) -> Iterator[str]:
+    """Features of all words that start and end between parts."""
+    parts = [p for p in parts if p]
+    for i in range(len(parts) if len(parts) > 1 else 0):
+        word = ""
+        for part in parts[i:]:
+            word += part
+            if len(word) > 2:
+                yield f"={word}"
+            if len(word) > longest:
+                break
+        yield from (word[:k] for k in range(4, min(len(word), 9)))
 
 
 def tokens_of(text: str) -> set[str]:
     low = text.lower()
     tokens = set(low.split())
     for m in SPACED.finditer(low):
-        tokens.add(m[0].replace(" ", "."))
+        tokens.add(".".join(m[0].split()))
     return tokens
 
 
@@ -192,7 +238,7 @@ def lexicon(
                 for token in tokens_of(value.as_py()):
                     got = cache.get(token)
                     if got is None:
-                        got = tuple(f for word in words_behind(token, restorer) for f in features_of(word))
+                        got = tuple(f for word in words_behind(token, restorer)[0] for f in features_of(word))
                         if len(cache) >= 30_000:
                             cache.clear()
                         cache[token] = got
@@ -248,12 +294,17 @@ class Strengths(dict):
 
     def __init__(self, shares: dict[str, float], model: np.ndarray, limit: int = 150_000):
         self.shares, self.restorer, self.limit = shares, Restorer(model), limit
+        self.longest = max([9, *(len(f) for f in shares)])
 
     def __missing__(self, token: str) -> float:
         best = 0.0
-        for word in words_behind(token, self.restorer):
+        words, hidden = words_behind(token, self.restorer)
+        for word in words:
             for f in features_of(word):
                 best = max(best, self.shares.get(f, 0.0))
+        for parts in hidden:
+            for f in features_within(parts, self.longest):
+                best = max(best, self.shares.get(f, 0.0))
         if len(self) >= self.limit:
             self.clear()
         value = self[token] = log(best / (1 - best)) - LEAST_ODDS if best else 0.0
