@@ -6,8 +6,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tests import twins
 from wattledger.operators.alerts import alert_cooldown
 from wattledger.operators.normalise import interval_energy
+from wattledger.plans import streams
+from wattledger.plans.catalog import QUERIES, SQL_TWINS
 from wattledger.plans.tables import alert_events, counter_readings, events, readings
 from wattledger.session import ROCKSDB_PROVIDER
 from wattledger.sources.sinks import write_alert_outbox, write_outbox_batch
@@ -71,6 +74,15 @@ def test_rows_within_the_lateness_are_put_in_order(spark, small, parts):
     same(done.rows.select("event_id", "device_id", "interval_seconds", "kwh_interval_kwh", "energy_final_kwh"), want)
 
 
+@pytest.mark.parametrize("name", ["stream_interval_energy", "stream_cooldown"])
+def test_registered_queries_do_not_depend_on_the_order_of_files(spark, small, tmp_path, monkeypatch, name):
+    folder = str(tmp_path)
+    events(spark, small).repartition(6, F.xxhash64("event_id")).write.parquet(f"{folder}/events.parquet")
+    monkeypatch.setattr(streams, "stream_events", lambda spark, folder, **_: stream_events(spark, folder, max_files_per_trigger=1))
+    got = twins.rows_of_spark(QUERIES[name](spark, folder))
+    assert twins.difference(got, twins.rows_of_sql(twins.connect(small), SQL_TWINS[name])) is None
+
+
 def test_a_missing_table_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="does not exist"):
         stream_events(spark, str(tmp_path), "absent.parquet")

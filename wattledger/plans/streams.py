@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattledger.functions.times import iso
+from wattledger.operators.alerts import alert_cooldown
+from wattledger.operators.normalise import interval_energy
 from wattledger.plans.alerting import COOLDOWN_SQL
 from wattledger.plans.metering import INTERVAL_SQL
 from wattledger.plans.registry import query
 from wattledger.plans.tables import ISO, READINGS_SQL, level
 from wattledger.streaming.carry import cooldown_step, interval_energy_step, run_carried
-from wattledger.streaming.alerts import stream_alert_cooldown
-from wattledger.streaming.energy import hourly_sums
+from wattledger.streaming.alerts import last_sent_alerts, stream_alert_cooldown
+from wattledger.streaming.backlog import run_after_backlog
+from wattledger.streaming.energy import hourly_sums, newest_readings
 from wattledger.streaming.energy import stream_interval_energy as energy_between
-from wattledger.streaming.run import run_available, stream_events
+from wattledger.streaming.run import stream_events
 
 
 # Micro-batches of the batch operators may be large, as these cut large keys.
@@ -63,7 +66,15 @@ def _alerts(spark: SparkSession, folder: str, **limits: int) -> DataFrame:
 
 @query(STREAM_INTERVAL_SQL)
 def stream_interval_energy(spark: SparkSession, folder: str) -> DataFrame:
-    stored = run_available(energy_between(_counters(spark, folder), max_gap_seconds=86400), "stream-interval")
+    """All but the last hour goes through the batch operator, whose newest readings start the state for that hour."""
+    stored = run_after_backlog(
+        _counters(spark, folder),
+        lambda rows: interval_energy(rows, tie=["event_id"], max_gap_seconds=86400),
+        lambda rows, _: newest_readings(rows),
+        lambda rows, newest: energy_between(rows, max_gap_seconds=86400, newest=newest),
+        "stream-interval",
+        key="device_id",
+    )
     return stored.select(*INTERVAL_COLUMNS)
 
 
@@ -76,7 +87,15 @@ def stream_interval_carried(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(COOLDOWN_SQL)
 def stream_cooldown(spark: SparkSession, folder: str) -> DataFrame:
-    stored = run_available(stream_alert_cooldown(_alerts(spark, folder)), "stream-cooldown")
+    """All but the last hour goes through the batch operator, whose last sent alerts start the state for that hour."""
+    stored = run_after_backlog(
+        _alerts(spark, folder),
+        lambda rows: alert_cooldown(rows, tie=["event_id"]),
+        lambda _, marked: last_sent_alerts(marked),
+        lambda rows, sent: stream_alert_cooldown(rows, last_sent=sent),
+        "stream-cooldown",
+        key="household",
+    )
     return stored.select("event_id", "household", iso(F.col("ts")).alias("at"), "alert_type", "is_sent")
 
 

@@ -83,6 +83,6 @@ def last_sent_alerts(marked: DataFrame, ts: str = "ts") -> DataFrame:
         .groupBy("household")
         .agg(
             F.max_by("alert_type", F.struct(ts, "event_id")).alias("alert_type"),
-            F.unix_micros(F.max(ts)).alias("us"),
+            F.coalesce(F.unix_micros(F.max(ts)), F.lit(0)).alias("us"),  # as in alert_cooldown
         )
     )

@@ -1,0 +1,43 @@
+"""A backlog in any order through the batch operator, the newest rows through the state-store form."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wattledger.session import shared_dir
+from wattledger.streaming.run import run_available
+
+
+def run_after_backlog(
+    stream: DataFrame,
+    batch: Callable[[DataFrame], DataFrame],
+    state: Callable[[DataFrame, DataFrame], DataFrame],
+    live: Callable[[DataFrame, DataFrame], DataFrame],
+    name: str,
+    key: str,
+    ts: str = "ts",
+    recent: str = "1 hour",
+) -> DataFrame:
+    """Results of all available input, whatever the order of its files and the size of micro-batches.
+
+    Micro-batches are first only stored. ``batch`` maps rows up to ``recent`` before the newest time, and those without
+    a key or a time, to results; ``state`` maps (rows, results) to what the stream starts from. ``live`` maps (stream,
+    state) to the results of the rows after them, which come as one micro-batch: a key's rows of this span must fit
+    one task.
+    """
+    spark = stream.sparkSession
+    rows = run_available(stream, f"{name}-input")
+    newest = rows.agg(F.max(ts).cast("string")).first()[0]  # as text, so that no time zone of the driver gets between
+    edge = F.lit(newest).cast(rows.schema[ts].dataType) - F.expr(f"INTERVAL {recent}")
+    new = F.coalesce(F.col(key).isNotNull() & (F.col(ts) > edge), F.lit(False))
+    target = shared_dir(spark, name)
+    backlog = rows.where(~new)
+    results = batch(backlog)
+    results.write.parquet(f"{target}/results")
+    rows.where(new).write.parquet(f"{target}/recent")
+    done = spark.read.schema(results.schema).parquet(f"{target}/results")
+    after = run_available(live(spark.readStream.schema(rows.schema).parquet(f"{target}/recent"), state(backlog, done)), f"{name}-state")
+    return done.select(*after.columns).unionByName(after)

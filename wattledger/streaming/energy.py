@@ -143,6 +143,6 @@ def stream_interval_energy(
 
 def newest_readings(readings: DataFrame, ts: str = "ts") -> DataFrame:
     """Time and counter of each device's newest reading, the state a stream starts from."""
-    return readings.groupBy("device_id").agg(
+    return readings.where(F.col(ts).isNotNull()).groupBy("device_id").agg(
         F.unix_micros(F.max(ts)).alias("us"), F.max_by("kwh_total", F.struct(ts, "event_id")).alias("kwh_total")
     )
