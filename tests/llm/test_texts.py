@@ -75,6 +75,16 @@ def test_secrets(spark, vocabulary):
     assert secrets.find_secrets(documents(spark, []), vocabulary).collect() == []
 
 
+def test_short_values_long_names_and_tabs(vocabulary):
+    scanner = secrets.Scanner(vocabulary, 10.0)
+    name = "token_" + "x_" * 30
+    for text, value in [("db_pwd: Xk9#mQ2", "Xk9#mQ2"), ("pin is q7x2vz", "q7x2vz"), (f"{name}=x8Kd92mQzL0pRt", "x8Kd92mQzL0pRt"), ("a" * 90 + "_pwd: x8Kd92mQzL0pRt", "x8Kd92mQzL0pRt"),
+                        ("pwd\tis\tx8Kd92mQzL0pRt", "x8Kd92mQzL0pRt"), ("url=http://h/?auth=x8Kd92mQzL0pRt", "x8Kd92mQzL0pRt")]:
+        assert [text[a:b] for a, b, *_ in scanner.added(text)] == [value], text
+    assert not scanner.added("pwd: monkey") and not scanner.added("key: aaaaaaa") and not scanner.added("login: password")
+    assert scanner.added("key" * 100_000) == []  # in proportion to the length
+
+
 def test_guess_cost_is_least(vocabulary):
     guess = secrets.GuessCost(secrets.word_ranks(vocabulary))
 

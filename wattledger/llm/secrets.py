@@ -2,7 +2,8 @@
 
 The guess cost of a value is the least product of segment guesses over all its segmentations into dictionary
 words, dates, repeats, keyboard walks and brute-force characters, found by dynamic programming. A value after
-a credential word that no cheap segmentation explains is a secret (kind ``guess``). Words and their ranks come
+a credential word that no cheap segmentation explains is a secret (kind ``guess``): its cost is ``least_cost`` or more, or
+at least ``BRUTE_SHARE`` of what brute force alone needs, so that short random values count too. Words and their ranks come
 from a public vocabulary file, ordered by the rank of their merges.
 
 Results: null and empty texts have no spans; very long texts are scanned whole, and a value's cost takes time in
@@ -35,10 +36,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that are long enough
 # Words that announce a credential, with anything of the same name around them (db_password, X-Auth-Token).
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer", "login", "pin")
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])[A-Za-z0-9_.-]{0,40}?(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|key|auth|cred(?:ential)?s?|bearer|login|pin)"""
-    r"""[A-Za-z0-9_.-]{0,40}["']?(?:[ \t]*(?::=|=>|[:=])[ \t]*|[ \t]+is[ \t]+)["']?([^\s"'<>,;]{6,})""",
+    r"""(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]*?(?:pass|pwd|secret|token|key|auth|cred|bearer|login|pin))"""  # once for each name
+    r"""[A-Za-z0-9_.-]++["']?(?:[ \t]*(?::=|=>|[:=])[ \t]*|[ \t]+is[ \t]+)["']?([^\s"'<>,;]{6,})""",
     re.IGNORECASE,
 )
+IS = re.compile(r"[ \t]is[ \t]")
+BRUTE_SHARE = 0.95
 KEY_ROWS = ["`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "qwertzuiop", "azertyuiop"]
 DATE = re.compile(
     r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?"
@@ -82,6 +85,10 @@ class GuessCost:
             return log10(26) if c.isascii() else 2.0
         return log10(33)
 
+    def brute(self, value: str) -> float:
+        """log10 of the guesses of brute force alone."""
+        return sum(self.alphabet(c) + (log10(2) if o != c else 0.0) for o, c in zip(value, value.lower()))
+
     def _cost(self, value: str) -> float:
         return self.segments(value)[0]
 
@@ -149,16 +156,20 @@ class Scanner:
         return spans
 
     def added(self, text: str) -> list[Span]:
-        """Values in a credential context that cost at least ``10 ** least_cost`` guesses."""
+        """Values in a credential context that cost ``10 ** least_cost`` guesses, or nearly all that brute force needs."""
         low = text.lower()
-        if not any(w in low for w in CONTEXT_WORDS) or not (":" in low or "=" in low or " is " in low):
+        if not any(w in low for w in CONTEXT_WORDS) or not (":" in low or "=" in low or IS.search(low)):
             return []
         return [
             (m.start(1), m.end(1), "guess", 3)
             for m in CONTEXT.finditer(text)
-            if self.guess.cost(m[1]) >= self.least_cost
+            if self.secret(m[1])
         ]
 
+    def secret(self, value: str) -> bool:
+        cost = self.guess.cost(value)
+        return cost >= self.least_cost or cost >= BRUTE_SHARE * self.guess.brute(value)
+
     def scan(self, text: str) -> tuple[list[Span], list[Span]]:
         base = self.base(text)
         return base, sorted(base + self.added(text), key=lambda s: (s[0], s[3]))
