@@ -29,15 +29,22 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8): the one with the least id.
+    """One row of each group of near-duplicates (five words, similarity 0.8): the one with the least id, null last.
 
-    Rows that repeat a kept document in full are kept once; documents with null ids stay.
+    Rows are compared by themselves, whatever their ids: an id may repeat, and rows without an id take part. Rows
+    whose texts have no words stay; rows that are repeated in full are kept once.
     """
-    groups = minhash.near_duplicates(spark, docs, shingle=5, percent=80)
-    kept = groups.where("kept and doc_id is not null").select("doc_id").distinct()
-    # rows of an id are in one partition after the join, so the second step needs no shuffle of its own
-    stay = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates()
-    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    # the hash passes over nulls, so it is told where they are
+    keyed = docs.withColumn(row, F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+    groups = minhash.near_duplicates(spark, keyed, doc_id=row, shingle=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias(row), "component_id").distinct()
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    kept = keyed.select("doc_id", row).join(groups, row).groupBy("component_id").agg(F.min(first)[row].alias(row))
+    # rows of a key are in one partition after the join, so the second step needs no shuffle of its own
+    return keyed.join(kept.select(row), row, "left_semi").dropDuplicates().select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,6 +117,15 @@ def test_projection_keeps_rates_above_the_least(spark):
     assert 0 <= min(r.rate for r in got) < 1e-6 and all(r.rate > 0.5 for r in got if r.doc_id % 2)
 
 
+def test_minhash_stage_decides_by_row(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(3, b, 1), (5, a, 1), (5, b + " more", 1), (7, a + " more", 1), (9, "c " + a[::-1], 1), (9, "c " + a[::-1], 2), (None, b, 1), (None, "d " + b[::-1], 1), (None, "d " + b[::-1], 2),
+            (11, None, 1), (11, "", 1), (11, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.minhash_stage(spark, docs, "").collect()), key=str)
+    assert got == sorted([(3, b), (5, a), (9, "c " + a[::-1]), (None, "d " + b[::-1]), (11, None), (11, "")], key=str)
+
+
 def test_pipeline_stages(spark):
     from wattledger.llm.common import Scratch, table
 
