@@ -10,12 +10,19 @@ COLUMNS = {
     "op2_quality": ("documents", ["doc_id", "held_out", "score", "predicted"]),
     "op4_urls": ("pages", ["page_id", "host", "path", "rule", "verdict"]),
     "op5_bpe": ("documents", ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]),
+    "op6_toxicity": ("documents", ["doc_id", "held_out", "score", "predicted"]),
+    "op7_minhash": ("documents", ["doc_id", "n_shingles", "component_id", "kept"]),
+    "op8_mixing": ("documents", ["doc_id", "tokens", "rate", "copies"]),
+    "op9_covertree": ("embeddings", ["vec_id", "n_links", "component_id", "kept"]),
     "op10_secrets": ("documents", ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]),
+    "op11_langid": ("documents", ["doc_id", "held_out", "lang_pred", "score"]),
+    "op12_codes": ("embeddings", ["vec_id", "code", "error", "label_error", "codebooks_sha256"]),
+    "op13_merkle": ("documents", ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]),
 }
 
 
 def test_there_is_one_query_for_each_operator():
-    assert sorted(int(name.split("_")[0][2:]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name.split("_")[0][2:]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))

@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattledger.llm import bpe, covertree, minhash, mixing, order, quality, secrets, topk, toxicity, urls
+from wattledger.llm import bpe, codes, covertree, langid, merkle, minhash, mixing, order, quality, secrets, topk, toxicity, urls
 from wattledger.llm.common import table
 from wattledger.llm.registry import query
-from wattledger.llm.twins import urls_sql
+from wattledger.llm.twins import codes_sql, merkle_sql, urls_sql
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -88,3 +88,21 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every text of documents."""
     vocabulary = bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
     return secrets.find_secrets(table(spark, folder, "documents"), vocabulary)
+
+
+@query()
+def op11_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every text of documents."""
+    return langid.identify(spark, table(spark, folder, "documents"))
+
+
+@query(codes_sql())
+def op12_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Product codes of all usable embeddings after two Lloyd rounds, with their errors."""
+    return codes.digests(*codes.compress(spark, table(spark, folder, "embeddings")))
+
+
+@query(merkle_sql())
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of documents, and which rows still verify after tampering."""
+    return merkle.verify(merkle.manifest(spark, table(spark, folder, "documents")))
