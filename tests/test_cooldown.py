@@ -3,10 +3,11 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wattledger.operators.alerts import alert_cooldown
+from wattledger.operators.alerts import _report_of, alert_cooldown
 
 START = datetime(2024, 3, 1, tzinfo=timezone.utc)
 SCHEMA = "event_id bigint, household bigint, ts timestamp, alert_type string"
@@ -102,3 +103,40 @@ def test_households_stay_together(spark, piece_rows):
         assert marked(frame(spark, rows), piece_rows=piece_rows, piece_seconds=86400) == fold(rows)
     finally:
         spark.conf.set(key, "true")
+
+
+def test_reports_compose(spark):
+    """Any two stretches one after the other do what their composed report says, from every start."""
+    rng, cooldown = random.Random(8), 100
+    for _ in range(300):
+        us = np.sort(np.array([rng.randrange(600) for _ in range(rng.randint(2, 30))], np.int64)) + 1000
+        kinds = np.array(["a"] * len(us), object)
+        for at in range(len(us)):
+            if rng.random() < rng.choice([0, 0.1]):
+                kinds[at:] = rng.choice(["a", "b"])
+        cut = rng.randint(1, len(us) - 1)
+        one, two = _report_of(us[:cut], kinds[:cut], cooldown), _report_of(us[cut:], kinds[cut:], cooldown)
+        both, whole = one.then(two, cooldown), _report_of(us, kinds, cooldown)
+        starts = [None, *((k, int(us[0]) - d) for k in "ab" for d in (0, 1, 40, 99, 100, 101, 5000))]
+        for state in starts:
+            expected = state
+            for t, k in zip(us.tolist(), kinds):
+                if expected is None or expected[0] != k or t - expected[1] > cooldown:
+                    expected = (k, t)
+            assert both.end(state, cooldown) == whole.end(state, cooldown) == expected
+        assert len(both.froms) <= int((us <= us[0] + cooldown).sum()) + 1
+
+
+def test_a_million_alerts_of_one_household(spark):
+    """One a second with few changes of type: no task holds the household, and the result is the sequential rule's."""
+    n = 1_000_000
+    kind = F.when((F.col("id") > 400_000) & (F.col("id") < 400_500), "critical").otherwise("warning")
+    rows = spark.range(0, n, 1, 8).select(F.col("id").alias("event_id"), F.lit(1).alias("household"), F.timestamp_seconds("id").alias("ts"), kind.alias("alert_type"))
+    got = alert_cooldown(rows, tie=["event_id"], piece_rows=20_000).where("is_sent").select("event_id").collect()
+    expected, last = [], None
+    for i in range(n):
+        k = "critical" if 400_000 < i < 400_500 else "warning"
+        if last is None or k != last[0] or i - last[1] > 4 * 3600:
+            expected.append(i)
+            last = (k, i)
+    assert sorted(r.event_id for r in got) == expected

@@ -12,7 +12,7 @@ from wattledger.operators.cost import valid_scenario
 from wattledger.operators.forecast import seasonal_arx
 from wattledger.operators.series import fit_length, slot_totals
 from wattledger.sources.meter_logs import parse_meter_log_v1, read_meter_log_v2
-from wattledger.sources.settings import upsert_settings
+from wattledger.sources.settings import read_settings, upsert_settings
 from wattledger.sources.sinks import read_readings, write_readings
 
 
@@ -94,7 +94,7 @@ def test_settings_are_merged(spark, tmp_path):
     schema = "household int, ts timestamp, event_id int, currency string"
     upsert_settings(spark.createDataFrame([(1, at[1], 1, "PHP"), (1, at[1], 2, "USD"), (2, at[1], 3, "PHP")], schema), path, tie=["event_id"])
     upsert_settings(spark.createDataFrame([(1, at[0], 4, "EUR"), (2, at[1], 5, "EUR"), (3, at[2], 6, "EUR")], schema), path, tie=["event_id"])
-    got = {r.household: r.currency for r in spark.read.parquet(path).collect()}
+    got = {r.household: r.currency for r in read_settings(spark, path).collect()}
     assert got == {1: "USD", 2: "EUR", 3: "EUR"}
 
 

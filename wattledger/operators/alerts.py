@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from wattledger.constants import (
     APPROACHING_MESSAGE,
@@ -38,6 +37,7 @@ from wattledger.operators.ordered import (
     with_previous,
 )
 from wattledger.schemas import THRESHOLD_REQUEST
+from wattledger.session import shared_dir
 
 WEEK_SECONDS = 7 * 24 * 3600
 
@@ -63,8 +63,8 @@ def alert_cooldown(
 
     Rows are sorted by household and time and read as a stream of Arrow batches with constant state.
     A household above ``piece_rows`` is cut into time pieces. Each piece first reports, in parallel,
-    where its chain of sent alerts ends for every possible start; folding these reports, as a sorted stream
-    with constant state, gives the state at the start of each piece, and all pieces are then marked in parallel.
+    where its chain of sent alerts ends for every possible start; neighbouring reports are composed, in as many rounds
+    as the logarithm of the pieces, to the state at the start of each piece, and all pieces are then marked in parallel.
     """
     tie = tie or []
     cooldown = int(cooldown_hours * 3_600_000_000)
@@ -138,95 +138,144 @@ def _marker(by: list[str], alert_type: str, cooldown: int):
     return mark
 
 
+# What a stretch of a household's alerts does to the last sent one before it: the time of the last sent alert after the
+# stretch as a step function of the time before it. Stretches that change type end the same way whatever came before.
+
+
+@dataclass(frozen=True)
+class _Report:
+    """Steps: a start whose cooldown ends before ``froms[i]``, and not before ``froms[i - 1]``, ends in ``ends[i]``; a start
+    beyond all steps stays. Without steps the end is ``fresh``, whatever the start; ``fresh`` is also the end after another
+    type or none."""
+
+    first_us: int
+    first_type: str
+    last_type: str
+    froms: np.ndarray
+    ends: np.ndarray
+    fresh: int
+
+    def end(self, state: tuple[str, int] | None, cooldown: int) -> tuple[str, int]:
+        if state is None or state[0] != self.first_type or not len(self.froms):
+            return self.last_type, self.fresh
+        at = int(np.searchsorted(self.froms, state[1] + cooldown, "right"))
+        return self.last_type, int(self.ends[at]) if at < len(self.ends) else state[1]
+
+    def then(self, other: _Report, cooldown: int) -> _Report:
+        """Both stretches, one after the other."""
+        fresh = other.end((self.last_type, self.fresh), cooldown)[1]
+        steps = len(self.froms) and len(other.froms) and self.last_type == other.first_type
+        if not steps:  # a type changes between or within them
+            none = np.empty(0, np.int64)
+            return _Report(self.first_us, self.first_type, other.last_type, none, none, fresh)
+        at = np.searchsorted(other.froms, self.ends + cooldown, "right")
+        ends = np.where(at < len(other.ends), other.ends[np.minimum(at, len(other.ends) - 1)], self.ends)
+        froms, ends = np.concatenate([self.froms, other.froms]), np.concatenate([ends, other.ends])
+        # no start reaches further than its cooldown
+        reach = int(np.searchsorted(froms, self.first_us + cooldown, "right")) + 1
+        return _Report(self.first_us, self.first_type, other.last_type, *_steps(froms[:reach], ends[:reach]), fresh)
+
+
+def _steps(froms: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without steps that lead to the same end as their successor."""
+    keep = np.append(ends[1:] != ends[:-1], True)
+    return froms[keep], ends[keep]
+
+
+def _report_of(us: np.ndarray, kind: np.ndarray, cooldown: int) -> _Report:
+    """The report of alerts in the order of time."""
+    change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    tail = us[change[-1] :] if len(change) else us
+    ends = tail[_chain_ends(tail, cooldown)]
+    none = np.empty(0, np.int64)
+    if len(change):
+        return _Report(int(us[0]), kind[0], kind[-1], none, none, int(ends[0]))
+    # A start inside the cooldown before the stretch can only lead to these rows first.
+    reach = min(int(np.searchsorted(us, us[0] + cooldown, side="right")) + 1, len(us))
+    return _Report(int(us[0]), kind[0], kind[0], *_steps(us[:reach], ends[:reach]), int(ends[0]))
+
+
+REPORT = [
+    T.StructField("first_us", T.LongType()),
+    T.StructField("first_type", T.StringType()),
+    T.StructField("last_type", T.StringType()),
+    T.StructField("froms", T.ArrayType(T.LongType())),
+    T.StructField("ends", T.ArrayType(T.LongType())),
+    T.StructField("fresh", T.LongType()),
+]
+FOLDED = 4  # reports that one task puts together
+
+
+def _reports(pdf: pd.DataFrame) -> list[_Report]:
+    """The reports in the rows, in the order of their numbers."""
+    out = []
+    for r in pdf.sort_values("_n").itertuples():
+        froms, ends = (np.asarray(x if x is not None else [], np.int64) for x in (r.froms, r.ends))
+        out.append(_Report(int(r.first_us), r.first_type, r.last_type, froms, ends, int(r.fresh)))
+    return out
+
+
 def _piece_starts(pieces: Pieces, alert_type: str, tie: list[str], cooldown: int) -> DataFrame:
     """The last sent alert before each piece of a cut household, as a row that opens the piece.
 
     It is older than the rows of the piece. As the first row it counts as sent, which sets the state.
+    ``FOLDED`` neighbouring reports are composed to one, round after round, until a household has one; then the states at
+    the starts come down the same way. No task holds more than ``FOLDED`` reports, each bounded by the rows of one
+    cooldown; rounds are as many as the logarithm of the largest household's pieces, and each is stored.
     """
     rows, by = pieces.rows, pieces.by
+    household = by[:-1]
+    spark = rows.sparkSession
+    target = shared_dir(spark, "cooldown")
     by_fields = [rows.schema[c] for c in by]
-    report_schema = T.StructType(
-        [
-            *by_fields,
-            T.StructField("first_type", T.StringType()),
-            T.StructField("last_type", T.StringType()),
-            T.StructField("from_us", T.LongType()),  # null: the end does not depend on the start
-            T.StructField("end_us", T.LongType()),
-            T.StructField("fresh_end_us", T.LongType()),
-        ]
-    )
-    start_schema = T.StructType(
-        [*by_fields, T.StructField(alert_type, T.StringType()), T.StructField("_us", T.LongType())]
-    )
+    number = T.StructField("_n", T.LongType())
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{target}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{target}/{name}")
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_us", *tie], kind="stable")
-        us, kind = pdf["_us"].to_numpy(), pdf[alert_type].to_numpy()
-        change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
-        tail = us[change[-1]:] if len(change) else us
-        ends = tail[_chain_ends(tail, cooldown)]
-        if len(change):
-            from_us, end_us = [None], [ends[0]]
-        else:
-            # A start inside the cooldown before the piece can only lead to these rows first.
-            reach = min(int(np.searchsorted(us, us[0] + cooldown, side="left")) + 1, len(us))
-            keep = np.append(ends[1:reach] != ends[: reach - 1], True)
-            from_us, end_us = us[:reach][keep].tolist(), ends[:reach][keep].tolist()
-        return pd.DataFrame(
-            {
-                **{c: pdf[c].iloc[0] for c in by},
-                "first_type": kind[0],
-                "last_type": kind[-1],
-                "from_us": pd.array(from_us, dtype="Int64"),
-                "end_us": end_us,
-                "fresh_end_us": ends[0],
-            }
-        )
-
-    household = by[:-1]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Reports in the order of households and pieces; the state is that of one household, and only the
-        # reports of one piece are held.
-        owner, state_type, state_us, rest = None, None, None, None
-        for batch in itertools.chain(batches, [None]):
-            pdf = rest if batch is None else pd.concat([rest, batch.to_pandas()], ignore_index=True)
-            if pdf is None or pdf.empty:
-                continue
-            new = (pdf[by] != pdf[by].shift()).any(axis=1).to_numpy()
-            starts = np.append(np.flatnonzero(new), len(pdf))
-            if batch is not None:  # the last piece may go on in the next batch
-                rest, starts = pdf.iloc[starts[-2]:], starts[:-1]
-            out = []
-            for a, b in zip(starts[:-1], starts[1:]):
-                part = pdf.iloc[a:b]
-                head = part.iloc[0]
-                if owner != tuple(head[household]):
-                    owner, state_type, state_us = tuple(head[household]), None, None
-                if state_type is not None:
-                    out.append((*head[by], state_type, state_us))
-                if pd.isna(head["from_us"]):
-                    state_us = int(head["end_us"])
-                elif state_type != head["first_type"]:
-                    state_us = int(head["fresh_end_us"])
-                else:
-                    at = int(np.searchsorted(part["from_us"].to_numpy(np.int64), state_us + cooldown, "right"))
-                    if at < len(part):
-                        state_us = int(part["end_us"].iloc[at])
-                state_type = head["last_type"]
-            if out:
-                frame = pd.DataFrame(out, columns=[*by, alert_type, "_us"])
-                yield pa.RecordBatch.from_pandas(frame, schema=arrow_schema, preserve_index=False)
-
-    reports = (
-        rows.filter(F.col(PIECE) != WHOLE_KEY)
-        .select(*by, alert_type, "_us", *tie)
-        .groupBy(*by)
-        .applyInPandas(report, report_schema)
-    )
-    arrow_schema = to_arrow_schema(start_schema)
-    in_order = reports.repartition(F.xxhash64(*household)).sortWithinPartitions(*by, "from_us")
-    return in_order.mapInArrow(fold, start_schema)
+        found = _report_of(pdf["_us"].to_numpy(), pdf[alert_type].to_numpy(), cooldown)
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, **vars(found)}])
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, *others = _reports(pdf)
+        for other in others:
+            first = first.then(other, cooldown)
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in household}, "_n": pdf["_n"].iloc[0] // FOLDED, **vars(first)}])
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_n")
+        state = None if pd.isna(pdf["_type"].iloc[0]) else (pdf["_type"].iloc[0], int(pdf["_at"].iloc[0]))
+        types, times = [], []
+        for found in _reports(pdf):
+            types.append(state and state[0])
+            times.append(state and state[1])
+            state = found.end(state, cooldown)
+        return pdf[[*household, "_n"]].assign(_type=types, _at=pd.array(times, dtype="Int64"))
+
+    cut = rows.filter(F.col(PIECE) != WHOLE_KEY).select(*by, alert_type, "_us", *tie)
+    reports = stored(cut.groupBy(*by).applyInPandas(report, T.StructType([*by_fields, *REPORT])), "pieces")
+    # the number of a piece among its household's, from rows without their steps
+    numbers = reports.select(*by, (F.row_number().over(Window.partitionBy(*household).orderBy(PIECE)) - 1).cast("bigint").alias("_n"))
+    level = stored(reports.join(numbers, by).select(*household, PIECE, "_n", *[f.name for f in REPORT]), "level-0")
+    levels, most = [level], level.agg(F.max("_n")).first()[0] or 0  # one number
+    schema = T.StructType([*by_fields[:-1], number, *REPORT])
+    while most > 0:
+        above = levels[-1].drop(PIECE).groupBy(*household, F.expr(f"_n div {FOLDED}").alias("_group")).applyInPandas(composed, schema)
+        levels.append(stored(above, f"level-{len(levels)}"))
+        most //= FOLDED
+
+    state_schema = T.StructType([*by_fields[:-1], number, T.StructField("_type", T.StringType()), T.StructField("_at", T.LongType())])
+    states = levels.pop().select(*household, "_n", F.lit(None).cast("string").alias("_type"), F.lit(None).cast("bigint").alias("_at"))
+    while levels:
+        above = states.withColumnRenamed("_n", "_group")
+        below = levels.pop()
+        joined = below.drop(PIECE).withColumn("_group", F.expr(f"_n div {FOLDED}")).join(above, [*household, "_group"])
+        states = stored(joined.groupBy(*household, "_group").applyInPandas(starts, state_schema), f"states-{len(levels)}")
+    opened = level.select(*household, PIECE, "_n").join(states.where("_type IS NOT NULL"), [*household, "_n"])
+    return opened.select(*by, F.col("_type").alias(alert_type), F.col("_at").alias("_us"))
 
 
 def _chain_ends(us: np.ndarray, cooldown: int) -> np.ndarray:

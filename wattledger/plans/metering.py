@@ -44,7 +44,7 @@ from wattledger.sources.meter_logs import (
     write_meter_log_v2,
 )
 from wattledger.sources.sample_dataset import parse_sample_dataset, sample_series
-from wattledger.sources.settings import latest_settings, settings_or_default, upsert_settings
+from wattledger.sources.settings import latest_settings, read_settings, settings_or_default, upsert_settings
 from wattledger.sources.sinks import read_readings, write_readings
 
 
@@ -249,7 +249,7 @@ def settings_latest(spark: SparkSession, folder: str) -> DataFrame:
     saved = shared_dir(spark, "settings")
     upsert_settings(settings_history(spark, folder), saved)
     households = table(spark, folder, "customer").select(F.col("c_custkey").alias("household"))
-    latest = spark.read.parquet(saved).drop("ts", "event_id")
+    latest = read_settings(spark, saved).drop("ts", "event_id")
     return settings_or_default(households, latest)
 
 

@@ -6,17 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattledger.functions.times import iso
-from wattledger.operators.alerts import alert_cooldown
-from wattledger.operators.normalise import interval_energy
 from wattledger.plans.alerting import COOLDOWN_SQL
 from wattledger.plans.metering import INTERVAL_SQL
 from wattledger.plans.registry import query
 from wattledger.plans.tables import ISO, READINGS_SQL, level
-from wattledger.streaming.carry import cooldown_step, interval_energy_step, run_carried
-from wattledger.streaming.alerts import last_sent_alerts, stream_alert_cooldown
-from wattledger.streaming.backlog import run_after_backlog
-from wattledger.streaming.energy import hourly_sums, newest_readings
-from wattledger.streaming.energy import stream_interval_energy as energy_between
+from wattledger.session import shared_dir
+from wattledger.streaming.carry import Carried, cooldown_step, interval_energy_step, run_carried
+from wattledger.streaming.energy import hourly_sums
+from wattledger.streaming.ordered import InOrder, cooldown_in_order, energy_in_order, run_in_order, run_to_outbox
 from wattledger.streaming.run import stream_events
 
 
@@ -64,43 +61,56 @@ def _alerts(spark: SparkSession, folder: str, **limits: int) -> DataFrame:
     return _stream(spark, folder, **limits).select("event_id", F.col("user_id").alias("household"), "ts", kind.alias("alert_type"))
 
 
+# Meters and the mailer may deliver up to a billing period and a half late; what comes later still has no result.
+LATENESS = "45 days"
+BUCKET = "15 days"  # rows that are released, and sorted, together
+CARRIED_LATENESS = "10 days"
+
+
+def _whole(done: InOrder | Carried) -> DataFrame:
+    """Results, and the late rows without one."""
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in done.rows.schema.fields if f.name not in done.late.columns]
+    return done.rows.unionByName(done.late.select("*", *missing).select(*done.rows.columns))
+
+
 @query(STREAM_INTERVAL_SQL)
 def stream_interval_energy(spark: SparkSession, folder: str) -> DataFrame:
-    """All but the last hour goes through the batch operator, whose newest readings start the state for that hour."""
-    stored = run_after_backlog(
-        _counters(spark, folder),
-        lambda rows: interval_energy(rows, tie=["event_id"], max_gap_seconds=86400),
-        lambda rows, _: newest_readings(rows),
-        lambda rows, newest: energy_between(rows, max_gap_seconds=86400, newest=newest),
-        "stream-interval",
-        key="device_id",
-    )
-    return stored.select(*INTERVAL_COLUMNS)
+    """Readings wait in state until the watermark has passed them; event-time timers release them in order."""
+    operator = lambda rows: energy_in_order(rows, LATENESS, max_gap_seconds=86400, bucket=BUCKET)
+    return _whole(run_in_order(_counters(spark, folder), operator, "stream-interval")).select(*INTERVAL_COLUMNS)
 
 
 @query(STREAM_INTERVAL_SQL)
 def stream_interval_carried(spark: SparkSession, folder: str) -> DataFrame:
-    """The same by ``run_carried`` without lateness: rows wait for the end, then the batch operator runs once; nothing is carried."""
-    stored = run_carried(_counters(spark, folder, max_bytes_per_trigger=LARGE_BATCH), interval_energy_step(86400), "carried-interval").rows
-    return stored.select(*INTERVAL_COLUMNS)
+    """The same by the batch operator on micro-batches, which spreads large devices: the newest reading per device is
+    carried from one to the next, and to the rest when the input ends."""
+    rows = _counters(spark, folder, max_bytes_per_trigger=LARGE_BATCH)
+    return _whole(run_carried(rows, interval_energy_step(86400), "carried-interval", lateness=CARRIED_LATENESS)).select(*INTERVAL_COLUMNS)
+
+
+def _cooldown_columns(rows: DataFrame) -> DataFrame:
+    return rows.select("event_id", "household", iso(F.col("ts")).alias("at"), "alert_type", "is_sent")
 
 
 @query(COOLDOWN_SQL)
 def stream_cooldown(spark: SparkSession, folder: str) -> DataFrame:
-    """All but the last hour goes through the batch operator, whose last sent alerts start the state for that hour."""
-    stored = run_after_backlog(
-        _alerts(spark, folder),
-        lambda rows: alert_cooldown(rows, tie=["event_id"]),
-        lambda _, marked: last_sent_alerts(marked),
-        lambda rows, sent: stream_alert_cooldown(rows, last_sent=sent),
-        "stream-cooldown",
-        key="household",
-    )
-    return stored.select("event_id", "household", iso(F.col("ts")).alias("at"), "alert_type", "is_sent")
+    """Alerts wait in state until the watermark has passed them; event-time timers release them in order."""
+    operator = lambda rows: cooldown_in_order(rows, LATENESS, bucket=BUCKET)
+    return _cooldown_columns(_whole(run_in_order(_alerts(spark, folder), operator, "stream-cooldown")))
 
 
 @query(COOLDOWN_SQL)
 def stream_cooldown_carried(spark: SparkSession, folder: str) -> DataFrame:
-    """The same by ``run_carried`` without lateness: alerts wait for the end, then the batch operator runs once; nothing is carried."""
-    stored = run_carried(_alerts(spark, folder, max_bytes_per_trigger=LARGE_BATCH), cooldown_step(), "carried-cooldown").rows
-    return stored.select("event_id", "household", iso(F.col("ts")).alias("at"), "alert_type", "is_sent")
+    """The same by the batch operator on micro-batches: the last sent alert per household is carried on."""
+    rows = _alerts(spark, folder, max_bytes_per_trigger=LARGE_BATCH)
+    done = run_carried(rows, cooldown_step(), "carried-cooldown", lateness=CARRIED_LATENESS)
+    return _cooldown_columns(_whole(Carried(done.rows, done.late.where("alert_type IS NOT NULL"))))
+
+
+@query(f'SELECT event_id, household, "at", alert_type FROM ({COOLDOWN_SQL}) WHERE is_sent')
+def stream_outbox(spark: SparkSession, folder: str) -> DataFrame:
+    """The alerts that pass the cooldown, streamed into an outbox that holds each once, and read from it."""
+    target = shared_dir(spark, "stream-outbox")
+    operator = lambda rows: cooldown_in_order(rows, LATENESS, bucket=BUCKET).where("is_sent").select("event_id", "household", "ts", "alert_type")
+    sent = run_to_outbox(_alerts(spark, folder), operator, target, keys=("household", "ts", "event_id"))
+    return sent.select("event_id", "household", iso(F.col("ts")).alias("at"), "alert_type")

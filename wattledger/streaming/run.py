@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -31,31 +34,38 @@ def stream_events(
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
-def run_available(
-    df: DataFrame, name: str, output_mode: str = "append", state_partitions: int | None = None
-) -> DataFrame:
-    """Process all available input once and return the stored rows.
+@contextmanager
+def state_settings(spark: SparkSession, partitions: int | None, goes_on: bool = False) -> Iterator[None]:
+    """State in RocksDB; the number of its partitions is fixed when a stream starts, and is the cluster's parallelism.
 
-    Every micro-batch owns a folder, so a batch that is replayed after a failure replaces its rows. The
-    number of state partitions is fixed when a stream starts and is set to the cluster's parallelism.
+    A stream that goes on later leaves the timers of its last watermark to the next micro-batch.
     """
-    spark = df.sparkSession
-    target = shared_dir(spark, name)
     settings = {
-        "spark.sql.shuffle.partitions": str(state_partitions or spark.sparkContext.defaultParallelism),
+        "spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism),
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.noDataMicroBatches.enabled": str(not goes_on).lower(),
     }
     before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)
-    done: list[int] = []
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def drain(df: DataFrame, target: str, output_mode: str = "append", state_partitions: int | None = None, goes_on: bool = False) -> None:
+    """Process all available input once, from the checkpoint in ``target``, into its batch folders.
+
+    Every micro-batch owns a folder, so a batch that is replayed after a failure replaces its rows.
+    """
 
     def store(rows: DataFrame, batch_id: int) -> None:
         write_outbox_batch(rows, batch_id, f"{target}/rows")
-        done.append(batch_id)
 
-    try:
+    with state_settings(df.sparkSession, state_partitions, goes_on):
         query = (
             df.writeStream.outputMode(output_mode)
             .option("checkpointLocation", f"{target}/state")
@@ -64,10 +74,21 @@ def run_available(
             .start()
         )
         query.awaitTermination()
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    if not done:
-        return spark.createDataFrame([], df.schema)
-    schema = T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(schema).parquet(f"{target}/rows").drop("batch_id")
+
+
+def stored_rows(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
+    """The rows of all micro-batches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/rows")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(with_batch).parquet(f"{target}/rows").drop("batch_id")
+
+
+def run_available(
+    df: DataFrame, name: str, output_mode: str = "append", state_partitions: int | None = None
+) -> DataFrame:
+    """Process all available input once and return the stored rows."""
+    target = shared_dir(df.sparkSession, name)
+    drain(df, target, output_mode, state_partitions)
+    return stored_rows(df.sparkSession, target, df.schema)
