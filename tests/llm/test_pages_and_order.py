@@ -110,6 +110,48 @@ def test_mixing_meets_targets(spark):
     assert all(abs(r.rate - 1) < 1e-6 for r in mixing.mix(spark, docs, empty, {"a": 0.5, "b": 0.5}).collect())
 
 
+def plain_projected_gradient(p, tokens, bound, wanted, steps=60_000):
+    """Rates nearest to one that meet the totals, by small gradient steps on the multipliers; nothing is shared with the library."""
+    x = np.zeros(p.shape[1])
+    length = 1.0 / np.linalg.eigvalsh((p * tokens[:, None]).T @ p).max()
+    for _ in range(steps):
+        r = np.maximum(bound, 1 - p @ x)
+        x += length * ((tokens * r) @ p - wanted)
+    return r
+
+
+def test_three_domains_against_plain_projected_gradient(spark):
+    rng = np.random.default_rng(4)
+    rows, domain = [], []
+    for i in range(360):
+        kind = ["clean", "low", "toxic"][[0, 0, 0, 1, 2, 0][i % 6]]
+        words = ["word", "other", "third"] if kind != "low" else ["###", "12", "!!"]
+        n = int(rng.integers(5, 60))
+        text = " ".join(rng.choice(words, n)) + (" idiot" * (kind == "toxic" and i % 12 < 8)) + (" !!" * (i % 5 == 0))
+        rows.append((i, text))
+        domain.append((i, kind))
+    labelled = spark.createDataFrame(domain, "doc_id long, domain string")
+    targets = {"clean": 0.86, "low": 0.08, "toxic": 0.06}
+    for keep in (None, "clean"):
+        got = sorted(mixing.mix(spark, documents(spark, rows), labelled, targets, anchor="clean", keep=keep).collect(), key=lambda r: r.doc_id)
+        p, tokens, rate = np.array([r.p for r in got]), np.array([r.tokens for r in got], float), np.array([r.rate for r in got])
+        bound = np.where((p[:, 0] >= mixing.KEPT) & (keep is not None), 1.0, 0.0)
+        wanted = np.array([targets[d] for d in sorted(targets)]) * (tokens @ p[:, 0]) / targets["clean"]
+        assert {r.gap for r in got} == {got[0].gap} and got[0].gap < 1e-6
+        assert np.abs((tokens * rate) @ p - wanted).max() < 1e-5 * wanted.sum()
+        assert np.abs(plain_projected_gradient(p, tokens, bound, wanted) - rate).max() < 1e-3
+        assert (rate >= bound).all() and all(r.copies >= 1 for r, b in zip(got, bound) if b)
+
+
+def test_targets_out_of_reach_are_told(spark):
+    rows = [(i, "same words here") for i in range(40)]
+    labelled = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(40)], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="out of reach"):
+        got = mixing.mix(spark, documents(spark, rows), labelled, {"a": 0.9, "b": 0.1}).collect()
+    # every rate gives halves: the nearest totals of the least squares
+    assert got[0].gap > 0.1 and len({r.rate for r in got}) == 1 and all(np.isfinite(r.rate) for r in got)
+
+
 def test_projection_keeps_rates_above_the_least(spark):
     rows = [(i, "good words here and there " * 3) if i % 2 else (i, "BAD!! ### " * 3) for i in range(100)]
     labelled = spark.createDataFrame([(i, "good" if i % 2 else "bad") for i in range(100)], "doc_id long, domain string")

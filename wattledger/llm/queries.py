@@ -67,14 +67,22 @@ def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, folder, "documents"), shingle=4, percent=80)
 
 
+DOMAINS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    """doc_id and domain of the labelled documents."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("clean").alias("domain")
+    return labels.where("quality is not null or toxic is not null").select("doc_id", domain)
+
+
 @query()
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    """Rates of all documents for target shares of tokens of good and low quality."""
-    domain = F.when(F.col("quality") == 0, "low").otherwise("clean").alias("domain")
-    labelled = table(spark, folder, "labels").where("quality is not null").select("doc_id", domain)
-    mixed = mixing.mix(spark, table(spark, folder, "documents"), labelled, {"clean": 0.92, "low": 0.08}, anchor="clean")
-    p = [F.round(F.col("p")[k], 9).alias(f"p_{name}") for k, name in enumerate(["clean", "low"])]
-    return mixed.select("doc_id", "tokens", *p, "rate", "copies")
+    """Rates of all documents for target shares of tokens that are clean, of low quality and toxic."""
+    labelled = domains_of(table(spark, folder, "labels"))
+    mixed = mixing.mix(spark, table(spark, folder, "documents"), labelled, DOMAINS, anchor="clean", keep="clean")
+    p = [F.round(F.col("p")[k], 9).alias(f"p_{name}") for k, name in enumerate(sorted(DOMAINS))]
+    return mixed.select("doc_id", "tokens", *p, "rate", "copies", "gap")
 
 
 @query()
