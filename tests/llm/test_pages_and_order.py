@@ -189,4 +189,5 @@ def test_pipeline_stages(spark):
     assert set(texts[2]) == {i for i in sets if root[i] == i}
     assert set(texts[3]) == set(texts[2]) and not any("AKIA" in (t or "") and "[access]" not in t for t in texts[3].values())
     assert set(texts[4]) <= set(texts[3]) and frames[5].count() == frames[4].count()
-    assert frames[5].columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert frames[5].columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert frames[5].where("size(ids) <> n_tokens").count() == 0

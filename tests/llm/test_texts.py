@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -36,17 +37,33 @@ def test_bpe_equals_library(vocabulary):
         assert own.digest(text) == (len(e.ids), " ".join(map(str, e.ids)), decoded)
 
 
+def test_every_code_point_is_split_as_by_the_library(vocabulary):
+    library, own = tokenizers.Tokenizer.from_file(PATH), bpe.WordBpe(vocabulary)
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for begin in range(0, len(points), 512):
+        text = "".join(f"x{c}y{c}{c}!{c} {c}1\n" for c in points[begin : begin + 512])
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_million_special_tokens_and_one_long_word(vocabulary):
+    own = bpe.WordBpe(vocabulary)
+    begun = time.process_time()
+    assert own.digest("<|endoftext|>" * 1_000_000)[0] == 1_000_000
+    assert own.digest("ab" * 100_000)[0] > 0 and time.process_time() - begun < 30
+
+
 def test_bpe_operator(spark, vocabulary):
     library = tokenizers.Tokenizer.from_file(PATH)
     texts = [*ODD, None, ODD[0]]
     got = {r.doc_id: r for r in bpe.encode_digest(documents(spark, texts), vocabulary).collect()}
     full = {r.doc_id: r for r in bpe.encode(documents(spark, texts), vocabulary).collect()}
+    both = {r.doc_id: r for r in bpe.encode_digest(documents(spark, texts), vocabulary, with_ids=True).collect()}
     for i, text in enumerate(texts):
         ids = library.encode(text or "", add_special_tokens=False).ids
         decoded = library.decode(ids, skip_special_tokens=False)
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert got[i].decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
-        assert (full[i].ids, full[i].decoded) == (ids, decoded)
+        assert (full[i].ids, full[i].decoded, both[i].ids) == (ids, decoded, ids)
     assert bpe.encode_digest(documents(spark, []), vocabulary).collect() == []
 
 
