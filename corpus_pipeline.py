@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wattledger.llm import bpe, minhash, mixing, secrets, toxicity
 from wattledger.llm.common import Scratch, remainder, table
+from wattledger.llm.queries import DOMAINS, domains_of
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -54,15 +55,17 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rate says: 92 % of the expected tokens of good quality, 8 % of low."""
-    domain = F.when(F.col("quality") == 0, "low").otherwise("clean").alias("domain")
-    labelled = table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", domain)
-    return mixing.apply_mix(spark, docs, labelled, {"clean": 0.92, "low": 0.08}, anchor="clean")
+    """Documents as often as their fitted rate says: 90 % of the expected tokens clean, 8 % of low quality, 2 % toxic.
+
+    Documents that are clean beyond doubt are never dropped.
+    """
+    labelled = domains_of(table(spark, sf_dir, "labels"))
+    return mixing.apply_mix(spark, docs, labelled, DOMAINS, anchor="clean", keep="clean")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token digests of every document."""
-    return bpe.encode_digest(docs, vocabulary())
+    """The token ids of every document, their number and digests."""
+    return bpe.encode_digest(docs, vocabulary(), with_ids=True)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
