@@ -36,6 +36,26 @@ def seconds_between(later_us: Column, earlier_us: Column) -> Column:
     return (later_us - earlier_us) / F.lit(1_000_000.0)
 
 
+def local(ts: Column, tz: str | Column | None) -> Column:
+    """Microseconds on the clock of ``tz`` (a name, or a column of names); without one, on the session's clock."""
+    if tz is None:
+        tz = F.current_timezone()
+    return F.unix_micros(F.from_utc_timestamp(ts, tz))
+
+
+def local_hour(ts: Column, tz: str | Column | None) -> Column:
+    return F.pmod(F.floor(local(ts, tz) / F.lit(HOUR_US)), F.lit(24)).cast("int")
+
+
+def local_date(ts: Column, tz: str | Column | None) -> Column:
+    return F.date_from_unix_date(F.floor(local(ts, tz) / F.lit(24 * HOUR_US)).cast("int"))
+
+
+def local_slot(ts: Column, tz: str | Column | None) -> Column:
+    """The instant at which the clock of ``tz`` shows the full hour before ``ts``, also where it is off by half an hour."""
+    return F.timestamp_micros(F.unix_micros(ts) - F.pmod(local(ts, tz), F.lit(HOUR_US)))
+
+
 def hour_slot(ts: Column) -> Column:
     return F.date_trunc("hour", ts)
 

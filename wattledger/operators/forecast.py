@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattledger.functions.times import add_hours
+from wattledger.functions.times import HOUR_US, add_hours, local, local_date, local_hour
 from wattledger.operators.series import lookup, overlay, shift_slots
 
 
@@ -45,18 +45,19 @@ def seasonal_naive(
 
 def hour_profile(
     series: DataFrame, keys: list[str], by_weekday: bool = False, slot: str = "slot_ts", value: str = "kwh",
+    tz: str | Column | None = None,
 ) -> DataFrame:
-    """Mean per hour of day (and weekday, 1 = Sunday) over the hours that have a row."""
-    parts = [F.hour(slot).alias("hour")]
+    """Mean per hour of day (and weekday, 1 = Sunday) over the hours that have a row; hours on the clock of ``tz``."""
+    parts = [local_hour(F.col(slot), tz).alias("hour")]
     if by_weekday:
-        parts.append(F.dayofweek(slot).alias("weekday"))
+        parts.append(F.dayofweek(local_date(F.col(slot), tz)).alias("weekday"))
     return series.groupBy(*keys, *parts).agg(
         (F.sum(value).cast("double") / F.count(value)).alias("mean_kwh"), F.count(value).alias("n_hours")
     )
 
 
 def profile_forecast(
-    series: DataFrame, keys: list[str], horizon: int, slot: str = "slot_ts", value: str = "kwh"
+    series: DataFrame, keys: list[str], horizon: int, slot: str = "slot_ts", value: str = "kwh", tz: str | None = None
 ) -> DataFrame:
     """The profile laid over the ``horizon`` hours after a key's last slot."""
     future = (
@@ -64,9 +65,9 @@ def profile_forecast(
         .agg(F.max(slot).alias("_last"))
         .withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
         .withColumn(slot, add_hours(F.col("_last"), F.col("_j")))
-        .withColumn("hour", F.hour(slot))
+        .withColumn("hour", local_hour(F.col(slot), tz))
     )
-    profile = hour_profile(series, keys, slot=slot, value=value)
+    profile = hour_profile(series, keys, slot=slot, value=value, tz=tz)
     return future.join(profile, [*keys, "hour"], "left").select(
         *keys, slot, F.col("mean_kwh").alias("forecast_kwh")
     )
@@ -103,14 +104,19 @@ def linear_trend(
     )
 
 
+def _lagged(column: str, hours: int, keys: list[str], slot: str) -> Column:
+    """The key's value ``hours`` hours earlier; null where the series has a hole there."""
+    index = F.floor(F.unix_micros(slot) / F.lit(HOUR_US)).cast("bigint")
+    return F.first(column).over(Window.partitionBy(*keys).orderBy(index).rangeBetween(-hours, -hours))
+
+
 def _seasonal_difference(
     series: DataFrame, keys: list[str], season: int, slot: str, value: str
 ) -> DataFrame:
-    by_key = Window.partitionBy(*keys).orderBy(slot)
+    """The difference to the value a season earlier; null where the series has a hole there."""
     y = F.col(value).cast("double")
-    return series.select(*keys, slot, y.alias("_y")).withColumn(
-        "_d", F.col("_y") - F.lag("_y", season).over(by_key)
-    )
+    rows = series.select(*keys, slot, y.alias("_y"))
+    return rows.withColumn("_d", F.col("_y") - _lagged("_y", season, keys, slot))
 
 
 def _add_season_back(
@@ -125,17 +131,16 @@ def seasonal_ar1(
     series: DataFrame, keys: list[str], horizon: int = 24, season: int = 24,
     slot: str = "slot_ts", value: str = "kwh",
 ) -> DataFrame:
-    """First-order autoregression of the seasonal difference on a dense series.
+    """First-order autoregression of the seasonal difference; a pair with a hole in it takes no part in the fit.
 
     d(t) = y(t) - y(t - season) and d(t) = c + phi * d(t - 1), fitted by least squares. Step h uses the
     closed form c * (1 - phi^h) / (1 - phi) + phi^h * d(T); ``horizon`` is at most one season.
     """
     if horizon > season:
         raise ValueError("horizon must not exceed the season")
-    by_key = Window.partitionBy(*keys).orderBy(slot)
     fit = (
         _seasonal_difference(series, keys, season, slot, value)
-        .withColumn("_d1", F.lag("_d").over(by_key))
+        .withColumn("_d1", _lagged("_d", 1, keys, slot))
         .groupBy(*keys)
         .agg(
             F.regr_slope("_d", "_d1").alias("phi"),
@@ -163,7 +168,8 @@ def seasonal_arx(
     series: DataFrame, keys: list[str], exog: dict[str, Callable[[Column], Column]], lags: int = 2,
     horizon: int = 24, season: int = 24, slot: str = "slot_ts", value: str = "kwh",
 ) -> DataFrame:
-    """Autoregression of the seasonal difference with ``lags`` lags and external regressors.
+    """Autoregression of the seasonal difference with ``lags`` lags and external regressors; rows with a hole among
+    their lags take no part in the fit.
 
     ``exog`` maps a name to a function of the slot time, so that future values are known. Spark sums
     the products of all regressors per key (partial sums before the shuffle); Python only solves one
@@ -172,10 +178,9 @@ def seasonal_arx(
     """
     if horizon > season:
         raise ValueError("horizon must not exceed the season")
-    by_key = Window.partitionBy(*keys).orderBy(slot)
     data = _seasonal_difference(series, keys, season, slot, value)
     for i in range(1, lags + 1):
-        data = data.withColumn(f"_l{i}", F.lag("_d", i).over(by_key))
+        data = data.withColumn(f"_l{i}", _lagged("_d", i, keys, slot))
     for name, feature in exog.items():
         data = data.withColumn(f"_x_{name}", feature(F.col(slot)).cast("double"))
     regressors = ["_one", *[f"_l{i}" for i in range(1, lags + 1)], *[f"_x_{n}" for n in exog]]
@@ -239,6 +244,110 @@ def seasonal_arx(
     return _add_season_back(steps, series, keys, season, slot, value)
 
 
+def seasonal_armax(
+    series: DataFrame, keys: list[str], exog: dict[str, Callable[[Column], Column]] | None = None, ar: int = 1, ma: int = 1,
+    long: int = 8, horizon: int = 24, season: int = 24, slot: str = "slot_ts", value: str = "kwh",
+) -> DataFrame:
+    """Seasonal autoregression with moving-average terms, in two regressions of the seasonal difference d.
+
+    First d is regressed on a constant and ``long`` lags of itself; what is left are estimates of the shocks e. Then
+    d(t) = c + sum phi_i d(t - i) + sum theta_j e(t - j) + sum b_k x_k(t) + e(t). Rows with a hole among their lags take no
+    part. Shocks after the end are zero. Spark sums the products of the regressors per key; Python solves two small
+    systems per key (the least-norm solution of a singular one).
+
+    Per key and step: n_rows, coefficients (c, phi, theta, exog), std_errors (from the residual variance and the inverse
+    of the products; null without a degree of freedom), sigma, d_hat and forecast_kwh. Keys too short to fit keep their
+    steps, with null forecasts.
+    """
+    if horizon > season:
+        raise ValueError("horizon must not exceed the season")
+    exog = exog or {}
+    data = _seasonal_difference(series, keys, season, slot, value).withColumn("_one", F.lit(1.0))
+    for i in range(1, max(long, ar) + 1):
+        data = data.withColumn(f"_l{i}", _lagged("_d", i, keys, slot))
+    for name, feature in exog.items():
+        data = data.withColumn(f"_x_{name}", feature(F.col(slot)).cast("double"))
+    first = ["_one", *[f"_l{i}" for i in range(1, long + 1)]]
+    rough = _least_squares(data, keys, first, "_d").select(*keys, F.col("beta").alias("_rough"))
+    fitted = F.lit(0.0)
+    for i, name in enumerate(first):
+        fitted = fitted + F.col("_rough")[i] * F.col(name)
+    data = data.join(rough, keys, "left").withColumn("_e", F.col("_d") - fitted).drop("_rough")
+    for j in range(1, ma + 1):
+        data = data.withColumn(f"_m{j}", _lagged("_e", j, keys, slot))
+    second = ["_one", *[f"_l{i}" for i in range(1, ar + 1)], *[f"_m{j}" for j in range(1, ma + 1)], *[f"_x_{n}" for n in exog]]
+    newest = F.array(F.col("_d"), *[F.col(f"_l{i}") for i in range(1, ar)], F.col("_e"), *[F.col(f"_m{j}") for j in range(1, ma)])
+    last = data.groupBy(*keys).agg(F.max(slot).alias("_last"), F.max_by(newest, slot).alias("_newest"))
+    ahead = F.transform(
+        F.sequence(F.lit(1), F.lit(horizon)),
+        lambda h: F.array(*[f(F.col("_last") + F.make_dt_interval(hours=h)).cast("double") for f in exog.values()]),
+    )
+    fit = last.join(_least_squares(data, keys, second, "_d"), keys, "left")
+    fit = fit.withColumn("_future", F.flatten(ahead) if exog else F.array().cast("array<double>"))
+    schema = T.StructType([*fit.drop("_newest", "_future").schema.fields, T.StructField("steps", T.ArrayType(T.DoubleType()))])
+    kept, n_exog = schema.names[:-1], len(exog)
+
+    def roll(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            steps = []
+            for beta, newest, future in zip(pdf["beta"], pdf["_newest"], pdf["_future"]):
+                known = np.asarray([np.nan if v is None else v for v in newest], float)
+                if beta is None or np.isnan(known).any():
+                    steps.append([None] * horizon)
+                    continue
+                beta, x, out = np.asarray(beta, float), np.asarray(future, float).reshape(horizon, n_exog), []
+                d, e = known[:ar].tolist() if ar else [], known[max(ar, 1) :][:ma].tolist()
+                for h in range(horizon):
+                    step = beta[0] + beta[1 : ar + 1] @ d[:ar] + beta[ar + 1 : ar + ma + 1] @ e[:ma] + beta[ar + ma + 1 :] @ x[h]
+                    d, e = [step, *d], [0.0, *e]
+                    out.append(float(step))
+                steps.append(out)
+            yield pdf[kept].assign(steps=steps)
+
+    steps = fit.select(*kept, "_newest", "_future").mapInPandas(roll, schema)
+    steps = steps.select(*kept, F.posexplode("steps").alias("_i", "d_hat")).select(
+        *keys, F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.col("beta").alias("coefficients"), "std_errors", "sigma",
+        (F.col("_i") + 1).alias("step"), add_hours(F.col("_last"), F.col("_i") + 1).alias(slot), "d_hat",
+    )
+    return _add_season_back(steps, series, keys, season, slot, value)
+
+
+def _least_squares(data: DataFrame, keys: list[str], regressors: list[str], target: str) -> DataFrame:
+    """keys, n_rows, beta, std_errors and sigma of the rows without nulls, from sums of products per key."""
+    complete = F.lit(True)
+    for name in [*regressors, target]:
+        complete = complete & F.col(name).isNotNull()
+    names = [*regressors, target]
+    size = len(regressors)
+    sums = data.where(complete).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.array(*[F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]]).alias("_products")
+    )
+    numbers = T.ArrayType(T.DoubleType())
+    schema = T.StructType([
+        *[data.schema[k] for k in keys], T.StructField("n_rows", T.LongType()), T.StructField("beta", numbers),
+        T.StructField("std_errors", numbers), T.StructField("sigma", T.DoubleType()),
+    ])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        upper = np.triu_indices(size + 1)
+        for pdf in batches:
+            betas, errors, sigmas = [], [], []
+            for n, products in zip(pdf["n_rows"], pdf["_products"]):
+                whole = np.zeros((size + 1, size + 1))
+                whole[upper] = np.asarray(products, float)
+                whole += np.triu(whole, 1).T
+                gram, moment = whole[:size, :size], whole[:size, size]
+                beta = np.linalg.lstsq(gram, moment, rcond=None)[0]
+                free = n - size
+                variance = max(whole[size, size] - beta @ moment, 0.0) / free if free > 0 else np.nan
+                betas.append(beta.tolist())
+                errors.append(np.sqrt(np.maximum(variance * np.diag(np.linalg.pinv(gram)), 0.0)).tolist() if free > 0 else None)
+                sigmas.append(np.sqrt(variance) if free > 0 else None)
+            yield pdf[[*keys, "n_rows"]].assign(beta=betas, std_errors=errors, sigma=pd.array(sigmas, dtype="Float64"))
+
+    return sums.mapInPandas(solve, schema)
+
+
 def with_residuals(
     actual: DataFrame, forecast: DataFrame, keys: list[str], slot: str = "slot_ts", value: str = "kwh"
 ) -> DataFrame:
@@ -249,11 +358,13 @@ def with_residuals(
     )
 
 
-def deviation_flags(residuals: DataFrame, keys: list[str], k: float = 2.0, slot: str = "slot_ts") -> DataFrame:
-    """Slots whose residual exceeds ``k`` sample deviations of the key's residuals at that hour."""
+def deviation_flags(
+    residuals: DataFrame, keys: list[str], k: float = 2.0, slot: str = "slot_ts", tz: str | Column | None = None
+) -> DataFrame:
+    """Slots whose residual exceeds ``k`` sample deviations of the key's residuals at that hour of the clock of ``tz``."""
     same_hour = Window.partitionBy(*keys, "hour")
     return (
-        residuals.withColumn("hour", F.hour(slot))
+        residuals.withColumn("hour", local_hour(F.col(slot), tz))
         .withColumn("residual_sd", F.stddev_samp("residual").over(same_hour))
         .withColumn(
             "is_deviation",
@@ -324,6 +435,50 @@ def month_end_projection(
     )
 
 
+def month_end_forecast(
+    hourly: DataFrame, keys: list[str], tariff: float, cutoff: Column, tz: str | Column = "UTC",
+    slot: str = "slot_ts", value: str = "kwh",
+) -> DataFrame:
+    """Cost of the month of each key's ``cutoff`` (an instant, its own for every row of a key): what was used in the month
+    before the cutoff, and for each hour that is left the mean of that hour of day over all days before it.
+
+    Days and hours are those of the clock of ``tz``. A day before the cutoff without a row in an hour used no energy then;
+    days count from the key's first row. The hours left are counted per hour of day, not listed. A key without a row
+    before its cutoff has no row. Two shuffles, the second of 24 rows per key.
+    """
+    us, day_us = local(F.col(slot), tz), 24 * HOUR_US
+    end = local(cutoff, tz)
+    month = F.trunc(F.date_from_unix_date(F.floor(end / F.lit(day_us)).cast("int")), "month")
+    rows = hourly.select(
+        *keys, F.col(value).cast("double").alias("_kwh"), us.alias("_us"), end.alias("_end"), month.alias("_month"),
+        F.pmod(F.floor(us / F.lit(HOUR_US)), F.lit(24)).alias("_hour"),
+    ).where("_us < _end")
+    start = F.unix_date("_month") * F.lit(day_us)
+    by_hour = rows.groupBy(*keys, "_month", "_end", "_hour").agg(
+        F.sum("_kwh").alias("_kwh"), F.sum(F.when(F.col("_us") >= start, F.col("_kwh"))).alias("_now"), F.min("_us").alias("_first")
+    )
+    # days of an hour before the cutoff, from the first one that the key has; hours of it that are left in the month
+    first = F.min("_first").over(Window.partitionBy(*keys, "_month", "_end"))
+    begins = F.col("_hour") * F.lit(HOUR_US)
+    count = lambda at: F.ceil((at - begins) / F.lit(day_us))  # days whose hour begins before an instant
+    month_end = F.unix_date(F.add_months("_month", 1)) * F.lit(day_us)
+    days = count(F.col("_end")) - count(F.col("_first_of_key") - F.pmod(F.col("_first_of_key"), F.lit(day_us)))
+    left = count(month_end) - count(F.col("_end"))
+    return (
+        by_hour.withColumn("_first_of_key", first)
+        .groupBy(*keys, "_month")
+        .agg(
+            F.coalesce(F.sum("_now"), F.lit(0.0)).alias("kwh_to_date"),
+            F.sum(F.col("_kwh") / days * left).alias("kwh_ahead"),
+        )
+        .select(
+            *keys, F.date_format("_month", "yyyy-MM").alias("month"), "kwh_to_date", "kwh_ahead",
+            (F.col("kwh_to_date") * F.lit(float(tariff))).alias("cost_to_date"),
+            ((F.col("kwh_to_date") + F.col("kwh_ahead")) * F.lit(float(tariff))).alias("projected_cost"),
+        )
+    )
+
+
 def best_hours(profile: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
     """The ``k`` hours of day with the lowest mean load; ties go to the earlier hour."""
     by_load = Window.partitionBy(*keys).orderBy("mean_kwh", "hour")
@@ -331,15 +486,16 @@ def best_hours(profile: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
 
 
 def always_on(
-    hourly: DataFrame, keys: list[str], floor: float, threshold: float, slot: str = "slot_ts", value: str = "kwh"
+    hourly: DataFrame, keys: list[str], floor: float, threshold: float, slot: str = "slot_ts", value: str = "kwh",
+    tz: str | Column | None = None,
 ) -> DataFrame:
-    """Share of a day's 24 hours with a load above ``floor``; flagged from ``threshold`` on.
+    """Share of a local day's 24 hours with a load above ``floor``; flagged from ``threshold`` on.
 
     Hours without a row are below the floor, so no grid has to be built.
     """
     active = F.sum((F.col(value) > F.lit(floor)).cast("int"))
     return (
-        hourly.groupBy(*keys, F.to_date(slot).alias("day"))
+        hourly.groupBy(*keys, local_date(F.col(slot), tz).alias("day"))
         .agg(F.coalesce(active, F.lit(0)).alias("active_hours"))
         .withColumn("on_share", F.col("active_hours") / F.lit(24.0))
         .withColumn("is_always_on", F.col("on_share") >= F.lit(threshold))

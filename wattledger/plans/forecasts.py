@@ -20,7 +20,6 @@ from wattledger.operators.forecast import (
     range_check as check_range,
     risk_drivers as drivers_of,
     seasonal_ar1 as fit_ar1,
-    seasonal_arx as fit_arx,
     seasonal_naive as naive,
     with_residuals,
 )
@@ -124,20 +123,6 @@ def seasonal_ar1(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
-def seasonal_arx(spark: SparkSession, folder: str) -> DataFrame:
-    """Two lags plus a weekend flag and the time of day; no SQL form (least squares)."""
-    exog = {
-        "weekend": lambda ts: F.dayofweek(ts).isin(1, 7).cast("double"),
-        "evening": lambda ts: F.hour(ts).between(18, 22).cast("double"),
-    }
-    ahead = fit_arx(appliance_hours(spark, folder), ["appliance"], exog, lags=2)
-    return ahead.select(
-        "appliance", "n_rows", "step", iso(F.col("slot_ts")).alias("slot"), F.round("forecast_kwh", 6).alias("forecast_kwh"),
-        *[F.round(F.col("coefficients")[i], 6).alias(n) for i, n in enumerate(["c", "phi1", "phi2", "weekend", "evening"])],
-    )
-
-
 RESIDUALS_SQL = f"""{DENSE_SQL},
 rs AS (SELECT a.appliance, a.slot_ts, a.kwh AS actual_kwh, f.kwh AS forecast_kwh, a.kwh - f.kwh AS residual
   FROM y a JOIN y f ON f.appliance = a.appliance AND a.slot_ts = f.slot_ts + INTERVAL 24 HOUR)"""

@@ -21,11 +21,6 @@ from wattledger.streaming.run import stream_events
 LARGE_BATCH = 256 << 30
 
 
-def _stream(spark: SparkSession, folder: str, **limits: int) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return stream_events(spark, folder, **limits)
-
-
 @query(
     f"""WITH {READINGS_SQL}, m AS (SELECT MAX(ts) - INTERVAL 10 MINUTE AS mark FROM r)
 SELECT device_id, strftime(date_trunc('hour', ts), {ISO}) AS slot, CAST(SUM(kwh) AS DOUBLE) AS kwh, COUNT(*) AS n_readings
@@ -33,7 +28,7 @@ FROM r CROSS JOIN m WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark GROUP
 )
 def stream_hourly(spark: SparkSession, folder: str) -> DataFrame:
     """Closed hours only: the last hour stays open until ten minutes after its end."""
-    rows = _stream(spark, folder).select(
+    rows = stream_events(spark, folder).select(
         F.col("user_id").alias("device_id"), "ts", F.col("value").cast("decimal(18,2)").alias("kwh")
     )
     stored = hourly_sums(rows, ["device_id"]).filter("is_closed")
@@ -51,14 +46,14 @@ INTERVAL_COLUMNS = ["event_id", "device_id", "interval_seconds", "kwh_interval_k
 
 
 def _counters(spark: SparkSession, folder: str, **limits: int) -> DataFrame:
-    return _stream(spark, folder, **limits).select(
+    return stream_events(spark, folder, **limits).select(
         "event_id", F.col("user_id").alias("device_id"), "ts", F.col("value").alias("kwh_total"), level().cast("double").alias("power_w")
     )
 
 
 def _alerts(spark: SparkSession, folder: str, **limits: int) -> DataFrame:
     kind = F.when(F.col("value") >= 80, F.lit("critical")).when(F.col("value") >= 40, F.lit("warning"))
-    return _stream(spark, folder, **limits).select("event_id", F.col("user_id").alias("household"), "ts", kind.alias("alert_type"))
+    return stream_events(spark, folder, **limits).select("event_id", F.col("user_id").alias("household"), "ts", kind.alias("alert_type"))
 
 
 # Meters and the mailer may deliver up to a billing period and a half late; what comes later still has no result.

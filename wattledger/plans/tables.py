@@ -19,7 +19,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Meter events; the wall-clock times are read as UTC instants."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.schema(EVENTS).parquet(f"{folder}/events.parquet")
 
 

@@ -43,3 +43,18 @@ def write_alert_outbox(alerts: DataFrame, path: str) -> None:
 def write_outbox_batch(alerts: DataFrame, batch_id: int, path: str) -> None:
     """Streaming form: a micro-batch owns one folder, so running it again replaces its rows."""
     alerts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def write_bucketed_readings(
+    df: DataFrame, name: str, buckets: int, device: str = "device_id", ts: str = "ts", path: str | None = None
+) -> None:
+    """Readings as a catalog table in buckets of devices, each sorted by device and time.
+
+    What works per device (the reading before, hourly sums, joins on the device) finds the rows of a device together, so it
+    needs no shuffle. All rows of a device are in one bucket; a device with more rows than a task can sort should be
+    written by ``write_readings``, whose ranges cut it.
+    """
+    writer = df.repartition(buckets, device).sortWithinPartitions(device, ts).write.mode("overwrite").format("parquet")
+    if path is not None:
+        writer = writer.option("path", path)  # else below the warehouse
+    writer.bucketBy(buckets, device).sortBy(device, ts).saveAsTable(name)
