@@ -169,6 +169,69 @@ def test_toxicity_of_words_set_apart(spark):
     assert {i: got[i].predicted for i, _, _ in extra} == {i: y for i, _, y in extra}
 
 
+PLAIN_DISGUISES = [
+    "you m0r0n!", "m0r0n!!!", "mmoorroonn", "m\to\tr\to\tn", "m\no\nr\no\nn", "m    o    r    o    n", "m\u200bo\u200br\u200bo\u200bn", "mo ron", "sc um ba g",
+    "m/o/r/o/n", "m,o,r,o,n", "s=c=u=m=b=a=g", "a s s", "a  s\ts", "1d!0t", "sc|_|mbag scvm m.0.r.0.n", "dado m o r o n s", "wor\xadth\xadless", "m\x00o\x00r\x00o\x00n",
+]
+HARMLESS = ["babu da do ka la", "no rom mo la", "b/a/b/u", "as la so", "12,500 3/4 da=do", "mama papa dada", "bb aa bb uu", "l i o n", "an us er"]
+
+
+def test_plain_disguises(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        w, y = words(rng, rng.randint(5, 60)), i % 4 == 0
+        if y:
+            for _ in range(2):
+                w.insert(rng.randrange(len(w)), rng.choice([*INSULTS, "ass"]))
+        rows.append((i, " ".join(w), int(y)))
+    extra = [(1000 + k, f"babu dado {t} kala", 1) for k, t in enumerate(PLAIN_DISGUISES)] + [(2000 + k, f"babu {t} kala", 0) for k, t in enumerate(HARMLESS)]
+    docs = documents(spark, [(i, t) for i, t, _ in rows + extra])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(spark, docs, labels).collect()}
+    assert [t for i, t, y in extra if got[i] != y] == []
+
+
+def test_decoding_is_the_best_of_all_readings():
+    rng = np.random.default_rng(3)
+    restorer = toxicity.Restorer(toxicity.language_model(rng.integers(0, 50, toxicity.A**3)))
+
+    def every(token, at=0, state=(0, 0), before=""):  # price and letters of every reading
+        if at == len(token):
+            yield restorer.model[state[0]][state[1]][0], ""
+            return
+        c = token[at]
+        code = int(toxicity.CODES[ord(c)]) if ord(c) < toxicity.CODES.size else 0
+        options = ([(code, 0.0)] if code else []) + [(toxicity.LETTERS.index(x) + 1, toxicity.SUBSTITUTION) for x in toxicity.READINGS.get(c, "")]
+        if not c.isalnum() or c == before or not options:
+            for score, text in every(token, at + 1, state, c):
+                yield score - toxicity.DROP, ("" if c.isalnum() else ".") + text
+        for code, price in options:
+            for score, text in every(token, at + 1, (state[1], code), c):
+                yield score - price + restorer.model[state[0]][state[1]][code], toxicity.LETTERS[code - 1] + text
+
+    for token in ["m0r0n!", "m.0r-0n", "1d!0t", "mmoorroonn", "b6!!1+x", "b-a-s-e", "(|asses", "h4ll0o0"]:
+        best = max(every(token))
+        assert best[1] == restorer._readings(token)[0]
+
+
+def test_hints_miss_no_disguise():
+    hints = toxicity.Hints(["=moron", "scum", "=ass"])
+    assert all(hints.any(t, whole=True) for t in PLAIN_DISGUISES if "m" in t and "d!" not in t and "th" not in t)
+    assert not toxicity.Hints(["=moron"]).any("babu dado kala") and not toxicity.Hints([]).any("moron")
+    assert toxicity.Hints(["=worthless"]).any("w0rthle55", whole=True)
+
+
+def test_the_lexicon_does_not_depend_on_the_size_of_the_sample(spark):
+    """A word in seven toxic texts and no clean one is learned whatever the number of others."""
+    for n in (100, 2000):
+        rng = random.Random(n)
+        rows = [(" ".join(words(rng, 12)) + (" zorbling" if i < 7 else ""), int(i % 2 == 0 or i < 7), 1.0) for i in range(n)]
+        sample = spark.createDataFrame(rows, "text string, y int, w double")
+        found = toxicity.lexicon(sample, toxicity.language_model(np.ones(toxicity.A**3)))
+        assert "=zorbling" in found
+
+
 def test_windows_of_long_tokens():
     token = ".".join("abcdefghijklmnopqrstuvwxyz" * 20)
     windows = toxicity.Restorer.windows(token)

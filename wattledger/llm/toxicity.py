@@ -2,19 +2,24 @@
 
 1. Letter trigrams are counted over all texts (one pass, counts added per task) and give a smoothed character
    language model.
-2. A disguised token (digits or symbols for letters, letters set apart by spaces or marks, letters repeated) is a
-   lattice of readings. Viterbi decoding under the language model, with a price for each substitution and dropped
-   character, gives the likeliest readings. Where marks or spaces set parts apart, words may start and end at any part,
-   so scoring looks up every stretch of parts ("a m o r o n", "you-mo-ron"). Tokens above ``WINDOW`` characters are decoded in
-   windows that overlap by half; an unbroken part gives its first ``WINDOW`` characters, which hold all its beginnings.
+2. A disguised token (digits or symbols for letters, letters set apart by marks of any kind, letters repeated) and a
+   stretch of parts of up to three characters set apart by white space is a lattice of readings: a character may be a
+   letter, stand for one at a price, or be dropped at a price if it is no letter or digit or repeats its neighbour.
+   Viterbi decoding under the language model, over all pairs of letters, gives the likeliest reading for each pair of last
+   letters; the ``keep`` best of them count. Where marks or spaces set parts apart, words may start and end at any part, so
+   scoring looks up every stretch of parts ("a m o r o n", "you-mo-ron"). Tokens above ``WINDOW`` characters are
+   decoded in windows of whole parts that overlap by half; a part without marks is decoded whole, however long.
+   Scoring decodes only what may hide a word of the lexicon: letters are put into classes that no reading leaves, repetition
+   and marks are removed, and the first four classes of a lexicon word must be there.
 3. Words and word beginnings of restored texts are counted per class over a bounded sample of labelled training
    documents (``per_class`` of each class). Features whose share of toxic documents has a lower confidence bound
-   above ``least_share`` form the lexicon.
+   above ``least_share`` form the lexicon: at the given bound a word in no clean text needs ``LEAST_SUPPORT`` toxic ones or
+   a few more, whatever the size of the sample.
 4. A text's score is a logistic function of its three strongest tokens and its length. Its weights are fitted on one
    half of the sample with a lexicon of the other half, so that chance words do not count for more than they are worth.
 
 Results: null and empty texts have no tokens and get the score of that; very long texts are read whole; repeated rows are scored
-alike; without labels of both classes every score is the same and below 0.01; a null id is not held out; an empty table gives
+alike; of a labelled id with several texts the first in order is learned from; without labels of both classes every score is the same and below 0.01; a null id is not held out; an empty table gives
 an empty table; other columns are not inputs.
 """
 
@@ -25,6 +30,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from math import log, sqrt
 
 import numpy as np
@@ -44,14 +50,14 @@ READINGS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "%": "o",
 }
-MARKS = ".-_*~'`^ "
 SUBSTITUTION, DROP = 1.0, 0.7  # prices in nats
-SPACED = re.compile(r"(?<!\S)\S(?: {1,3}\S){3,}(?!\S)")
+APART = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3})+(?!\S)")
 RUN = re.compile(r"(.)\1\1")
 LONG_RUN = re.compile(r"(.)\1{3,}")
-BREAK = re.compile(f"[{re.escape(MARKS)}]+")
-CONTRACTED = re.compile(r"[^\W\d_]+['`](?:ll|re|ve|s|t|d|m)")  # he'll is not hell
+BREAK = re.compile(r"[\W_]+")
+CONTRACTED = re.compile(r"[^\W\d_]+['`\u2019](?:ll|re|ve|s|t|d|m)")  # he'll is not hell
 WINDOW = 96
+LEAST_SUPPORT = 3  # toxic texts
 EDGES = ".,;:!?\"'()[]{}<>&#*%$|~_-+=/\\`^"
 
 
@@ -72,6 +78,73 @@ def codes_of(text: str) -> np.ndarray:
     return np.where(points < CODES.size, CODES[np.minimum(points, CODES.size - 1)], 0)
 
 
+def _classes(read_symbols: bool) -> np.ndarray:
+    """Code point -> 1..26, the class of its letter, or 0: letters that one character may stand for are one class."""
+    together = {c: c for c in LETTERS}
+    for letters in READINGS.values():
+        for other in letters[1:]:
+            together[other] = together[letters[0]]
+    top = max(CODES.size, *(ord(c) + 1 for c in READINGS))
+    table = np.zeros(top, np.uint8)
+    for point in range(CODES.size):
+        if CODES[point]:
+            table[point] = LETTERS.index(together[LETTERS[CODES[point] - 1]]) + 1
+    for c, letters in READINGS.items():
+        if c.isalnum() or read_symbols:
+            table[ord(c)] = LETTERS.index(together[letters[0]]) + 1
+    return table
+
+
+CLASSES = _classes(True), _classes(False)  # symbols read as letters; symbols dropped
+
+
+def skeleton(text: str, classes: np.ndarray) -> np.ndarray:
+    """The classes of a text's letters, without repetition."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    found = classes[np.where(points < classes.size, points, 32)]  # a blank has no class
+    found = found[found > 0]
+    return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
+
+
+class Hints:
+    """Whether a text may hide a word of the lexicon: a test that is sometimes wrongly true, never wrongly false as long as
+    all its symbols are letters, or all are marks, where the first four classes stand."""
+
+    def __init__(self, features):
+        self.words: dict[bytes, set[bytes]] = defaultdict(set)
+        self.heads = np.zeros(32**4, bool)
+        self.short: set[bytes] = set()
+        for feature in features:
+            word = skeleton(feature.removeprefix("="), CLASSES[0])
+            if len(word) < 4:
+                self.short.add(word.tobytes())
+            else:
+                self.heads[self._numbers(word)[0]] = True
+                self.words[word[:4].tobytes()].add(word.tobytes())
+        self.short.discard(b"")
+
+    @staticmethod
+    def _numbers(s: np.ndarray) -> np.ndarray:
+        w = s.astype(np.int32)
+        return ((w[:-3] << 5 | w[1:-2]) << 5 | w[2:-1]) << 5 | w[3:]
+
+    def any(self, text: str, whole: bool = False) -> bool:
+        """``whole``: all classes of a word must be there, not the first four only."""
+        for classes in CLASSES:
+            s = skeleton(text, classes)
+            if self.short and any(w in s.tobytes() for w in self.short):
+                return True
+            if len(s) < 4:
+                continue
+            at = np.flatnonzero(self.heads[self._numbers(s)])
+            if len(at) and not whole:
+                return True
+            data = s.tobytes() if len(at) else b""
+            if any(data.startswith(w, i) for i in at.tolist() for w in self.words[data[i : i + 4]]):
+                return True
+        return False
+
+
 def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Letter trigrams of all texts; the table has 27 ** 3 cells whatever the input."""
 
@@ -105,29 +178,34 @@ def language_model(counts: np.ndarray, weight: float = 20.0) -> np.ndarray:
 class Restorer:
     """Readings of disguised tokens."""
 
-    def __init__(self, model: np.ndarray, keep: int = 4, beam: int = 64):
-        self.model, self.keep, self.beam = model.tolist(), keep, beam
+    def __init__(self, model: np.ndarray, keep: int = 4):
+        self.model, self.keep = model.tolist(), keep
 
     @staticmethod
     def disguised(token: str) -> bool:
         """Whether a token, without marks at its edges, may hide letters."""
-        if not any(c.isalpha() or c in READINGS for c in token):
-            return False
         if token.isalpha():
-            return bool(RUN.search(token))
+            return bool(RUN.search(token)) or Restorer.doubled(token)
         letters = sum(c.isalpha() for c in token)
         swapped = sum(c in READINGS for c in token)
-        marks = sum(c in MARKS for c in token)
-        if letters + swapped + marks < len(token):
+        if not letters + swapped:
             return False
+        marks = sum(not c.isalnum() for c in token)
         return (swapped > 0 and letters > 0) or (marks > 0 and letters >= 3 and not CONTRACTED.fullmatch(token)) or bool(RUN.search(token))
 
+    @staticmethod
+    def doubled(token: str) -> bool:
+        """Whether at least half of the letters are repeated, and more than one."""
+        runs = [len(list(g)) for _, g in groupby(token)]
+        twice = sum(n > 1 for n in runs)
+        return twice > 1 and 2 * twice >= len(runs)
+
     @staticmethod
     def windows(token: str) -> list[str]:
         """The token, or overlapping windows of whole parts; a stretch of half a window is whole in one of them."""
         if len(token) <= WINDOW:
             return [token]
-        parts = [p[:WINDOW] for p in BREAK.split(LONG_RUN.sub(r"\1\1\1", token)) if p]
+        parts = [p for p in BREAK.split(LONG_RUN.sub(r"\1\1\1", token)) if p]
         out, i, j = [], 0, 0
         while j < len(parts):
             j, size = i, 0
@@ -146,33 +224,46 @@ class Restorer:
         return [r.split(".") for window in self.windows(token) for r in self._readings(window)]
 
     def _readings(self, token: str) -> list[str]:
-        """Letters, with a dot where marks were."""
-        marks = sum(c in MARKS for c in token)
-        if 0 < marks < 3 and not any(c in READINGS for c in token) and not RUN.search(token):  # nothing to choose
+        """Letters, with a dot where marks were dropped."""
+        if not any(c in READINGS for c in token) and not any(a == b for a, b in zip(token, token[1:])):  # nothing to choose
             codes = ((c, int(CODES[ord(c)]) if ord(c) < CODES.size else 0) for c in token)
-            return ["".join(LETTERS[code - 1] if code else "." if c in MARKS else "" for c, code in codes)]
-        states = {(0, 0): (0.0, "")}
+            found = "".join(LETTERS[code - 1] if code else "" if c.isalnum() else "." for c, code in codes)
+            return [found] if len(found) - found.count(".") > 2 else []
         model, before = self.model, ""
+        states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+        steps: list[dict] = []  # state -> the state before and what was written
         for c in token:
             options: list[tuple[int, float]] = []
             code = int(CODES[ord(c)]) if ord(c) < CODES.size else 0
             if code:
                 options.append((code, 0.0))
             options += [(LETTERS.index(x) + 1, SUBSTITUTION) for x in READINGS.get(c, "")]
-            drop = c in MARKS or c == before or not options
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
-                if drop and ((a, b) not in after or after[a, b][0] < score - DROP):
-                    after[a, b] = (score - DROP, text + "." if c in MARKS else text)
+            mark = not c.isalnum()
+            after: dict[tuple[int, int], float] = {}
+            back: dict = {}
+            for state, score in states.items():
+                a, b = state
+                if (mark or c == before or not options) and after.get(state, -1e300) < score - DROP:
+                    after[state] = score - DROP
+                    back[state] = (state, "." if mark else "")
                 for code, price in options:
                     new = score - price + model[a][b][code]
-                    if (b, code) not in after or after[b, code][0] < new:
-                        after[b, code] = (new, text + LETTERS[code - 1])
-            if len(after) > self.beam:
-                after = dict(sorted(after.items(), key=lambda kv: -kv[1][0])[: self.beam])
+                    if after.get((b, code), -1e300) < new:
+                        after[b, code] = new
+                        back[b, code] = (state, LETTERS[code - 1])
+            steps.append(back)
             states, before = after, c
-        ends = sorted(((s + model[a][b][0], t) for (a, b), (s, t) in states.items() if len(t) - t.count(".") > 2), reverse=True)
-        return list(dict.fromkeys(t for _, t in ends))[: self.keep]
+        ends = sorted(((score + model[a][b][0], (a, b)) for (a, b), score in states.items()), reverse=True)
+        out: list[str] = []
+        for _, state in ends[: self.keep]:
+            written = []
+            for back in reversed(steps):
+                state, letter = back[state]
+                written.append(letter)
+            text = "".join(reversed(written))
+            if len(text) - text.count(".") > 2:
+                out.append(text)
+        return list(dict.fromkeys(out))
 
 
 def features_of(word: str) -> list[str]:
@@ -180,16 +271,18 @@ def features_of(word: str) -> list[str]:
     return [f"={word}", *(word[:k] for k in range(4, min(len(word), 9)))]
 
 
-def words_behind(token: str, restorer: Restorer) -> tuple[list[str], list[list[str]]]:
+def words_behind(token: str, restorer: Restorer, hints: Hints | None = None) -> tuple[list[str], list[list[str]]]:
     """A lower-case token without marks at its edges and what it may hide, as words and as parts of words."""
     bare = token.strip(EDGES)
     inner = token.strip(".,;:?\"'()[]{}&#*%~_-=/\\`^")
-    hidden = restorer.readings(inner) if inner and Restorer.disguised(inner) else []
+    hidden = []
+    if inner and Restorer.disguised(inner) and (hints is None or hints.any(inner)):
+        hidden = restorer.readings(inner)
     return [*([bare] if bare else []), *dict.fromkeys("".join(parts) for parts in hidden)], hidden
 
 
-def features_within(parts: list[str], longest: int) -> Iterator[str]:
-    """Features of all words that start and end between parts."""
+def features_within(parts: list[str], longest: int, beginnings: bool = True) -> Iterator[str]:
+    """Features of all words that start and end between parts; their beginnings too, unless told otherwise."""
     parts = [p for p in parts if p]
     for i in range(len(parts) if len(parts) > 1 else 0):
         word = ""
@@ -199,19 +292,21 @@ def features_within(parts: list[str], longest: int) -> Iterator[str]:
                 yield f"={word}"
             if len(word) > longest:
                 break
-        yield from (word[:k] for k in range(4, min(len(word), 9)))
+        if beginnings:
+            yield from (word[:k] for k in range(4, min(len(word), 9)))
 
 
 def tokens_of(text: str) -> set[str]:
-    low = text.lower()
-    tokens = set(low.split())
-    for m in SPACED.finditer(low):
-        tokens.add(".".join(m[0].split()))
-    return tokens
+    return set(text.lower().split())
+
+
+def stretches_of(text: str) -> set[str]:
+    """Parts of one to three characters set apart by white space, joined by dots; long stretches in overlapping windows."""
+    return {".".join(m[0].split()) for m in APART.finditer(text.lower())}
 
 
 def lexicon(
-    sample: DataFrame, model: np.ndarray, least_share: float = LEAST_SHARE, least_support: float = 0.005, z: float = 2.0
+    sample: DataFrame, model: np.ndarray, least_share: float = LEAST_SHARE, support: int = LEAST_SUPPORT, z: float = 2.0
 ) -> dict[str, float]:
     """Features of the sample (text, y, w) that mark toxic texts, with the lower bounds of their shares."""
 
@@ -251,14 +346,15 @@ def lexicon(
                     yield counted()
         yield counted()
 
-    toxic = sample.where("y = 1").count()
-    support = max(3, int(least_support * toxic))
+    p = F.col("toxic") / (F.col("clean") + F.col("toxic"))
+    size = F.col("n") * (F.col("clean") + F.col("toxic")) / F.col("toxic")
+    bound = (p + z * z / (2 * size) - z * F.sqrt(p * (1 - p) / size + z * z / (4 * size * size))) / (1 + z * z / size)
     summed = (
         sample.select("text", "y", "w").mapInArrow(run, "feature string, clean double, toxic double, n bigint")
         .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-        .where((F.col("n") >= support) & (F.col("toxic") > F.lit(least_share) * (F.col("clean") + F.col("toxic"))))
+        .where(F.col("n") >= support).where(bound > least_share)
     )
-    found = summed.collect()  # each is in one in two hundred of the sampled toxic texts
+    found = summed.collect()  # features of the bounded sample that the bound lets pass
     return _pruned([tuple(r) for r in found], least_share, support, z)
 
 
@@ -295,10 +391,16 @@ class Strengths(dict):
     def __init__(self, shares: dict[str, float], model: np.ndarray, limit: int = 150_000):
         self.shares, self.restorer, self.limit = shares, Restorer(model), limit
         self.longest = max([9, *(len(f) for f in shares)])
+        self.hints = Hints(shares)
+        # words set apart are looked up whole, so only whole words of the lexicon can be found there
+        self.whole = Hints(f for f in shares if f.startswith("="))
+
+    def _strength(self, best: float) -> float:
+        return log(best / (1 - best)) - LEAST_ODDS if best else 0.0
 
     def __missing__(self, token: str) -> float:
         best = 0.0
-        words, hidden = words_behind(token, self.restorer)
+        words, hidden = words_behind(token, self.restorer, self.hints)
         for word in words:
             for f in features_of(word):
                 best = max(best, self.shares.get(f, 0.0))
@@ -307,13 +409,32 @@ class Strengths(dict):
                 best = max(best, self.shares.get(f, 0.0))
         if len(self) >= self.limit:
             self.clear()
-        value = self[token] = log(best / (1 - best)) - LEAST_ODDS if best else 0.0
+        value = self[token] = self._strength(best)
         return value
 
+    def apart(self, text: str) -> list[float]:
+        """Strengths of what stretches of short parts hide. Beginnings count only where all parts are single letters, as
+        neighbouring short words would otherwise begin many a word."""
+        if not self.hints.any(text, whole=True):
+            return []
+        out = []
+        for stretch in stretches_of(text):
+            letters = all(len(p.strip(EDGES)) <= 1 for p in stretch.split("."))
+            if not (self.hints if letters else self.whole).any(stretch, whole=True):
+                continue
+            best = 0.0
+            for parts in self.restorer.readings(stretch):
+                for f in features_within(parts, self.longest, beginnings=letters):
+                    best = max(best, self.shares.get(f, 0.0))
+            if best:
+                out.append(self._strength(best))
+        return out
+
     def numbers(self, text: str | None) -> list[float]:
         """1, the three largest strengths, the logarithm of the number of different tokens."""
         tokens = tokens_of(text) if text else ()
-        top = sorted((p for p in map(self.__getitem__, tokens) if p), reverse=True)[:3]
+        found = [p for p in map(self.__getitem__, tokens) if p]
+        top = sorted([*found, *(self.apart(text) if text else ())], reverse=True)[:3]
         return [1.0, *top, *[0.0] * (3 - len(top)), log(1 + len(tokens))]
 
 
@@ -365,7 +486,7 @@ def train(
     chosen = sample_labelled(labels, label, per_class, train_rows)
     texts = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # at most 2 * per_class rows of an id, a class and a weight
-    sample = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("w").alias("w"))
     sample = sample.select("text", "y", "w", (F.xxhash64("text") % 2 == 0).alias("half")).persist()
     try:
         numbers = _sample_numbers(sample.where(~F.col("half")), lexicon(sample.where("half"), letters), letters)
