@@ -102,6 +102,30 @@ def test_short_values_long_names_and_tabs(vocabulary):
     assert scanner.added("key" * 100_000) == []  # in proportion to the length
 
 
+ORDINARY = [
+    "author: Kowalczyk", "Authors: Szymborska", "opinion: Zwölferrat", "monkey = Makak-Affe", "passage: Überfahrt", "The spinach is Blattspinat", "keyboard: qwertyuiop1234",
+    "tokenizer: BertWordPiece", "secretary: Wiśniewska", "compass = Nordnordost", "The key is Verständnis,", "bypass: Umgehungsstraße", "pin: Wimmelbild", "hockey is Eishockey",
+    "see http://example.com/a:b@c", "a bearer certificate", "basic understanding", "--keyword searching",
+]
+CREDENTIALS = [
+    ("userPwd=x8Kd92mQzL", "x8Kd92mQzL"), ("X-Auth-Key: q7x2vzk9", "q7x2vzk9"), ("mysql --password x8Kd92mQzL -u me", "x8Kd92mQzL"), ("<db.pass>x8Kd92mQzL</db.pass>", "x8Kd92mQzL"),
+    ("postgres://me:x8Kd92mQzL@host/db", "x8Kd92mQzL"), ("Authorization: Bearer q7x2vzk9Pm", "q7x2vzk9Pm"), ("accessKey => q7x2vzk9Pm", "q7x2vzk9Pm"), ("pin is xkqvbzwj", "xkqvbzwj"),
+    ("DB_PASS='x8Kd92mQzL'", "x8Kd92mQzL"), ("login: zqxjkvbp", "zqxjkvbp"), ("ssh-key = q7x2vzk9Pm", "q7x2vzk9Pm"), ("secret is correcthorsebatterystaple", "correcthorsebatterystaple"),
+]
+
+
+def test_names_and_words_that_are_no_secrets(vocabulary):
+    scanner = secrets.Scanner(vocabulary, 10.0)
+    assert [t for t in ORDINARY if scanner.scan(t)[1]] == []
+    for text, value in CREDENTIALS:
+        base, spans = scanner.scan(text)
+        assert base == [] and [text[a:b] for a, b, *_ in spans] == [value], text
+    # the base has these already
+    base, spans = scanner.scan("password = x8Kd92mQzL and token: q7x2vzk9Pm")
+    assert spans == base and len(base) == 2
+    assert scanner.scan("password = x8Kd92mQzL#Qq9")[1][1][2] == "guess"  # goes on after the base span
+
+
 def test_guess_cost_is_least(vocabulary):
     guess = secrets.GuessCost(secrets.word_ranks(vocabulary))
 

@@ -260,13 +260,14 @@ def _reached(x: pd.DataFrame, y: pd.DataFrame, band: int, percent: int, same: bo
 
 
 def _blocks_compared(members: DataFrame, sets: DataFrame, block: int, percent: int) -> DataFrame:
-    """Linked pairs (a, b) of different components of members (bucket, band, node, component).
+    """Linked pairs (a, b) of different components of members (bucket, n, band, node, component); n: rows of the bucket.
 
-    A bucket of n members has ceil(n / block) blocks; every pair of its blocks is one group of at most two blocks.
-    The sets (node, buckets, words) join last, so that they are shuffled to the groups and no further.
+    A bucket of n members has ceil(n / block) blocks; every pair of its blocks is one group of at most two blocks. Members
+    are dealt by node before each is copied to its blocks, so the copies of a large bucket are made by many tasks. The
+    sets (node, buckets, words) join last, so that they are shuffled to the groups and no further.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
-    dealt = members.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    dealt = members.withColumn("n_blocks", F.ceil(F.col("n") / block).cast("int"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).repartition(F.xxhash64("bucket", "node"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     cells = dealt.select("*", other).select(
         "bucket", "band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "component"
@@ -318,7 +319,7 @@ def near_duplicates(
     labels = labels_of(joined_links)
 
     component = F.coalesce("component", "node").alias("component")
-    joined = members.where("n > 2").join(labels, "node", "left").select("bucket", "band", "node", component)
+    joined = members.where("n > 2").join(labels, "node", "left").select("bucket", "n", "band", "node", component)
     joined = scratch.keep(joined, "joined")
     split = joined.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     open_members = scratch.keep(joined.join(split.select("bucket"), "bucket"), "open")
@@ -327,6 +328,7 @@ def near_duplicates(
     rest = scratch.keep(_blocks_compared(open_members, sets, block, percent).join(agreed, ["a", "b"], "left_anti"), "rest")
     more = scratch.keep(_confirm(rest, _texts_of(rest, classes, docs, shingle), shingle, percent), "more")
 
+    scratch.drop(rest, open_members, joined, members, agreed)
     final = connected_components(joined_links.unionByName(more), scratch)
     linked = final.join(classes.select("node", "least_id"), "node")
     least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))

@@ -1,10 +1,15 @@
 """Secret scans: fixed patterns, and password guess costs of values in a credential context.
 
 The guess cost of a value is the least product of segment guesses over all its segmentations into dictionary
-words, dates, repeats, keyboard walks and brute-force characters, found by dynamic programming. A value after
-a credential word that no cheap segmentation explains is a secret (kind ``guess``): its cost is ``least_cost`` or more, or
+words, dates, repeats, keyboard walks and brute-force characters, found by dynamic programming. A value in a
+credential context that no cheap segmentation explains is a secret (kind ``guess``): its cost is ``least_cost`` or more, or
 at least ``BRUTE_SHARE`` of what brute force alone needs, so that short random values count too. Words and their ranks come
-from a public vocabulary file, ordered by the rank of their merges.
+from a public vocabulary file, ordered by the rank of their merges. A value of letters only that is no sequence of ``PHRASE`` such
+words, but whose letters follow each other as those of words do, is taken for a word that the file lacks, not a secret.
+
+Credential contexts are a name whose parts (at ``_``, ``-``, ``.``, digits and changes of case) hold a credential word, before
+``:``, ``=``, ``=>`` or ``is``; a command-line option or an element of such a name; the password of a URL; a bearer or basic
+token. ``author`` and ``opinion`` hold none. A value that lies in a base span is not reported a second time.
 
 Results: null and empty texts have no spans; very long texts are scanned whole, and a value's cost takes time in
 proportion to its length; repeated rows are scanned alike; an empty table gives an empty table; only the named
@@ -16,9 +21,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache
+import unicodedata
 from math import log10
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +39,26 @@ ASSIGN = re.compile(
 ASSIGN_WORDS = ("passw", "secret", "token", "api")  # a text without any of them has no match
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that are long enough
-# Words that announce a credential, with anything of the same name around them (db_password, X-Auth-Token).
-CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer", "login", "pin")
+# Words that announce a credential as a part of a name, and those that do so at the end of a part.
+NAME_WORDS = {
+    "pass", "pwd", "password", "passwd", "passphrase", "passcode", "secret", "token", "key", "apikey", "auth", "cred", "creds", "credential",
+    "credentials", "bearer", "login", "pin", "secrets", "tokens", "keys", "passwords",
+}
+NAME_ENDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "apikey", "accesskey", "secretkey", "privatekey", "authkey", "credential", "userpass", "dbpass")
+CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer", "basic", "login", "pin", "://")
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+HOLDS = r"(?=[A-Za-z0-9_.-]*?(?:pass|pwd|secret|token|key|auth|cred|bearer|login|pin))"  # tried once for each name
+VALUE = r"""([^\s"'<>,;]{6,})"""
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]*?(?:pass|pwd|secret|token|key|auth|cred|bearer|login|pin))"""  # once for each name
-    r"""[A-Za-z0-9_.-]++["']?(?:[ \t]*(?::=|=>|[:=])[ \t]*|[ \t]+is[ \t]+)["']?([^\s"'<>,;]{6,})""",
-    re.IGNORECASE,
+    rf"""(?<![A-Za-z0-9_.-]){HOLDS}([A-Za-z0-9_.-]++)["']?(?:[ \t]*(?::=|=>|[:=])[ \t]*|[ \t]+is[ \t]+)["']?{VALUE}""", re.IGNORECASE
 )
+OPTION = re.compile(rf"""(?<!\S)--?{HOLDS}([A-Za-z0-9_.-]++)[ \t]+["']?{VALUE}""", re.IGNORECASE)
+ELEMENT = re.compile(rf"<{HOLDS}([A-Za-z0-9_.-]++)>[ \t]*{VALUE}[ \t]*</", re.IGNORECASE)
+USER_INFO = re.compile(r"://[^\s/:@?#]{1,256}:([^\s/@]{6,})@")
+SCHEME = re.compile(r"(?<![A-Za-z0-9])(?:bearer|basic)[ \t]+([A-Za-z0-9+/_.~=-]{6,})", re.IGNORECASE)
 IS = re.compile(r"[ \t]is[ \t]")
 BRUTE_SHARE = 0.95
+PHRASE = 4  # so many words one after the other are a pass phrase, not a word
 KEY_ROWS = ["`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "qwertzuiop", "azertyuiop"]
 DATE = re.compile(
     r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?"
@@ -64,6 +81,43 @@ def _neighbours() -> set[str]:
     return out
 
 
+def is_credential_name(name: str) -> bool:
+    parts = [p.lower() for p in PARTS.findall(name)]
+    return any(p in NAME_WORDS or p.endswith(NAME_ENDS) for p in parts) or "apikey" in "".join(parts)
+
+
+class Letters:
+    """Whether letters follow each other as in the words of a vocabulary: pairs of neighbours, counted over its words."""
+
+    LONGEST = 20
+
+    def __init__(self, words):
+        counts = np.ones((27, 27))
+        for word in words:
+            at = self._codes(word)
+            np.add.at(counts, (at[:-1], at[1:]), 1)
+        self.log = np.log(counts / counts.sum(axis=1, keepdims=True))
+        scores = sorted(self.score(w) for w in words if len(w) >= 6)
+        self.least = scores[len(scores) // 50] if scores else 0.0  # all but one in fifty of the long words
+
+    @staticmethod
+    def _codes(word: str) -> np.ndarray:
+        plain = unicodedata.normalize("NFKD", word.lower().replace("ß", "ss").replace("ł", "l").replace("ø", "o"))
+        return np.array([0, *(ord(c) - 96 for c in plain if "a" <= c <= "z"), 0])
+
+    def score(self, word: str) -> float:
+        """Mean logarithm of the chance of a letter after its neighbour."""
+        at = self._codes(word)
+        return float(self.log[at[:-1], at[1:]].mean())
+
+    def like_a_word(self, value: str) -> bool:
+        """Letters only, but for hyphens inside and marks after them, in one case (a capital may begin a part)."""
+        parts = value.rstrip(".,;:!?)").replace("'", "-").replace("\u2019", "-").split("-")
+        if not all(p.isalpha() and len(p) <= self.LONGEST and (p.islower() or p.isupper() or p[1:].islower() or len(p) == 1) for p in parts):
+            return False
+        return all(self.score(p) >= self.least for p in parts if len(p) > 2)
+
+
 class GuessCost:
     """log10 of the guesses that the cheapest segmentation of a value needs."""
 
@@ -71,10 +125,9 @@ class GuessCost:
 
     def __init__(self, ranks: dict[str, int]):
         self.ranks, self.near = ranks, _neighbours()
-        self._kept = lru_cache(maxsize=50_000)(self._cost)
 
     def cost(self, value: str) -> float:
-        return self._kept(value) if len(value) <= 200 else self._cost(value)
+        return self.segments(value)[0]
 
     @staticmethod
     def alphabet(c: str) -> float:
@@ -89,9 +142,6 @@ class GuessCost:
         """log10 of the guesses of brute force alone."""
         return sum(self.alphabet(c) + (log10(2) if o != c else 0.0) for o, c in zip(value, value.lower()))
 
-    def _cost(self, value: str) -> float:
-        return self.segments(value)[0]
-
     def segments(self, value: str) -> tuple[float, list[tuple[int, int, str]]]:
         """The least cost and its segments (start, end, kind)."""
         n = len(value)
@@ -141,7 +191,8 @@ class GuessCost:
 
 class Scanner:
     def __init__(self, vocabulary: bytes, least_cost: float):
-        self.guess = GuessCost(word_ranks(vocabulary))
+        ranks = word_ranks(vocabulary)
+        self.guess, self.letters = GuessCost(ranks), Letters([w for w in ranks if w.isascii()])
         self.least_cost = least_cost
 
     def base(self, text: str) -> list[Span]:
@@ -158,21 +209,35 @@ class Scanner:
     def added(self, text: str) -> list[Span]:
         """Values in a credential context that cost ``10 ** least_cost`` guesses, or nearly all that brute force needs."""
         low = text.lower()
-        if not any(w in low for w in CONTEXT_WORDS) or not (":" in low or "=" in low or IS.search(low)):
+        if not any(w in low for w in CONTEXT_WORDS):
             return []
-        return [
-            (m.start(1), m.end(1), "guess", 3)
-            for m in CONTEXT.finditer(text)
-            if self.secret(m[1])
-        ]
+        found = []
+        for pattern, named, sign in ((CONTEXT, True, ""), (OPTION, True, "-"), (ELEMENT, True, "</"), (USER_INFO, False, "://"), (SCHEME, False, "")):
+            if sign not in low or (pattern is CONTEXT and not (":" in low or "=" in low or IS.search(low))):
+                continue
+            for m in pattern.finditer(text):
+                if (not named or is_credential_name(m[1])) and self.secret(m[2] if named else m[1]):
+                    found.append(m.span(2 if named else 1))
+        return [(start, end, "guess", 3) for start, end in sorted(set(found))]
 
     def secret(self, value: str) -> bool:
-        cost = self.guess.cost(value)
-        return cost >= self.least_cost or cost >= BRUTE_SHARE * self.guess.brute(value)
+        cost, segments = self.guess.segments(value)
+        if cost < self.least_cost and cost < BRUTE_SHARE * self.guess.brute(value):
+            return False
+        phrase = len(segments) >= PHRASE and all(kind == "word" for *_, kind in segments)
+        return phrase or not self.letters.like_a_word(value)
 
     def scan(self, text: str) -> tuple[list[Span], list[Span]]:
+        """Base spans, and all spans; an added one that lies in a base span says nothing new."""
         base = self.base(text)
-        return base, sorted(base + self.added(text), key=lambda s: (s[0], s[3]))
+        added, k, reach = [], 0, -1
+        for span in self.added(text):
+            while k < len(base) and base[k][0] <= span[0]:
+                reach = max(reach, base[k][1])
+                k += 1
+            if span[1] > reach:
+                added.append(span)
+        return base, sorted(base + added, key=lambda s: (s[0], s[3]))
 
 
 _SCANNERS: dict[tuple[int, float], Scanner] = {}
