@@ -143,6 +143,51 @@ def test_cover_tree_invariants():
     assert sorted(tree.order) == list(range(300))
 
 
+def clustered(n_clusters=60, size=40, dim=16, spread=0.02, seed=9):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n_clusters, dim))
+    x = np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), size, axis=0)
+    return (x + rng.normal(0, spread, x.shape)).astype(np.float32)
+
+
+def test_cover_tree_prunes_clusters():
+    """Copies form nodes of their own, and most pairs of points are never compared."""
+    unit = clustered().astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    tree = covertree.build(unit[np.random.default_rng(2).permutation(len(unit))])
+    ones = np.ones(len(unit), np.int64)
+    sums, _, forest = covertree.dual(tree, tree, 0.95, ones, ones)
+    exact = (tree.unit @ tree.unit.T >= 0.95).sum(axis=1) - 1
+    assert np.array_equal(sums, exact)
+    assert forest.products < 0.1 * len(unit) ** 2
+
+    def nodes(node):
+        return 1 + sum(map(nodes, node.children))
+
+    assert nodes(tree.root) > 60
+    pair = covertree.build(np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]]))
+    assert [(c.b - c.a, c.radius) for c in pair.root.children] == [(2, 0.0)]  # two copies are a node
+
+
+def test_groups_far_apart_are_never_walked(spark, monkeypatch):
+    x = clustered()
+    table = vector_table(spark, [(i, v, 0) for i, v in enumerate(x.tolist())])
+    counted = []
+    original = covertree._pairs_of_groups
+
+    def spying(groups, *rest):
+        pairs = original(groups, *rest)
+        counted.append((groups.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(covertree, "_pairs_of_groups", spying)
+    got = {r.vec_id: r.n_links for r in covertree.near_duplicates(spark, table, group_rows=60).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    assert got == dict(enumerate(((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()))
+    (groups, pairs), = counted
+    assert groups >= 40 and pairs < 0.25 * groups * (groups + 1) / 2
+
+
 def test_cover_tree_of_nothing(spark):
     assert covertree.near_duplicates(spark, vector_table(spark, [])).collect() == []
 

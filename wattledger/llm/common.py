@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,6 +48,32 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Blobs:
+    """Bytes under names in a new folder below ``spark.checkpoint.dir``, written and read by tasks.
+
+    A name is written whole or not at all; a task that is run again replaces it with the same bytes.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.root = shared_dir(spark, name)
+
+    def _store(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.root if "://" in self.root or self.root.startswith("file:") else f"file://{self.root}")
+
+    def put(self, name: str, data: bytes) -> None:
+        store, root = self._store()
+        store.create_dir(root, recursive=True)
+        beside = f"{root}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(beside) as out:
+            out.write(data)
+        store.move(beside, f"{root}/{name}")
+
+    def get(self, name: str) -> bytes:
+        store, root = self._store()
+        with store.open_input_stream(f"{root}/{name}") as found:
+            return found.read()
+
+
 def release_memory() -> None:
     """Give memory that a task's batches no longer use back to the system; workers are used again by later tasks."""
     pa.default_memory_pool().release_unused()
