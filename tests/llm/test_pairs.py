@@ -207,13 +207,32 @@ def test_top_k(spark, shard_rows):
     assert sorted(map(tuple, got)) == want
 
 
+def test_shards_and_leaves_that_cannot_reach_are_not_read():
+    x = np.floor(1024 * clustered(64, 60, 8, 0.05) * np.random.default_rng(1).choice([1.0, 4.0], 3840)[:, None])
+    splits = topk.upper_splits(x[::7], 5)
+    cell = topk.cells_of(x, splits)
+    assert len(np.unique(cell)) == 32 and np.bincount(cell).max() < 400
+    trees = {str(c): topk.build(np.flatnonzero(cell == c), x[cell == c], 16) for c in range(32)}
+    listed = topk.Listed(list(trees), *(np.stack([getattr(t, n)[0] for t in trees.values()]) for n in ("low", "high", "norm")))
+    asked = x[::100]
+    loaded, leaves, every = 0, 0, sum(int(t.leaf.sum()) for t in trees.values())
+    for i, q in zip(range(0, len(x), 100), asked):  # one query at a time: what a query needs
+        best = [topk.Best(i, 10)]
+        read = topk.through_shards(iter([listed]), trees.__getitem__, q[None, :], best)
+        loaded, leaves = loaded + read[0], leaves + read[1]
+        scores = x @ q
+        order = sorted((k for k in range(len(x)) if k != i), key=lambda k: (-scores[k], k))[:10]
+        assert best[0].ids.tolist() == order
+    assert loaded < 0.4 * 32 * len(asked) and leaves < 0.2 * every * len(asked)
+
+
 def test_top_k_prunes_and_handles_large_values(spark):
     rng = np.random.default_rng(3)
     points = np.concatenate([rng.normal(c, 0.01, size=(200, 2)) for c in (-50, 0, 50)])
     tree = topk.build(np.arange(600), points, 16)
     best = [topk.Best(-1, 3)]
     read = topk.search(tree, np.array([[1.0, 1.0]]), best)
-    assert read < 8 and list(best[0].ids) == list(np.argsort(-points.sum(axis=1))[:3])
+    assert read < 8 and tree.leaf.sum() > 30 and list(best[0].ids) == list(np.argsort(-points.sum(axis=1))[:3])
     rows = [(0, [1e30, 1.0], 0), (1, [1e30, 2.0], 0), (2, [1.0, 1.0], 0)]
     got = sorted(map(tuple, topk.top_k(spark, vector_table(spark, rows), F.col("vec_id") == 0).collect()))
     assert [g[2] for g in got] == [1, 2] and got[0][3] == 2**63 - 1
