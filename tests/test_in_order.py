@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from wattledger.operators.alerts import alert_cooldown
 from wattledger.operators.normalise import interval_energy
 from wattledger.plans.tables import alert_events, counter_readings, events
+from wattledger.schemas import METER_LOG_V2
+from wattledger.sources.meter_logs import counters as log_counters
+from wattledger.sources.meter_logs import read_meter_log_v1, read_meter_log_v2, stream_meter_log_v1, stream_meter_log_v2
 from wattledger.streaming.ordered import cooldown_in_order, energy_in_order, run_in_order
 from wattledger.streaming.run import run_available, stream_events
 
@@ -96,3 +99,31 @@ def test_null_keys_and_times(spark, tmp_path):
 def test_empty_input(spark, tmp_path):
     done = run_in_order(counters(source(spark, str(tmp_path), 1)), lambda s: energy_in_order(s, "1 day"), "empty", state_partitions=1)
     assert done.rows.count() == 0 and done.late.count() == 0
+
+
+@pytest.mark.parametrize("generation", [1, 2])
+def test_meter_logs_as_streams(spark, tmp_path, generation):
+    """Log files that arrive in any order give the energy of the whole log."""
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    lines = [(f"2025-10-0{d}T{h:02d}:{m:02d}:00+08:00", f"dev{k}", 40 * h + m, 400 + m) for d in (1, 2) for h in range(0, 24, 5) for m in (0, 10, 20) for k in (1, 2)]
+    parts = [lines[k::4] for k in (2, 0, 3, 1)]
+    for i, part in enumerate(parts):
+        if generation == 1:
+            text = ["timestamp,device_id,voltage_v,current_a,power_w,kwh_total,switch_1"]
+            text += [f"{t},{d},2300,180,{w},{e},{'0,' if i % 2 else ''}True" for t, d, e, w in part]
+        else:
+            text = [",".join(f.name for f in METER_LOG_V2)]
+            text += [f"{t},{d},True,2300,180,{w},{e},230.0,1.8,{w / 10},{e / 100},,,,," for t, d, e, w in part]
+        (folder / f"log{i}.csv").write_text("\n".join(text) + "\n")
+    read, stream = (read_meter_log_v1, stream_meter_log_v1) if generation == 1 else (read_meter_log_v2, stream_meter_log_v2)
+    want = interval_energy(log_counters(read(spark, str(folder))), tie=["event_id"], max_gap_seconds=86400)
+    rows = log_counters(stream(spark, str(folder), max_files_per_trigger=1))
+    done = run_in_order(rows, lambda s: energy_in_order(s, "10 days", max_gap_seconds=86400, bucket="1 day"), "logs", state_partitions=2)
+    assert done.rows.count() == len(lines) and done.late.count() == 0
+    assert text_of(done.rows) == text_of(want)
+
+
+def text_of(frame):
+    rows = frame.select("event_id", "device_id", F.unix_micros("ts").alias("us"), "interval_seconds", "energy_final_kwh")
+    return sorted(map(str, rows.collect()))

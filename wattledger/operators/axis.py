@@ -79,6 +79,16 @@ def within_range(df: DataFrame, hours: int, offset: str = "offset_h") -> DataFra
     return df.filter(F.col(offset) < hours)
 
 
+def range_totals(df: DataFrame, keys: list[str], offset: str = "offset_h", kwh: str = "kwh") -> DataFrame:
+    """Slots and energy of all chart ranges in one aggregate; a range without a slot has no row."""
+    sums = []
+    for hours in CHART_RANGES:
+        inside = F.col(offset) < hours
+        sums.append(F.struct(F.lit(hours).alias("range_h"), F.count_if(inside).alias("slots"), F.sum(F.when(inside, F.col(kwh))).alias("kwh")))
+    found = df.filter(F.col(offset) < max(CHART_RANGES)).groupBy(*keys).agg(F.array(*sums).alias("_ranges"))
+    return found.select(*keys, F.inline("_ranges")).filter(F.col("slots") > 0)
+
+
 def lookback_window(df: DataFrame, base: datetime, hours: int, ts: str = "ts") -> DataFrame:
     """Readings of the last ``hours`` before ``base``; the bounds reach the scan."""
     if hours not in LOOKBACK_HOURS:

@@ -173,7 +173,8 @@ def dense_hours(hourly: DataFrame, keys: list[str], slot: str = "slot_ts") -> Da
     """Every hour from a key's first to its last slot; hours without a row get nulls.
 
     The hours between two rows are produced next to the later row, so the grid needs no join. A key
-    has at most one row per hour here, whatever its number of readings.
+    has at most one row per hour here, whatever its number of readings. A gap is cut at days first, so that one wrong
+    clock makes no array of more than its days.
     """
     by_key = Window.partitionBy(*keys).orderBy(slot)
     others = [c for c in hourly.columns if c not in keys and c != slot]
@@ -182,7 +183,9 @@ def dense_hours(hourly: DataFrame, keys: list[str], slot: str = "slot_ts") -> Da
     return (
         hourly.withColumn("_us", us)
         .withColumn("_first", first)
-        .withColumn("_at", F.explode(F.sequence("_first", "_us", F.lit(HOUR_US))))
+        .withColumn("_from", F.explode(F.sequence("_first", "_us", F.lit(24 * HOUR_US))))
+        .withColumn("_to", F.least(F.col("_us"), F.col("_from") + F.lit(23 * HOUR_US)))
+        .withColumn("_at", F.explode(F.sequence("_from", "_to", F.lit(HOUR_US))))
         .select(
             *keys,
             F.timestamp_micros("_at").alias(slot),

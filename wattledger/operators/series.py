@@ -32,16 +32,17 @@ def fit_length(
     number = F.col(slot).cast("int").alias("_slot")
     inside = F.col(slot).between(0, slots - 1)
     # every key has a row without a slot, so that it stays
-    rows = df.select(*keys, F.when(inside, number).alias("_slot"), F.when(inside, F.col(value).cast("double")).alias("_value"))
+    rows = df.select(
+        *keys, F.when(inside, number).alias("_slot"), F.when(inside, F.col(value).cast("double")).alias("_value"), F.lit(axis is None).alias("_wanted")
+    )
     if axis is not None:
-        rows = rows.join(axis.select(*keys).distinct(), keys, "left_semi").unionByName(
-            axis.select(*keys).distinct(), allowMissingColumns=True
-        )
-    points = rows.groupBy(*keys, "_slot").agg(F.max("_value").alias("_value"))
+        rows = rows.unionByName(axis.select(*keys, F.lit(True).alias("_wanted")), allowMissingColumns=True)
+    points = rows.groupBy(*keys, "_slot").agg(F.max("_value").alias("_value"), F.max("_wanted").alias("_wanted"))
     known = F.when(F.col("_slot").isNotNull(), F.struct("_slot", "_value"))
     return (
         points.groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(known)).alias("_points"), F.max("_slot").alias("_last"))
+        .agg(F.map_from_entries(F.collect_list(known)).alias("_points"), F.max("_slot").alias("_last"), F.max("_wanted").alias("_wanted"))
+        .filter("_wanted")
         .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
         .withColumn("is_extended", F.col("slot") > F.coalesce("_last", F.lit(-1)))
         .select(

@@ -15,7 +15,7 @@ from wattledger.operators.axis import (
     day_steps,
     lookback_totals,
     with_period,
-    within_range,
+    range_totals,
 )
 from wattledger.operators.cost import load_factor
 from wattledger.operators.forecast import seasonal_naive as naive
@@ -48,6 +48,7 @@ from wattledger.plans.tables import (
     readings,
     table,
 )
+from wattledger.session import stored
 
 # Ranges of two of the five appliances, a constant for the third; the others have neither.
 RANGES = {"view": (2.2, 2.8), "click": (1.1, 1.4)}
@@ -87,14 +88,8 @@ def chart_range(spark: SparkSession, folder: str) -> DataFrame:
     hours = hourly_energy(readings(spark, folder), ["device_id"])
     first = Window.partitionBy("device_id")
     apart = F.unix_seconds("slot_ts") - F.unix_seconds(F.min("slot_ts").over(first))
-    offsets = hours.withColumn("offset_h", (apart / F.lit(3600)).cast("bigint")).filter(F.col("offset_h") < 24)
-    out = None
-    for range_h in (6, 12, 24):
-        part = within_range(offsets, range_h).groupBy("device_id").agg(
-            F.lit(range_h).alias("range_h"), F.count(F.lit(1)).alias("slots"), F.sum("kwh").cast("double").alias("kwh")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    offsets = hours.withColumn("offset_h", (apart / F.lit(3600)).cast("bigint"))
+    return range_totals(offsets, ["device_id"]).withColumn("kwh", F.col("kwh").cast("double"))
 
 
 @query(
@@ -235,7 +230,8 @@ FROM ah WHERE slot_ts >= TIMESTAMP '{CUTOFF}'"""
 def appliance_overlay(spark: SparkSession, folder: str) -> DataFrame:
     """Per appliance: disaggregated past on both lines, then tomorrow's forecast under 10 % more load."""
     keys = ["device_id", "appliance"]
-    hourly = hourly_energy(readings(spark, folder), keys)
+    # the sums are used three times and are much smaller than the readings, so they are stored
+    hourly = stored(hourly_energy(readings(spark, folder), keys), "appliance-hours")
     ahead = naive(hourly, keys).filter(F.col("slot_ts") >= F.lit(CUTOFF).cast("timestamp"))
     scaled = ahead.withColumn("kwh", F.col("kwh").cast("double") * load_factor(F.lit(10)))
     rows = per_appliance(_disaggregated(hourly), scaled, [*keys, "slot_ts"])

@@ -72,3 +72,30 @@ def unify_generations(v1: DataFrame, v2: DataFrame) -> DataFrame:
     first = scale_raw(v1).drop("interval_unnamed", "n_fields").withColumn("generation", F.lit(1))
     second = v2.withColumnRenamed("timestamp", "ts").withColumn("generation", F.lit(2))
     return first.unionByName(second, allowMissingColumns=True)
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+
+def stream_meter_log_v1(spark: SparkSession, path: str, quarantine: bool = False, max_files_per_trigger: int = 1000) -> DataFrame:
+    """New files of the older generation as a stream."""
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(path)
+    return parse_meter_log_v1(lines, quarantine=quarantine)
+
+
+def stream_meter_log_v2(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """New files of the newer generation as a stream."""
+    return spark.readStream.schema(METER_LOG_V2).option("maxFilesPerTrigger", max_files_per_trigger).csv(path, header=True)
+
+
+def counters(rows: DataFrame) -> DataFrame:
+    """Readings of either generation as the streaming operators take them: event_id, device_id, ts, kwh_total, power_w.
+
+    Log lines have no number; a hash of the line's values takes its place, so a line that is read again keeps its id.
+    """
+    if "kwh_total" not in rows.columns:
+        rows = scale_raw(rows)
+    if "timestamp" in rows.columns:
+        rows = rows.withColumnRenamed("timestamp", "ts")
+    values = ["device_id", "ts", "voltage_raw", "current_raw", "power_raw", "add_ele_raw"]
+    return rows.select(F.xxhash64(*values).alias("event_id"), "device_id", "ts", F.col("kwh_total").cast("double"), F.col("power_w").cast("double"))
