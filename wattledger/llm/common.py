@@ -51,7 +51,7 @@ class Scratch:
 class Blobs:
     """Bytes under names in a new folder below ``spark.checkpoint.dir``, written and read by tasks.
 
-    A name is written whole or not at all; a task that is run again replaces it with the same bytes.
+    A name is written whole or not at all; a task that is run again finds its bytes there.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -62,6 +62,8 @@ class Blobs:
 
     def put(self, name: str, data: bytes) -> None:
         store, root = self._store()
+        if store.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:
+            return
         store.create_dir(root, recursive=True)
         beside = f"{root}/.{uuid.uuid4().hex}"
         with store.open_output_stream(beside) as out:

@@ -9,7 +9,7 @@ The model is fitted on a bounded sample of labelled training documents (``per_cl
 the true proportions); every document is scored.
 
 Results: null and empty texts have all numbers zero and get the score of those bins; very long texts are read
-whole; repeated rows are scored alike; with labels of one class only, or none, every score is the share of that
+whole; repeated rows are scored alike; of a labelled id with several texts the first in order is learned from; with labels of one class only, or none, every score is the share of that
 class (0.5 without labels); a null id is not held out; an empty table gives an empty table; other columns are
 not inputs.
 """
@@ -209,7 +209,8 @@ def train(documents: DataFrame, labels: DataFrame, train_rows, label: str = "qua
     """Fit on a bounded sample of labelled rows; their numbers are computed by tasks."""
     chosen = sample_labelled(labels, label, per_class, train_rows)
     texts = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most 2 * per_class rows of an id, a class and a weight
+    # at most 2 * per_class rows of an id, a class and a weight; of an id with several texts the first in order counts
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("w").alias("w"))
 
     def run(batches):
         for batch in batches:
