@@ -84,7 +84,7 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """Encoder and decoder; ``limit`` bounds the bytes of the words kept as already encoded."""
 
-    def __init__(self, data: bytes, limit: int = 160 << 20):
+    def __init__(self, data: bytes, limit: int = 48 << 20):
         spec = json.loads(data)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"])
