@@ -10,9 +10,9 @@
    scoring looks up every stretch of parts ("a m o r o n", "you-mo-ron"). Tokens above ``WINDOW`` characters are
    decoded in windows of whole parts that overlap by half; a part without marks is decoded whole, however long.
    Scoring decodes only what may hide a word of the lexicon: letters are put into classes that no reading leaves, repetition
-   and marks are removed, and the first four classes of a lexicon word must be there.
+   and marks are removed, and the first four classes of a lexicon word whose bound is ``HIDDEN_SHARE`` or more must be there.
 3. Words and word beginnings of restored texts are counted per class over a bounded sample of labelled training
-   documents (``per_class`` of each class). Features whose share of toxic documents has a lower confidence bound
+   documents (``per_class`` of each class; equal texts count once). Features whose share of toxic documents has a lower confidence bound
    above ``least_share`` form the lexicon: at the given bound a word in no clean text needs ``LEAST_SUPPORT`` toxic ones or
    a few more, whatever the size of the sample.
 4. A text's score is a logistic function of its three strongest tokens and its length. Its weights are fitted on one
@@ -30,7 +30,6 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 from math import log, sqrt
 
 import numpy as np
@@ -53,11 +52,14 @@ READINGS = {
 SUBSTITUTION, DROP = 1.0, 0.7  # prices in nats
 APART = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3})+(?!\S)")
 RUN = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"([^\W\d_])\1(?:\1|([^\W\d_])\2)")  # three in a row, or two pairs side by side
 LONG_RUN = re.compile(r"(.)\1{3,}")
 BREAK = re.compile(r"[\W_]+")
 CONTRACTED = re.compile(r"[^\W\d_]+['`\u2019](?:ll|re|ve|s|t|d|m)")  # he'll is not hell
+ENDINGS = set(",.;:?")
 WINDOW = 96
 LEAST_SUPPORT = 3  # toxic texts
+HIDDEN_SHARE = 0.6  # lower bound of the share of toxic texts from which a word is looked for behind disguises
 EDGES = ".,;:!?\"'()[]{}<>&#*%$|~_-+=/\\`^"
 
 
@@ -78,70 +80,60 @@ def codes_of(text: str) -> np.ndarray:
     return np.where(points < CODES.size, CODES[np.minimum(points, CODES.size - 1)], 0)
 
 
-def _classes(read_symbols: bool) -> np.ndarray:
-    """Code point -> 1..26, the class of its letter, or 0: letters that one character may stand for are one class."""
-    together = {c: c for c in LETTERS}
-    for letters in READINGS.values():
-        for other in letters[1:]:
-            together[other] = together[letters[0]]
-    top = max(CODES.size, *(ord(c) + 1 for c in READINGS))
-    table = np.zeros(top, np.uint8)
-    for point in range(CODES.size):
-        if CODES[point]:
-            table[point] = LETTERS.index(together[LETTERS[CODES[point] - 1]]) + 1
-    for c, letters in READINGS.items():
-        if c.isalnum() or read_symbols:
-            table[ord(c)] = LETTERS.index(together[letters[0]]) + 1
-    return table
+class Fold(dict):
+    """For ``str.translate``: every letter becomes the letter of its class, everything else but line breaks goes.
 
+    Letters that one character may stand for are one class.
+    """
 
-CLASSES = _classes(True), _classes(False)  # symbols read as letters; symbols dropped
+    def __init__(self, read_symbols: bool):
+        together = {c: c for c in LETTERS}
+        for letters in READINGS.values():
+            for other in letters[1:]:
+                together[other] = together[letters[0]]
+        super().__init__({point: together[LETTERS[CODES[point] - 1]] for point in range(CODES.size) if CODES[point]})
+        self |= {ord(c): together[letters[0]] for c, letters in READINGS.items() if c.isalnum() or read_symbols}
+        self[10] = "\n"
 
+    def __missing__(self, point: int) -> None:
+        return None
 
-def skeleton(text: str, classes: np.ndarray) -> np.ndarray:
-    """The classes of a text's letters, without repetition."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    found = classes[np.where(points < classes.size, points, 32)]  # a blank has no class
-    found = found[found > 0]
-    return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
+
+FOLDS = Fold(True), Fold(False)  # symbols read as letters; symbols dropped
+SYMBOLS = re.compile("[" + re.escape("".join(c for c in READINGS if not c.isalnum())) + "]")
+REPEATED = re.compile(r"(.)\1+")
+
+
+def skeletons(text: str) -> list[str]:
+    """The classes of a text's letters, without repetition: with symbols read, and with symbols dropped if it has any."""
+    return [REPEATED.sub(r"\1", text.translate(fold)) for fold in (FOLDS if SYMBOLS.search(text) else FOLDS[:1])]
 
 
 class Hints:
     """Whether a text may hide a word of the lexicon: a test that is sometimes wrongly true, never wrongly false as long as
-    all its symbols are letters, or all are marks, where the first four classes stand."""
+    all its symbols are letters, or all are marks, where the first four classes stand. Nothing goes on across a line break."""
 
     def __init__(self, features):
-        self.words: dict[bytes, set[bytes]] = defaultdict(set)
-        self.heads = np.zeros(32**4, bool)
-        self.short: set[bytes] = set()
+        self.words: dict[str, set[str]] = defaultdict(set)
+        self.short: set[str] = set()
         for feature in features:
-            word = skeleton(feature.removeprefix("="), CLASSES[0])
+            word = skeletons(feature.removeprefix("="))[0]
             if len(word) < 4:
-                self.short.add(word.tobytes())
+                self.short.add(word)
             else:
-                self.heads[self._numbers(word)[0]] = True
-                self.words[word[:4].tobytes()].add(word.tobytes())
-        self.short.discard(b"")
-
-    @staticmethod
-    def _numbers(s: np.ndarray) -> np.ndarray:
-        w = s.astype(np.int32)
-        return ((w[:-3] << 5 | w[1:-2]) << 5 | w[2:-1]) << 5 | w[3:]
+                self.words[word[:4]].add(word)
+        self.short.discard("")
+        self.any_short = re.compile("|".join(sorted(self.short))) if self.short else None
 
     def any(self, text: str, whole: bool = False) -> bool:
         """``whole``: all classes of a word must be there, not the first four only."""
-        for classes in CLASSES:
-            s = skeleton(text, classes)
-            if self.short and any(w in s.tobytes() for w in self.short):
-                return True
-            if len(s) < 4:
-                continue
-            at = np.flatnonzero(self.heads[self._numbers(s)])
-            if len(at) and not whole:
-                return True
-            data = s.tobytes() if len(at) else b""
-            if any(data.startswith(w, i) for i in at.tolist() for w in self.words[data[i : i + 4]]):
+        for s in skeletons(text):
+            if self.any_short and self.any_short.search(s):
                 return True
+            for i in range(len(s) - 3):
+                found = self.words.get(s[i : i + 4])
+                if found and (not whole or any(s.startswith(w, i) for w in found)):
+                    return True
         return False
 
 
@@ -185,7 +177,7 @@ class Restorer:
     def disguised(token: str) -> bool:
         """Whether a token, without marks at its edges, may hide letters."""
         if token.isalpha():
-            return bool(RUN.search(token)) or Restorer.doubled(token)
+            return bool(DOUBLED.search(token))
         letters = sum(c.isalpha() for c in token)
         swapped = sum(c in READINGS for c in token)
         if not letters + swapped:
@@ -193,13 +185,6 @@ class Restorer:
         marks = sum(not c.isalnum() for c in token)
         return (swapped > 0 and letters > 0) or (marks > 0 and letters >= 3 and not CONTRACTED.fullmatch(token)) or bool(RUN.search(token))
 
-    @staticmethod
-    def doubled(token: str) -> bool:
-        """Whether at least half of the letters are repeated, and more than one."""
-        runs = [len(list(g)) for _, g in groupby(token)]
-        twice = sum(n > 1 for n in runs)
-        return twice > 1 and 2 * twice >= len(runs)
-
     @staticmethod
     def windows(token: str) -> list[str]:
         """The token, or overlapping windows of whole parts; a stretch of half a window is whole in one of them."""
@@ -300,9 +285,19 @@ def tokens_of(text: str) -> set[str]:
     return set(text.lower().split())
 
 
-def stretches_of(text: str) -> set[str]:
-    """Parts of one to three characters set apart by white space, joined by dots; long stretches in overlapping windows."""
-    return {".".join(m[0].split()) for m in APART.finditer(text.lower())}
+def doubled_tokens(low: str) -> set[str]:
+    """The tokens with a letter three times or two doubled letters side by side."""
+    out: set[str] = set()
+    for m in DOUBLED.finditer(low):
+        begin = max(low.rfind(" ", 0, m.start()), low.rfind("\n", 0, m.start())) + 1
+        ends = [e for e in (low.find(" ", m.end()), low.find("\n", m.end())) if e >= 0]
+        out.update(low[begin : min(ends, default=len(low))].split())  # other white space may be inside
+    return out
+
+
+def stretches_of(low: str) -> set[str]:
+    """Parts of one to three characters set apart by white space, joined by dots."""
+    return {".".join(m.split()) for m in APART.findall(low)}
 
 
 def lexicon(
@@ -391,19 +386,23 @@ class Strengths(dict):
     def __init__(self, shares: dict[str, float], model: np.ndarray, limit: int = 150_000):
         self.shares, self.restorer, self.limit = shares, Restorer(model), limit
         self.longest = max([9, *(len(f) for f in shares)])
-        self.hints = Hints(shares)
+        strong = [f for f, share in shares.items() if share >= HIDDEN_SHARE]
+        self.hints = Hints(strong)
         # words set apart are looked up whole, so only whole words of the lexicon can be found there
-        self.whole = Hints(f for f in shares if f.startswith("="))
+        self.whole = Hints(f for f in strong if f.startswith("="))
+        self.starts = {f.removeprefix("=")[:4] for f in shares}
 
     def _strength(self, best: float) -> float:
         return log(best / (1 - best)) - LEAST_ODDS if best else 0.0
 
+    def _best(self, word: str) -> float:
+        if word[:4] not in self.starts:  # no feature of the word is in the lexicon
+            return 0.0
+        return max(self.shares.get(f, 0.0) for f in features_of(word))
+
     def __missing__(self, token: str) -> float:
-        best = 0.0
         words, hidden = words_behind(token, self.restorer, self.hints)
-        for word in words:
-            for f in features_of(word):
-                best = max(best, self.shares.get(f, 0.0))
+        best = max(map(self._best, words), default=0.0)
         for parts in hidden:
             for f in features_within(parts, self.longest):
                 best = max(best, self.shares.get(f, 0.0))
@@ -412,13 +411,31 @@ class Strengths(dict):
         value = self[token] = self._strength(best)
         return value
 
-    def apart(self, text: str) -> list[float]:
+    def plain(self, tokens: set[str], low: str) -> list[float]:
+        """Strengths of tokens. Most are words whose first four letters begin no feature and that can hide nothing."""
+        starts, shares, doubled, out = self.starts, self.shares, doubled_tokens(low), []
+        for token in tokens:
+            word = token[:-1] if token[-1] in ENDINGS else token
+            if token in doubled or not word.isalpha():
+                if value := self[token]:
+                    out.append(value)
+            elif word[:4] in starts:
+                best = shares.get("=" + word, 0.0)
+                for k in range(4, min(len(word), 9)):
+                    if (share := shares.get(word[:k], 0.0)) > best:
+                        best = share
+                if best:
+                    out.append(self._strength(best))
+        return out
+
+    def apart(self, low: str) -> list[float]:
         """Strengths of what stretches of short parts hide. Beginnings count only where all parts are single letters, as
         neighbouring short words would otherwise begin many a word."""
-        if not self.hints.any(text, whole=True):
+        stretches = stretches_of(low)
+        if not stretches or not self.hints.any("\n".join(stretches), whole=True):
             return []
         out = []
-        for stretch in stretches_of(text):
+        for stretch in stretches:
             letters = all(len(p.strip(EDGES)) <= 1 for p in stretch.split("."))
             if not (self.hints if letters else self.whole).any(stretch, whole=True):
                 continue
@@ -432,9 +449,9 @@ class Strengths(dict):
 
     def numbers(self, text: str | None) -> list[float]:
         """1, the three largest strengths, the logarithm of the number of different tokens."""
-        tokens = tokens_of(text) if text else ()
-        found = [p for p in map(self.__getitem__, tokens) if p]
-        top = sorted([*found, *(self.apart(text) if text else ())], reverse=True)[:3]
+        low = (text or "").lower()
+        tokens = set(low.split())
+        top = sorted([*self.plain(tokens, low), *self.apart(low)], reverse=True)[:3]
         return [1.0, *top, *[0.0] * (3 - len(top)), log(1 + len(tokens))]
 
 
@@ -487,6 +504,7 @@ def train(
     texts = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # at most 2 * per_class rows of an id, a class and a weight
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("w").alias("w"))
+    sample = sample.dropDuplicates(["text", "y"])  # copies of a text say nothing new about its words
     sample = sample.select("text", "y", "w", (F.xxhash64("text") % 2 == 0).alias("half")).persist()
     try:
         numbers = _sample_numbers(sample.where(~F.col("half")), lexicon(sample.where("half"), letters), letters)
