@@ -4,7 +4,8 @@
 2. Classes go to the nearest of at most ``CELLS`` centres, a net of a bounded sample; a cell above ``group_rows`` classes is
    dealt to several groups. A group becomes a cover tree of its unit vectors: the root covers all of them, every level
    halves the radius, a node's children are a net of its points that are further apart than the level's radius and include
-   the node's own centre, and every node knows the radius that its points really have. Nodes go down to two points.
+   the node's own centre, and every node knows the radius that its points really have. Parts of up to ``SMALL``
+   points are left as single points of their parent.
    Trees are written to the shared folder.
 3. Pairs of cells, then pairs of their groups, are pruned by the distance of their centres and their covering radii.
    Each pair that is left (and every group with itself) is one walk through both trees, which its task reads from the
@@ -42,6 +43,7 @@ CENTRES = 256  # candidates for centres whose dot products are taken at once
 CELLS = 256  # centres that classes are dealt to
 SAMPLE = 4096  # classes that the centres come from
 WALKS = 4096  # tasks at most
+SMALL = 8  # parts of so many points are single points of their parent: their own nodes cost more than they save
 SINGLE = 1e-5  # above the error of a dot product of unit vectors in single precision
 
 
@@ -309,7 +311,7 @@ def near_duplicates(
     grouped = dealt_rows.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = build(_unit(pdf["v"]))
+        tree = build(_unit(pdf["v"]), SMALL)
         dim, cell, part = (int(pdf[c].iat[0]) for c in ("dim", "cell", "part"))
         name = f"{dim:08d}-{cell:04d}-{part:08d}"
         trees.put(name, pickle.dumps((tree, pdf["id"].to_numpy()[tree.order], pdf["n"].to_numpy()[tree.order])))
