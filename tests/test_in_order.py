@@ -1,9 +1,13 @@
 """Streams that their own state holds in order: any order of files, late rows, restarts."""
 
 import os
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattledger.operators.alerts import alert_cooldown
 from wattledger.operators.normalise import interval_energy
@@ -11,7 +15,7 @@ from wattledger.plans.tables import alert_events, counter_readings, events
 from wattledger.schemas import METER_LOG_V2
 from wattledger.sources.meter_logs import counters as log_counters
 from wattledger.sources.meter_logs import read_meter_log_v1, read_meter_log_v2, stream_meter_log_v1, stream_meter_log_v2
-from wattledger.streaming.ordered import cooldown_in_order, energy_in_order, run_in_order
+from wattledger.streaming.ordered import _Cooldown, _Energy, cooldown_in_order, energy_in_order, run_in_order
 from wattledger.streaming.run import run_available, stream_events
 
 ENERGY = ["event_id", "device_id", "interval_seconds", "kwh_interval_kwh", "energy_final_kwh"]
@@ -127,3 +131,109 @@ def test_meter_logs_as_streams(spark, tmp_path, generation):
 def text_of(frame):
     rows = frame.select("event_id", "device_id", F.unix_micros("ts").alias("us"), "interval_seconds", "energy_final_kwh")
     return sorted(map(str, rows.collect()))
+
+
+class Store:
+    """A state store in memory that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def getMapState(self, *_):
+        return _Map(self)
+
+    def getValueState(self, *_):
+        return _Map(self)
+
+
+class _Map(dict):
+    def __init__(self, store):
+        self.store = store
+
+    def __getattribute__(self, name):
+        if name in ("getValue", "updateValue", "removeKey", "keys", "get", "update"):
+            object.__getattribute__(self, "store").calls += 1
+        return super().__getattribute__(name)
+
+    def getValue(self, key):
+        return dict.get(self, key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def keys(self):
+        return list(self)
+
+    def get(self):
+        return dict.get(self, 0)
+
+    def update(self, value):
+        self[0] = value
+
+
+def through(processor, parts, columns):
+    """The parts of one group of keys, then every timer; the results, and the calls to the state store."""
+    store = Store()
+    processor.init(store)
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    found = [out for part in parts for out in processor.handleInputRows((0,), iter([part]), now)]
+    for ms in sorted(store.timers):
+        found += processor.handleExpiredTimer((0,), now, SimpleNamespace(getExpiryTimeInMs=lambda: ms))
+    return pd.concat(found, ignore_index=True)[columns].sort_values("event_id", ignore_index=True), store.calls
+
+
+def group_of_rows(n_keys, n_rows):
+    """Rows of many keys, also null and before 1970, on few times, in three parts without order."""
+    rng = np.random.default_rng(n_keys)
+    key = rng.integers(0, n_keys, n_rows)
+    pdf = pd.DataFrame({
+        "key": np.where(key == 1, 0, key), "no_key": key == 1, "event_id": rng.permutation(n_rows), "no_id": False,
+        "us": rng.integers(-6, 30, n_rows) * 3_600_000_000, "kwh_total": rng.integers(0, 9000, n_rows) / 100, "power_w": 40.0,
+        "alert_type": rng.choice(["warning", "critical"], n_rows, p=[0.8, 0.2]),
+    })
+    pdf.loc[pdf["event_id"] % 50 == 0, "kwh_total"] = np.nan
+    return pdf, [pdf[k::3] for k in (2, 0, 1)]
+
+
+def fields_of(*last):
+    first = ("key bigint", "no_key boolean", "event_id bigint", "no_id boolean", "us bigint")
+    return T._parse_datatype_string(", ".join([*first, *last])).fields
+
+
+@pytest.mark.parametrize("n_keys", [1, 7, 400])
+def test_cooldown_of_a_group_of_keys(spark, n_keys):
+    """As row by row, and with no more calls to the state store than for one key."""
+    rows, parts = group_of_rows(n_keys, 3000)
+    got, calls = through(_Cooldown(fields_of("alert_type string"), 6 * 3_600_000, 4 * 3_600_000_000), parts, ["event_id", "household", "is_sent"])
+    want, last = {}, {}
+    for r in rows.sort_values(["us", "event_id"]).itertuples():
+        before = last.get((r.key, r.no_key))
+        want[r.event_id] = before is None or r.alert_type != before[0] or r.us - before[1] > 4 * 3_600_000_000
+        if want[r.event_id]:
+            last[r.key, r.no_key] = r.alert_type, r.us
+    assert dict(zip(got["event_id"], got["is_sent"])) == want
+    assert got["household"].isna().sum() == rows["no_key"].sum()
+    assert calls < 150
+
+
+@pytest.mark.parametrize("n_keys", [1, 7, 400])
+def test_energy_of_a_group_of_keys(spark, n_keys):
+    rows, parts = group_of_rows(n_keys, 3000)
+    processor = _Energy(fields_of("kwh_total double", "power_w double"), 6 * 3_600_000, 7200)
+    got, calls = through(processor, parts, ["event_id", "device_id", "interval_seconds", "kwh_interval_kwh"])
+    rows = rows.sort_values(["us", "event_id"])
+    by = rows.groupby(["key", "no_key"])
+    seconds = by["us"].diff() / 1e6
+    rows["seconds"] = seconds.where(seconds <= 7200)
+    rows["kwh"] = by["kwh_total"].diff().round(6).where(seconds <= 7200)
+    rows = rows.sort_values("event_id", ignore_index=True)
+    np.testing.assert_array_equal(got["interval_seconds"], rows["seconds"])
+    np.testing.assert_array_equal(got["kwh_interval_kwh"], rows["kwh"])
+    assert got["device_id"].isna().sum() == rows["no_key"].sum() and calls < 150

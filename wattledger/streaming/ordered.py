@@ -8,7 +8,11 @@ the files and micro-batches, and the input is not stored a second time.
 A run over all available input ends with a mark, a row of the far future in a side source, which moves the watermark past
 everything, so that all timers fire. A stream that goes on later is not marked.
 
-Memory: a task holds one bucket of one key. State is in RocksDB, the rows of the last ``lateness`` for each key.
+Keys are dealt by hash to ``groups``, whose state and timers they share: a call to the state store, a timer and a table cost
+the same for one key as for hundreds, and there are as many as groups, whatever the number of keys. Rows wait as Arrow
+batches; a later part of a bucket is stored beside the others.
+
+Memory: a task holds one bucket of one group. State is in RocksDB, the rows of the last ``lateness`` and one of each key.
 """
 
 from __future__ import annotations
@@ -18,9 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wattledger.constants import COOLDOWN_HOURS
@@ -31,6 +38,7 @@ from wattledger.streaming.run import drain, state_settings, stored_rows
 
 FAR = "9999-01-01 00:00:00"
 END = "9000-01-01 00:00:00"  # rows from here on are marks
+GROUPS = 4096  # of keys; their number is fixed when a stream starts
 
 
 @dataclass(frozen=True)
@@ -42,19 +50,20 @@ class InOrder:
 
 
 class Waiting(StatefulProcessor):
-    """Lets rows wait; ``released`` is called with the rows of one bucket after the other, in order."""
+    """Lets rows wait; ``released`` is called with the rows of one bucket after the other, in order.
 
-    #: The columns of a waiting row besides ``us``, and what is kept of a key between buckets.
-    carry = "us bigint"
+    State is kept by group of keys, so that its calls and the work on tables are one for many keys.
+    """
 
     def __init__(self, fields: list[T.StructField], bucket_ms: int):
         self.fields, self.bucket_ms = fields, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        rows = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in self.fields])
-        self.waiting = handle.getMapState("waiting", "bucket bigint", rows)
-        self.kept = handle.getValueState("kept", self.carry)
+        self.schema = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in self.fields])
+        self.waiting = handle.getMapState("waiting", "bucket bigint, part int", "rows binary")
+        self.parts = handle.getMapState("parts", "bucket bigint", "n int")
+        self.kept = handle.getValueState("kept", "bucket bigint, rows binary")  # the newest bucket, and a row of each key
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
@@ -62,136 +71,158 @@ class Waiting(StatefulProcessor):
             bucket = pdf["us"].to_numpy(np.int64) // (self.bucket_ms * 1000)
             late = ((bucket + 1) * self.bucket_ms <= mark) & (mark > 0)
             if late.any():
-                yield self.as_late(key, pdf[late])
+                yield self.as_late(pa.Table.from_batches([self._batch(pdf[late])]))
             order = np.argsort(bucket, kind="stable")
             order = order[~late[order]]
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             for part in np.split(order, cuts) if len(order) else []:
-                self._wait(int(bucket[part[0]]), pdf.iloc[part])
+                self._wait(int(bucket[part[0]]), self._batch(pdf.iloc[part]))
+
+    def _batch(self, pdf: pd.DataFrame) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pdf[f.name], f.type, from_pandas=True) for f in self.schema], schema=self.schema)
+
+    def _stored(self, rows: bytes) -> pa.RecordBatch:
+        return pa.ipc.read_record_batch(pa.py_buffer(bytes(rows)), self.schema)
 
-    def _wait(self, bucket: int, pdf: pd.DataFrame) -> None:
-        fresh = [_plain(pdf[f.name], f.dataType) for f in self.fields]
-        before = self.waiting.getValue((bucket,))
-        if before is None:
-            self.handle.registerTimer(max((bucket + 1) * self.bucket_ms, 1))
-        else:
-            fresh = [[*old, *new] for old, new in zip(before, fresh)]
-        self.waiting.updateValue((bucket,), tuple(fresh))
+    def _expiry(self, bucket: int) -> int:
+        return max((bucket + 1) * self.bucket_ms, 1)
+
+    def _wait(self, bucket: int, batch: pa.RecordBatch) -> None:
+        """Adds a part to a bucket; what waits already is not touched."""
+        found = self.parts.getValue((bucket,))
+        n = 0 if found is None else found[0]
+        if not n:
+            self.handle.registerTimer(self._expiry(bucket))
+        self.waiting.updateValue((bucket, n), (batch.serialize().to_pybytes(),))
+        self.parts.updateValue((bucket,), (n + 1,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        bucket = expiredTimerInfo.getExpiryTimeInMs() // self.bucket_ms - 1
-        found = self.waiting.getValue((bucket,))
-        if found is None:
-            return
-        self.waiting.removeKey((bucket,))
-        pdf = pd.DataFrame({f.name: pd.Series(list(v), dtype=_kind(f.dataType)) for f, v in zip(self.fields, found)})
-        pdf = pdf.sort_values(["us", "event_id"], kind="stable", ignore_index=True)
-        before = self.kept.get()
-        if before is not None and pdf["us"].iloc[0] // (self.bucket_ms * 1000) < before[0] // (self.bucket_ms * 1000):
-            raise RuntimeError("a bucket was released after a later one")
-        yield self.released(key, pdf, before)
-
-    def as_late(self, key, pdf: pd.DataFrame) -> pd.DataFrame:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for bucket in sorted(b for (b,) in self.parts.keys() if self._expiry(b) <= now):
+            (n,) = self.parts.getValue((bucket,))
+            batches = []
+            for part in range(n):
+                batches.append(self._stored(self.waiting.getValue((bucket, part))[0]))
+                self.waiting.removeKey((bucket, part))
+            self.parts.removeKey((bucket,))
+            yield self._in_order(bucket, pa.Table.from_batches(batches))
+
+    def _in_order(self, bucket: int, fresh: pa.Table) -> pd.DataFrame:
+        before, table = self.kept.get(), fresh.append_column("is_new", pa.array(np.ones(fresh.num_rows, bool)))
+        if before is not None:
+            if bucket < before[0]:
+                raise RuntimeError("a bucket was released after a later one")
+            kept = pa.Table.from_batches([self._stored(before[1])])
+            table = pa.concat_tables([kept.append_column("is_new", pa.array(np.zeros(kept.num_rows, bool))), table])
+        table = table.sort_by([(c, "ascending") for c in ("key", "no_key", "is_new", "us", "no_id", "event_id")]).combine_chunks()
+        keys = [table[c].combine_chunks() for c in ("key", "no_key")]
+        first = np.ones(table.num_rows, bool)  # of its key
+        first[1:] = np.logical_or(*(pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in keys))
+        is_new = table["is_new"].to_numpy()
+        out, last = self.released(table.drop_columns("is_new"), first, is_new)
+        rest = table.drop_columns("is_new").take(pa.array(last)).combine_chunks().to_batches()
+        self.kept.update((bucket, rest[0].serialize().to_pybytes()))
+        return out[is_new]
+
+    def as_late(self, table: pa.Table) -> pd.DataFrame:
         raise NotImplementedError
 
-    def released(self, key, pdf: pd.DataFrame, before: tuple | None) -> pd.DataFrame:
+    def released(self, table: pa.Table, first: np.ndarray, is_new: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+        """The results of all rows, and the place of the row that is kept of each key.
+
+        A key's rows follow each other, ``first`` is true for the first of them: the kept one (not new) if there is one.
+        """
         raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-def _kind(kind: T.DataType) -> str:
-    return {"bigint": "int64", "double": "float64"}.get(kind.simpleString(), "object")
-
-
-def _plain(values: pd.Series, kind: T.DataType) -> list:
-    """Python values, null where pandas has none."""
-    make = {"bigint": int, "int": int, "double": float, "string": str}.get(kind.simpleString(), lambda v: v)
-    return [None if v is None or v != v else make(v) for v in values.tolist()]
+def _named(table: pa.Table, key: str, columns: tuple[str, ...]) -> pd.DataFrame:
+    """The rows with null in place of the stand-ins."""
+    out = {name: pc.if_else(table[null], pa.scalar(None, table[c].type), table[c]) for name, c, null in (("event_id", "event_id", "no_id"), (key, "key", "no_key"))}
+    return pa.table(out | {c: table[c] for c in columns}).to_pandas(integer_object_nulls=True)
 
 
 class _Energy(Waiting):
-    carry = "us bigint, total double"
+    """Keeps the newest reading of each device."""
 
     def __init__(self, fields: list[T.StructField], bucket_ms: int, max_gap_seconds: float | None):
         super().__init__(fields, bucket_ms)
         self.max_gap_seconds = max_gap_seconds
 
-    def _out(self, key, pdf: pd.DataFrame, seconds, kwh, late: bool) -> pd.DataFrame:
-        return pd.DataFrame({
-            "event_id": pdf["event_id"], "device_id": None if key[1] else key[0], "us": pdf["us"], "kwh_total": pdf["kwh_total"], "power_w": pdf["power_w"],
-            "interval_seconds": seconds, "kwh_interval_kwh": kwh, "is_late": late,
-        })
-
-    def as_late(self, key, pdf):
-        return self._out(key, pdf, np.nan, np.nan, True)
-
-    def released(self, key, pdf, before):
-        us, total = pdf["us"].to_numpy(np.int64), pdf["kwh_total"].to_numpy(float)
-        last_us, last_total = (np.nan, np.nan) if before is None else (before[0], np.nan if before[1] is None else before[1])
-        seconds = (us - np.concatenate([[last_us], us[:-1].astype(float)])) / 1_000_000.0
-        kwh = np.round(total - np.concatenate([[last_total], total[:-1]]), 6)
-        keep = seconds >= 0  # false for the first reading
+    def _out(self, table: pa.Table, seconds, kwh, late: bool) -> pd.DataFrame:
+        rows = _named(table, "device_id", ("us", "kwh_total", "power_w"))
+        return rows.assign(interval_seconds=seconds, kwh_interval_kwh=kwh, is_late=late)
+
+    def as_late(self, table):
+        return self._out(table, np.nan, np.nan, True)
+
+    def released(self, table, first, is_new):
+        us, total = table["us"].to_numpy(), table["kwh_total"].to_numpy().astype(float)
+        seconds, kwh = np.full(len(us), np.nan), np.full(len(us), np.nan)
+        seconds[1:], kwh[1:] = np.diff(us) / 1_000_000.0, np.round(np.diff(total), 6)
+        keep = ~first & (seconds >= 0)
         if self.max_gap_seconds is not None:
             keep &= seconds <= self.max_gap_seconds
-        self.kept.update((int(us[-1]), None if np.isnan(total[-1]) else float(total[-1])))
-        return self._out(key, pdf, np.where(keep, seconds, np.nan), np.where(keep, kwh, np.nan), False)
+        out = self._out(table, np.where(keep, seconds, np.nan), np.where(keep, kwh, np.nan), False)
+        return out, np.append(np.flatnonzero(first)[1:], len(us)) - 1
 
 
 class _Cooldown(Waiting):
-    carry = "at bigint, kind string, us bigint"  # newest bucket's time, type and time of the last sent alert
+    """Keeps the alert that was sent last to each household."""
 
     def __init__(self, fields: list[T.StructField], bucket_ms: int, cooldown_us: int):
         super().__init__(fields, bucket_ms)
         self.cooldown_us = cooldown_us
 
-    def _out(self, key, pdf: pd.DataFrame, sent, late: bool) -> pd.DataFrame:
-        return pd.DataFrame({
-            "event_id": pdf["event_id"], "household": None if key[1] else key[0], "us": pdf["us"],
-            "alert_type": pdf["alert_type"], "is_sent": sent, "is_late": late,
-        })
-
-    def as_late(self, key, pdf):
-        return self._out(key, pdf, None, True)
-
-    def released(self, key, pdf, before):
-        us, kind = pdf["us"].to_numpy(np.int64), pdf["alert_type"].to_numpy(object)
-        last_kind, last_us = (None, 0) if before is None else before[1:]
-        sent = np.zeros(len(us), bool)
-        change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
-        for first, end in zip([0, *change], [*change, len(us)]):  # runs of one type; steps from sent to sent
-            at = first if kind[first] != last_kind else first + int(np.searchsorted(us[first:end], last_us + self.cooldown_us, "right"))
-            while at < end:
-                sent[at], last_kind, last_us = True, kind[at], int(us[at])
-                at = first + int(np.searchsorted(us[first:end], last_us + self.cooldown_us, "right"))
-        self.kept.update((int(us[-1]), last_kind, last_us))
-        return self._out(key, pdf, sent, False)
+    def _out(self, table: pa.Table, sent, late: bool) -> pd.DataFrame:
+        return _named(table, "household", ("us", "alert_type")).assign(is_sent=sent, is_late=late)
 
+    def as_late(self, table):
+        return self._out(table, None, True)
 
-def _keyed(rows: DataFrame, key: str) -> list[Column]:
-    """A stand-in for a null key, as state is kept by key."""
-    kind = rows.schema[key].dataType
+    def released(self, table, first, is_new):
+        sent, last_kind, last_us = [], None, 0  # the kept alert was sent
+        for at, kind, start in zip(table["us"].to_pylist(), table["alert_type"].to_pylist(), first.tolist()):
+            send = start or kind != last_kind or at - last_us > self.cooldown_us
+            if send:
+                last_kind, last_us = kind, at
+            sent.append(send)
+        sent = np.array(sent)
+        places = np.where(sent, np.arange(len(sent)), -1)
+        return self._out(table, sent, False), np.maximum.reduceat(places, np.flatnonzero(first))
+
+
+def _standing(rows: DataFrame, column: str, name: str, null: str) -> list[Column]:
+    """A stand-in for a null and a mark of it, as pandas has no null integers."""
+    kind = rows.schema[column].dataType
     empty = F.lit("").cast(kind) if isinstance(kind, T.StringType) else F.lit(0).cast(kind)
-    return [F.coalesce(F.col(key), empty).alias("_key"), F.col(key).isNull().alias("_null")]
+    return [F.coalesce(F.col(column), empty).alias(name), F.col(column).isNull().alias(null)]
+
+
+def _keyed(rows: DataFrame, key: str) -> list[Column]:
+    return [*_standing(rows, key, "key", "no_key"), *_standing(rows, "event_id", "event_id", "no_id")]
 
 
 def _milliseconds(span: str, spark) -> int:
     return spark.range(1).select(F.expr(f"unix_millis(timestamp_micros(0) + interval {span})")).first()[0]
 
 
-def _after(stream: DataFrame, ts: str, lateness: str, processor: Callable, schema: T.StructType, columns: list[Column], bucket: str) -> DataFrame:
+def _after(stream: DataFrame, ts: str, lateness: str, processor: Callable, schema: T.StructType, columns: list[Column], bucket: str, groups: int) -> DataFrame:
     """The rows after their watermark, through the processor; marks end here."""
     rows = stream.withWatermark(ts, lateness).where(F.col(ts).isNull() | (F.col(ts) < F.lit(END).cast(stream.schema[ts].dataType)))
+    # names without a leading underscore, which rows would lose on their way to pandas
     rows = rows.select(*columns)  # ``us`` is no event-time column, so late rows are not dropped before they are seen
-    fields = [f for f in rows.schema.fields if f.name not in ("_key", "_null")]
-    return rows.groupBy("_key", "_null").transformWithStateInPandas(
+    fields = rows.schema.fields
+    grouped = rows.withColumn("key_group", F.pmod(F.xxhash64("key", "no_key"), F.lit(groups))).groupBy("key_group")
+    return grouped.transformWithStateInPandas(
         statefulProcessor=processor(fields, _milliseconds(bucket, stream.sparkSession)), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
 
 
 def energy_in_order(
-    readings: DataFrame, lateness: str, ts: str = "ts", max_gap_seconds: float | None = None, bucket: str = "1 hour"
+    readings: DataFrame, lateness: str, ts: str = "ts", max_gap_seconds: float | None = None, bucket: str = "1 hour", groups: int = GROUPS
 ) -> DataFrame:
     """Interval energy of event_id, device_id, ``ts``, kwh_total and power_w, with ``is_late``.
 
@@ -202,14 +233,14 @@ def energy_in_order(
         readings.schema["event_id"], readings.schema["device_id"], T.StructField("us", T.LongType()),
         *(T.StructField(c, T.DoubleType()) for c in ("kwh_total", "power_w", "interval_seconds", "kwh_interval_kwh")), T.StructField("is_late", T.BooleanType()),
     ])
-    columns = [*_keyed(readings, "device_id"), F.col("event_id"), us, F.col("kwh_total").cast("double"), F.col("power_w").cast("double")]
-    out = _after(readings, ts, lateness, lambda fields, width: _Energy(fields, width, max_gap_seconds), schema, columns, bucket)
+    columns = [*_keyed(readings, "device_id"), us, F.col("kwh_total").cast("double"), F.col("power_w").cast("double")]
+    out = _after(readings, ts, lateness, lambda fields, width: _Energy(fields, width, max_gap_seconds), schema, columns, bucket, groups)
     numbers = {c: F.when(~F.isnan(c), F.col(c)) for c in ("kwh_total", "power_w", "interval_seconds", "kwh_interval_kwh")}
     return energy_columns(out.withColumns(numbers)).withColumn(ts, F.timestamp_micros("us")).drop("us")
 
 
 def cooldown_in_order(
-    alerts: DataFrame, lateness: str, ts: str = "ts", cooldown_hours: float = COOLDOWN_HOURS, bucket: str = "1 hour"
+    alerts: DataFrame, lateness: str, ts: str = "ts", cooldown_hours: float = COOLDOWN_HOURS, bucket: str = "1 hour", groups: int = GROUPS
 ) -> DataFrame:
     """Cooldown of event_id, household, ``ts`` and alert_type, with ``is_late``; rows without an alert are dropped.
 
@@ -220,9 +251,9 @@ def cooldown_in_order(
         alerts.schema["event_id"], alerts.schema["household"], T.StructField("us", T.LongType()), T.StructField("alert_type", T.StringType()),
         T.StructField("is_sent", T.BooleanType()), T.StructField("is_late", T.BooleanType()),
     ])
-    columns = [*_keyed(alerts, "household"), F.col("event_id"), us, F.col("alert_type")]
+    columns = [*_keyed(alerts, "household"), us, F.col("alert_type")]
     rows = _without_kind(alerts, ts)
-    out = _after(rows, ts, lateness, lambda fields, width: _Cooldown(fields, width, int(cooldown_hours * 3_600_000_000)), schema, columns, bucket)
+    out = _after(rows, ts, lateness, lambda fields, width: _Cooldown(fields, width, int(cooldown_hours * 3_600_000_000)), schema, columns, bucket, groups)
     return out.withColumn(ts, F.timestamp_micros("us")).drop("us")
 
 
