@@ -2,10 +2,12 @@
 
 import os
 import tempfile
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -191,3 +193,36 @@ def test_pipeline_stages(spark):
     assert set(texts[4]) <= set(texts[3]) and frames[5].count() == frames[4].count()
     assert frames[5].columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
     assert frames[5].where("size(ids) <> n_tokens").count() == 0
+
+
+def test_words_apart_give_the_ids_of_whole_texts(monkeypatch):
+    """Any white space, scripts and special tokens; a word that comes often is encoded once."""
+    ranks = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoding, sizes = order.encoder(ranks, public_tokenizers.PATTERN), order.sizes_of(ranks)
+    pieces = [" ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "　", "​", "᠎", "a", "b'", "'s", "12", "é", "é", "中文", "😀", "!", "<|endoftext|>", "\r\n"]
+    rng = np.random.default_rng(3)
+    texts = [None, "", " ", *("".join(rng.choice(pieces, rng.integers(0, 12))) for _ in range(5000)), "word " * 40, "long " * 400]
+    want = [np.array(encoding.encode_ordinary(t or ""), np.uint16).tobytes() for t in texts]
+    for size in (1 << 20, 1000):  # bytes of a slice; the last text is longer
+        monkeypatch.setattr(order, "SLICE", size)
+        for apart in (False, True):
+            arguments = encoding, sizes, pa.array([None, *texts]).slice(1), apart
+            assert list(order.token_bytes(np.uint16, *arguments)) == want
+            assert (order.count_tokens(*arguments) * 2).tolist() == [len(w) for w in want]
+    seen = []
+    monkeypatch.setattr(order, "SLICE", 1 << 20)
+    counting = SimpleNamespace(encode_ordinary=lambda text: seen.append(len(text)) or encoding.encode_ordinary(text))
+    assert order.count_tokens(counting, sizes, pa.array(["some words and " * 1000 + "end"]), True)[0] > 3000
+    assert sum(seen) < 40
+    with pytest.raises(ValueError, match="crosses"):
+        fours = SimpleNamespace(encode_ordinary=lambda text: [0] * (len(text) // 4))
+        order.count_tokens(fours, np.array([4]), pa.array(["x bbbb cc"]), True)
+
+
+def test_order_apart_is_the_same(spark):
+    folder = tempfile.mkdtemp(prefix="order-")
+    spark.createDataFrame([(i, f"the {i} words  of{i}\n of the text " * i) for i in range(60)], "doc_id long, text string").write.parquet(f"{folder}/docs")
+    ranks = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = spark.read.parquet(f"{folder}/docs")
+    one, two = (order.materialise(spark, docs, ranks, public_tokenizers.PATTERN, 50256, length=64, per_shard=16, apart=a).collect() for a in (False, True))
+    assert sorted(one) == sorted(two) and len(one) > 100

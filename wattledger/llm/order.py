@@ -9,9 +9,10 @@ and resumes anywhere.
 
 The stream is never sorted or collected: a first pass counts the ids of every input split (file and start of
 block), their running sums are a small table, and a second pass over the same splits knows where each of its rows
-begins. It fails if the splits have changed meanwhile. Fragments of sequences are shuffled to their shard; a shard's
-task fills one array of fixed size and writes one file under a temporary name, then renames it, so that a repeated
-task replaces its own file.
+begins. It fails if the splits have changed meanwhile. Where the pattern allows it, both passes cut texts at single
+spaces and encode the distinct words of some MB of text once. Fragments of sequences are shuffled to their shard; a
+shard's task fills one array of fixed size and writes one file under a temporary name, then renames it, so that a
+repeated task replaces its own file.
 
 Results: null and empty texts are an end token; very long texts run over many sequences; repeated rows are encoded
 each; an empty table gives no sequences and no shards; only the named columns are read.
@@ -20,12 +21,14 @@ each; an empty table gives no sequences and no shards; only the named columns ar
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,9 +89,84 @@ def encoder(ranks: bytes, pattern: str):
     return _ENCODERS[key]
 
 
-def token_bytes(encoding, text: str | None, code: str) -> bytes:
-    """The ids of a text in the shards' format; special tokens in it are ordinary text."""
-    return array(code, encoding.encode_ordinary(text or "")).tobytes()
+@functools.lru_cache(maxsize=2)
+def sizes_of(ranks: bytes) -> np.ndarray:
+    """The number of bytes of every token."""
+    pairs = [(int(b), len(base64.b64decode(a))) for a, b in map(bytes.split, ranks.splitlines())]
+    out = np.zeros(max(k for k, _ in pairs) + 1, np.int64)
+    for k, n in pairs:
+        out[k] = n
+    return out
+
+
+SPACE = r"[\x{09}-\x{0d}\x{20}\x{85}\p{Z}]"
+ODD = rf" {SPACE}|{SPACE} |\A | \z"  # a space that is not between two other characters
+SLICE = 8 << 20  # bytes of text whose words are looked at together
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    part = (np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) - 1) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for first, end in zip(cuts, cuts[1:]):
+        if end > first:
+            yield texts.slice(first, end - first)
+
+
+def token_ids(encoding, sizes: np.ndarray, texts: pa.Array, apart: bool) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]]:
+    """For a slice of the texts at a time: ids, start and length of the runs of them that the texts consist of, and the text
+    (its place in the slice) of each run.
+
+    Special tokens in a text are ordinary text. With ``apart`` texts whose spaces all stand between other characters are
+    cut there, and every distinct word of the slice is encoded once.
+    """
+    for part in _slices(texts.fill_null("")):
+        rows = len(part)
+        whole = np.ones(rows, bool)
+        if apart:
+            whole = pc.or_(pc.match_substring_regex(part, ODD), pc.greater(pc.binary_length(part), SLICE)).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.if_else(pa.array(whole), "", part), " ")
+        places = split.offsets.to_numpy()
+        words = split.values.slice(places[0], places[-1] - places[0])
+        n_words, at_first = np.diff(places), places[:-1] - places[0]
+        firsts = pc.if_else(pa.array(whole), part, words.take(pa.array(at_first)))
+        later = np.ones(len(words), bool)
+        later[at_first] = False
+        found = words.filter(pa.array(later)).dictionary_encode()
+        distinct = found.dictionary
+        lone = [np.array(encoding.encode_ordinary(text), np.int64) for text in firsts.to_pylist()]
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), " ")[0].as_py()
+        joined = np.array(encoding.encode_ordinary(" " + text if len(distinct) else ""), np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes[joined])])
+        want = np.concatenate([[0], np.cumsum(pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
+        cuts = np.searchsorted(ends, want)
+        if not np.array_equal(ends[cuts], want):
+            raise ValueError("a token crosses the space between two words; texts can't be taken apart with this pattern")
+        counts = np.concatenate([np.diff(cuts), np.array([ids.size for ids in lone], np.int64)])
+        pool = np.concatenate([joined, *lone])
+        which = np.empty(len(words), np.int32)
+        which[later] = found.indices.to_numpy(zero_copy_only=False)
+        which[at_first] = len(distinct) + np.arange(rows)
+        starts = np.cumsum(counts) - counts
+        yield pool, (starts[which], counts[which]), np.repeat(np.arange(rows, dtype=np.int32), n_words)
+
+
+def count_tokens(*arguments) -> np.ndarray:
+    """The number of ids of each text."""
+    found = [np.bincount(row, lengths).astype(np.int64) for _, (_, lengths), row in token_ids(*arguments)]
+    return np.concatenate([np.zeros(0, np.int64), *found])
+
+
+def token_bytes(kind: type, *arguments) -> Iterator[bytes]:
+    """The ids of each text in the shards' format."""
+    width = np.dtype(kind).itemsize
+    for pool, (starts, lengths), row in token_ids(*arguments):
+        after = np.cumsum(lengths)
+        place = np.int32 if after[-1] < 1 << 31 else np.int64
+        data = pool.astype(kind)[np.repeat((starts - (after - lengths)).astype(place), lengths) + np.arange(after[-1], dtype=place)].tobytes()
+        begin = 0
+        for end in (after[np.flatnonzero(np.diff(row, append=-1))] * width).tolist():
+            yield data[begin:end]
+            begin = end
 
 
 def write_file(folder: str, name: str, data: bytes) -> None:
@@ -114,17 +192,18 @@ def read_record(folder: str, slot: int, per_shard: int, length: int, kind=np.uin
 
 def materialise(
     spark: SparkSession, docs: DataFrame, ranks: bytes, pattern: str, end: int, folder: str | None = None, doc_id: str = "doc_id",
-    text: str = "text", length: int = 2048, per_shard: int = 1024, key: int = 20_250_101,
+    text: str = "text", length: int = 2048, per_shard: int = 1024, key: int = 20_250_101, apart: bool = False,
 ) -> DataFrame:
     """Writes the shards; sequence, slot, shard, record, n_tokens, first_doc_id, sha256 of every sequence.
 
     ``docs`` is a table read from files. ``folder`` defaults to a new one below ``spark.checkpoint.dir``.
+    ``apart`` is for patterns without lookbehind that never match across a space between two other characters: the distinct
+    words of some texts at a time are then encoded once. A token across such a space is an error.
     """
     scratch = Scratch(spark, "order")
     folder = folder or f"{scratch.root}/shards"
     kind = np.uint16 if end < 1 << 16 else np.uint32
-    code = "H" if kind is np.uint16 else "I"
-    width, end_bytes = array(code).itemsize, array(code, [end]).tobytes()
+    width, end_bytes = np.dtype(kind).itemsize, kind(end).tobytes()
     shared = spark.sparkContext.broadcast((ranks, pattern))  # the vocabulary file, a few MB
     rows = docs.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
@@ -132,11 +211,12 @@ def materialise(
     )
 
     def count(batches):
-        encoding = encoder(*shared.value)
+        encoding, sizes = encoder(*shared.value), sizes_of(shared.value[0])
         totals: dict[tuple[str, int], int] = {}
         for batch in batches:
-            for file, start, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
-                totals[file, start] = totals.get((file, start), 0) + len(encoding.encode_ordinary(value.as_py() or "")) + 1
+            counts = count_tokens(encoding, sizes, batch.column(3), apart).tolist()
+            for file, start, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), counts, strict=True):
+                totals[file, start] = totals.get((file, start), 0) + n + 1
         yield pa.RecordBatch.from_arrays(
             [pa.array([f for f, _ in totals]), pa.array([s for _, s in totals], pa.int64()), pa.array(totals.values(), pa.int64())],
             ["file", "start", "n"],
@@ -152,11 +232,12 @@ def materialise(
     places = spark.sparkContext.broadcast(base)
 
     def fragments(batches):
-        encoding, order = encoder(*shared.value), Feistel(n_sequences, key)
+        encoding, sizes, order = encoder(*shared.value), sizes_of(shared.value[0]), Feistel(n_sequences, key)
         split, at, left = None, 0, 0
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for file, start, one, value in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), batch.column(3)):
+            encoded = token_bytes(kind, encoding, sizes, batch.column(3), apart)
+            for file, start, one, ids in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), encoded, strict=True):
                 if (file, start) != split:
                     if left:
                         raise ValueError(f"the split {split} has changed between two passes")
@@ -164,7 +245,7 @@ def materialise(
                     if split not in places.value:
                         raise ValueError(f"the split {split} was not there in the first pass")
                     at, left = places.value[split]
-                ids = token_bytes(encoding, value.as_py(), code) + end_bytes
+                ids += end_bytes
                 done, size = 0, len(ids) // width
                 while done < size:
                     take = min(size - done, length - at % length)

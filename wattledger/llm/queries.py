@@ -30,7 +30,7 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op3_order(spark: SparkSession, folder: str) -> DataFrame:
     """Every sequence of documents in its slot of the training order, with the digest of its record."""
     ranks = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return order.materialise(spark, table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, end=50256)
+    return order.materialise(spark, table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, end=50256, apart=True)
 
 
 @query()
